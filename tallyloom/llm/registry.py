@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format
+from . import chat_format, simhash_dedup, warc
 
-MODULES = (chat_format,)
+MODULES = (chat_format, warc, simhash_dedup)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
