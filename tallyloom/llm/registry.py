@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, simhash_dedup, warc
+from . import best_fit_packing, chat_format, exact_search, lm_scoring, simhash_dedup, warc
 
-MODULES = (chat_format, warc, simhash_dedup)
+MODULES = (chat_format, exact_search, warc, best_fit_packing, lm_scoring, simhash_dedup)
 
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
