@@ -29,6 +29,8 @@ from .components import connected_components
 
 SEED = 42
 CHUNK = 1 << 15
+#: For similarity 0.8 with four lanes: bits that may differ, and bits in a band.
+RADIUS_256, WIDTH = 39, 12
 #: Rows of whole shards that are searched together.
 SHARD_ROWS = 60_000
 
@@ -247,6 +249,16 @@ def simhash_classes(docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1
     return fps.join(of_node, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Classes of documents whose k-word shingle sets are similar to 0.8 or more (Jaccard).
+
+    At that similarity some 39 of 256 bits differ.  Links within that radius need not agree in a wide band, so
+    shards come from many bands of few bits: a link is found if it agrees in one (chance 0.97 at the edge, more
+    for closer texts).
+    """
+    return simhash_classes(docs, k, RADIUS_256, 4, [[(t * WIDTH + j) % 256 for j in range(WIDTH)] for t in range(256 // WIDTH)] + [[(t + j * 23) % 256 for j in range(WIDTH)] for t in range(3)], doc, text)
+
+
 def keep_one(docs: DataFrame, classes: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without all but the first document (least doc_id) of each class; rows without id stay.
 
