@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import sync_queries
+from .plans import catalog_queries, explorer_queries, rule_queries, sync_queries, value_queries
 
-MODULES = (sync_queries,)
+MODULES = (sync_queries, explorer_queries, catalog_queries, value_queries, rule_queries)
 
-QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
-SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
+QUERIES = {name: query for m in MODULES for name, query in m.C.queries.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.C.sql.items()}

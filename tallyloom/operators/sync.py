@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,29 @@ def to_sink_rows(joined: DataFrame, site: str = "FARMACIA") -> DataFrame:
         F.col("o_totalprice").cast("decimal(14,2)").alias("importe_pvp"),
         F.lit("PENDIENTE").alias("estado"),
     )
+
+
+def high_water_mark(sink: DataFrame, key: str, site: Column | None = None, default: int = 0) -> DataFrame:
+    """One row: the sink's largest key (of one site), or the default for an empty sink."""
+    mine = sink if site is None else sink.filter(site)
+    return mine.agg(F.coalesce(F.max(key), F.lit(default).cast("long")).alias("mark"))
+
+
+def insert_or_ignore(sink: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``new`` whose key the sink does not have yet, each key once (first by all columns): append them."""
+    rank = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_first() for c in new.columns))
+    one = new.withColumn("_n", F.row_number().over(rank)).filter("_n = 1").drop("_n")
+    return one.join(sink.select(*keys), keys, "left_anti")
+
+
+def upsert(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The state after new rows replaced those of the same key."""
+    rest = [c for c in state.columns if c not in keys]
+    both = state.withColumn("_old", F.lit(True)).alias("s").join(new.withColumn("_new", F.lit(True)).alias("n"), keys, "full")
+    return both.select(*keys, *(F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in rest))
+
+
+def progress(df: DataFrame, name: str, **counts: Column):
+    """Counters that run with the write: (frame, observation)."""
+    seen = Observation(name)
+    return df.observe(seen, *(F.count_if(c).alias(k) for k, c in counts.items()), F.count(F.lit(1)).alias("rows")), seen

@@ -1,29 +1,134 @@
-"""Queries of the incremental sync."""
+"""Queries of the incremental sync and of ingestion."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import sync
-from ..session import table
+from ..functions import text
+from ..operators import ingest, sync
+from .base import Catalogue, Tables
 
+C = Catalogue()
 HIGH_WATER = 100
-QUERIES, SQL = {}, {}
+MONEY = "DECIMAL(14,2)"
 
 
-def sync_incremental_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+@C.add(
+    "sync_incremental_left_join",
+    f"""SELECT 'FARMACIA' AS farmacia, o_orderkey AS id_contador, o_custkey AS id_proveedor,
+  trim(coalesce(c_name, '')) AS proveedor, CAST(o_orderkey AS VARCHAR) AS numero_albaran,
+  CAST(o_orderdate AS DATE) AS fecha, CAST(o_totalprice AS {MONEY}) AS importe_pvp, 'PENDIENTE' AS estado
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey > {HIGH_WATER}""",
+)
+def incremental(t: Tables) -> DataFrame:
     """Orders above the mark with their customer's name, in the sink's shape, by ascending id."""
-    source = table(spark, sf_dir, "orders")
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    new = sync.above_mark(source, "o_orderkey", HIGH_WATER)
+    names = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    new = sync.above_mark(t.orders, "o_orderkey", HIGH_WATER)
     return sync.to_sink_rows(new.join(names, "o_custkey", "left")).orderBy("id_contador")
 
 
-QUERIES["sync_incremental_left_join"] = sync_incremental_left_join
-SQL["sync_incremental_left_join"] = f"""
-SELECT 'FARMACIA' AS farmacia, o_orderkey AS id_contador, o_custkey AS id_proveedor,
-  trim(coalesce(c_name, '')) AS proveedor, CAST(o_orderkey AS VARCHAR) AS numero_albaran,
-  CAST(o_orderdate AS DATE) AS fecha, CAST(o_totalprice AS DECIMAL(14,2)) AS importe_pvp, 'PENDIENTE' AS estado
-FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey > {HIGH_WATER}
-"""
+@C.add("sync_historical_since_date", "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS fecha FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
+def historical(t: Tables) -> DataFrame:
+    since = F.lit("1997-01-01").cast("timestamp")
+    return t.orders.filter(F.col("o_orderdate") >= since).select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("fecha")).orderBy("o_orderkey")
+
+
+@C.add("sync_high_water_mark", "SELECT CAST(coalesce(max(o_orderkey), 0) AS BIGINT) AS mark FROM orders WHERE o_orderstatus = 'F'")
+def mark(t: Tables) -> DataFrame:
+    return sync.high_water_mark(t.orders, "o_orderkey", F.col("o_orderstatus") == "F")
+
+
+@C.add("sync_high_water_mark_empty", "SELECT CAST(coalesce(max(o_orderkey), -1) AS BIGINT) AS mark FROM orders WHERE o_orderstatus = 'none'")
+def empty_mark(t: Tables) -> DataFrame:
+    return sync.high_water_mark(t.orders, "o_orderkey", F.col("o_orderstatus") == "none", default=-1)
+
+
+@C.add(
+    "sync_insert_or_ignore",
+    "SELECT DISTINCT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND NOT (o_orderkey % 2 = 0)",
+)
+def insert_or_ignore(t: Tables) -> DataFrame:
+    """New rows, some of them doubled and some already there."""
+    rows = t.orders.select("o_orderkey", "o_custkey")
+    new = rows.filter("o_orderkey % 3 <> 0")
+    return sync.insert_or_ignore(rows.filter("o_orderkey % 2 = 0"), new.unionByName(new), ["o_orderkey"])
+
+
+@C.add(
+    "sync_upsert_state",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'IMPORTADA' ELSE 'ERROR' END AS estado,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS VARCHAR) ELSE o_orderstatus END AS detalle
+FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0""",
+)
+def upsert(t: Tables) -> DataFrame:
+    """A new null replaces an old value."""
+    old = t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("ERROR").alias("estado"), F.col("o_orderstatus").alias("detalle"))
+    new = t.orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("IMPORTADA").alias("estado"), F.lit(None).cast("string").alias("detalle"))
+    return sync.upsert(old, new, ["o_orderkey"])
+
+
+@C.add(
+    "sync_latest_rows",
+    "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey DESC LIMIT 30",
+)
+def latest(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", "o_custkey").orderBy(F.desc("o_orderkey")).limit(30)
+
+
+@C.add(
+    "file_dup_groups",
+    "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS primero FROM documents GROUP BY text HAVING count(*) > 1",
+)
+def duplicates(t: Tables) -> DataFrame:
+    return ingest.duplicate_groups(t.documents.select("doc_id", ingest.content_hash(F.col("text")).alias("hash")), "hash", "doc_id")
+
+
+@C.add("file_dup_totals", "SELECT count(*) AS total, count(DISTINCT text) AS unicos, count(*) - count(DISTINCT text) AS repetidos FROM documents")
+def duplicate_totals(t: Tables) -> DataFrame:
+    one = t.documents.groupBy(ingest.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n"))
+    return one.agg(F.sum("n").alias("total"), F.count("*").alias("unicos"), (F.sum("n") - F.count("*")).alias("repetidos"))
+
+
+@C.add(
+    "ingest_change_detect",
+    """WITH a AS (SELECT doc_id, n_chars AS bytes, lang AS marca FROM documents WHERE doc_id % 10 <> 0),
+b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS bytes, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END AS marca
+  FROM documents WHERE doc_id % 9 <> 0)
+SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'NUEVO' WHEN b.doc_id IS NULL THEN 'AUSENTE'
+  WHEN a.bytes IS NOT DISTINCT FROM b.bytes AND a.marca IS NOT DISTINCT FROM b.marca THEN 'IGUAL' ELSE 'MODIFICADO' END AS cambio
+FROM a FULL JOIN b USING (doc_id)""",
+)
+def change_detect(t: Tables) -> DataFrame:
+    src = t.documents.select("doc_id", F.col("n_chars").alias("bytes"), F.col("lang").alias("marca"))
+    before = src.filter("doc_id % 10 <> 0")
+    now = src.filter("doc_id % 9 <> 0").select("doc_id", F.expr("CASE WHEN doc_id % 7 = 0 THEN bytes + 1 ELSE bytes END").alias("bytes"), F.expr("CASE WHEN doc_id % 11 <> 0 THEN marca END").alias("marca"))
+    return ingest.changes(before, now, "doc_id", ["bytes", "marca"])
+
+
+@C.add(
+    "ingest_unregistered",
+    """WITH d AS (SELECT sha256(text) AS hash, concat(source, '/', lpad(CAST(doc_id AS VARCHAR), 9, '0'), '.pdf') AS path, doc_id FROM documents)
+SELECT hash, min(path) AS path FROM d WHERE hash NOT IN (SELECT hash FROM d WHERE doc_id % 4 = 0) GROUP BY hash""",
+)
+def unregistered(t: Tables) -> DataFrame:
+    files = t.documents.select(ingest.content_hash(F.col("text")).alias("hash"), F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".pdf")).alias("path"), "doc_id")
+    return ingest.unregistered(files.select("hash", "path"), files.filter("doc_id % 4 = 0").select("hash").distinct())
+
+
+@C.add(
+    "storage_safe_name",
+    """SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(strip_accents(url), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'),
+  '^[._-]+|[._-]+$', '', 'g'), ''), 'archivo') AS nombre FROM pages""",
+)
+def safe_name(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.storage_name(F.col("url")).alias("nombre"))
+
+
+@C.add(
+    "storage_path",
+    """SELECT doc_id, concat('PIO/', source, '/', lang, '/doc_', CAST(doc_id AS VARCHAR), '_', substr(sha256(text), 1, 12), '.pdf') AS ruta FROM documents""",
+)
+def path(t: Tables) -> DataFrame:
+    name = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".PDF")))
+    return t.documents.select("doc_id", text.storage_path("PIO", name, ingest.content_hash(F.col("text"))).alias("ruta"))
