@@ -26,8 +26,10 @@ from .common import table, texts_as_bytes, written
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept by a worker with their ids, and the longest kept.
-CACHED, LONGEST = 250_000, 48
+#: Words in each of a worker's two generations of kept ids, and the longest kept.
+CACHED, LONGEST = 800_000, 48
+#: Bytes of text whose words are looked up together.
+TOGETHER = 2 << 20
 #: Pieces in one rank bucket of one length, about.
 BUCKET_ROWS = 20_000
 
@@ -49,28 +51,62 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.known: dict[bytes, bytes] = {}
-
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        new = {w for w in words if w not in known}
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = set(words)
-        fresh = list(new)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            known.update(zip(part, self.encoded(part)))
-        got = b"".join([known[w] for w in words])
-        for w in fresh:
-            if len(w) > LONGEST:
-                del known[w]
-        return got
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
+        # Two generations: words not asked for while the young one fills up are forgotten.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def together(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, in one go: each ends with the one token that ends a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(part):  # letters that fall apart in lower case
+                out += self.one_by_one(part)
+                continue
+            raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
+            out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not kept; stops and commas behind a letter are tokens of their own."""
+        stems = {w: w.rstrip(b".,") for w in words}
+        stems = {w: s for w, s in stems.items() if s and len(s) < len(w) and s.decode("utf-8", "replace")[-1].isalpha()}
+        found = {x: self.young.get(x) or self.old.get(x) for w, s in stems.items() for x in (s, w[len(s) :])}
+        need = [x for x in {*found, *(w for w in words if w not in stems)} if not found.get(x)]
+        texts = [x.decode("utf-8") for x in need]
+        letters = [t.isalpha() for t in texts]
+        fast = iter(self.together([t for t, a in zip(texts, letters) if a]))
+        slow = iter(self.one_by_one([t for t, a in zip(texts, letters) if not a]))
+        for x, a in zip(need, letters):
+            found[x] = next(fast) if a else next(slow)
+        return found | {w: found[s] + found[w[len(s) :]] for w, s in stems.items()}
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [text.lower().split() for text in texts]
+        found = [list(map(self.young.get, words)) for words in split]
+        new: dict[bytes, bytes | None] = {}
+        for words, got in zip(split, found):
+            if None in got:
+                new |= dict.fromkeys([w for w, x in zip(words, got) if x is None])
+        if new:
+            get = self.old.get
+            new = {w: get(w) for w in new}
+            new |= self.encoded([w for w, x in new.items() if x is None])
+            for words, got in zip(split, found):
+                if None in got:
+                    got[:] = [new[w] if x is None else x for w, x in zip(words, got)]
+            if len(self.young) > CACHED:
+                self.young, self.old = {}, self.young
+            self.young.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
+        return [b"".join(got) for got in found]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -82,6 +118,19 @@ def loaded(vocabulary: str) -> WordIds:
     return _LOADED[vocabulary]
 
 
+def encoded(words: WordIds, texts: list[bytes]) -> Iterator[bytes]:
+    """Ids text by text, worked out for about ``TOGETHER`` bytes of text at a time."""
+    held: list[bytes] = []
+    n = 0
+    for text in texts:
+        held.append(text)
+        n += len(text)
+        if n >= TOGETHER:
+            yield from words.ids(held)
+            held, n = [], 0
+    yield from words.ids(held)
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids): ids are unsigned 32-bit little-endian, the end id included."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -92,8 +141,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
         for batch in it:
             rows: list[tuple] = []
             held = 0
-            for doc_id, raw in zip(batch.column(0).to_pylist(), texts_as_bytes(batch, "text")):
-                ids = words.ids(raw) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(words, texts_as_bytes(batch, "text"))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), capacity * 4)):
                     part = ids[at : at + capacity * 4]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, part))
