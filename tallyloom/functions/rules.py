@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import MONEY
+from .text import bind
 
 CENT = "0.01"
 PROVENANCE = "struct<tipo:string,fuente:string,regla:string,version_regla:string>"
@@ -26,12 +27,18 @@ def sum_of(values: Column) -> Column:
 
 def check_sum(addends: Column, expected: Column, tolerance: str = CENT) -> Column:
     """struct(estado, esperado, obtenido, diferencia, tolerancia): a null anywhere cannot be evaluated."""
-    whole = expected.isNotNull() & addends.isNotNull() & F.forall(addends, lambda x: x.isNotNull())
-    got = F.when(whole, sum_of(addends))
-    off = F.when(whole, (got - expected).cast("decimal(24,2)"))
-    limit = F.lit(tolerance).cast("decimal(6,2)")
-    state = F.when(~whole, "NO_EVALUABLE").when(F.abs(off) <= limit, "OK").otherwise("ERROR")
-    return F.struct(state.alias("estado"), expected.cast("decimal(24,2)").alias("esperado"), got.alias("obtenido"), off.alias("diferencia"), limit.alias("tolerancia"))
+
+    def summed(x: Column) -> Column:
+        whole = x["e"].isNotNull() & x["a"].isNotNull() & F.forall(x["a"], lambda v: v.isNotNull())
+        return F.struct(x["e"].alias("e"), F.when(whole, sum_of(x["a"])).alias("got"))
+
+    def stated(x: Column) -> Column:
+        off = (x["got"] - x["e"]).cast("decimal(24,2)")
+        limit = F.lit(tolerance).cast("decimal(6,2)")
+        state = F.when(x["got"].isNull(), "NO_EVALUABLE").when(F.abs(off) <= limit, "OK").otherwise("ERROR")
+        return F.struct(state.alias("estado"), x["e"].alias("esperado"), x["got"].alias("obtenido"), off.alias("diferencia"), limit.alias("tolerancia"))
+
+    return bind(bind(F.struct(addends.alias("a"), expected.cast("decimal(24,2)").alias("e")), summed), stated)
 
 
 def provenance(kind: str, source: str = "python", rule: str | None = None, version: str | None = None) -> Column:
@@ -52,15 +59,13 @@ def apply_rule(name: str, version: str, preconditions: dict[str, Column], inputs
     reasons += [F.when(c.isNull(), F.lit(f"entrada:{k}=ausente")) for k, c in inputs.items()]
     reasons += [F.lit("precondiciones=ausentes")] * (not preconditions) + [F.lit("entradas=ausentes")] * (not inputs)
     blocks = F.filter(F.array(*reasons), lambda x: x.isNotNull())
-    clear = F.size(blocks) == 0
-    blocks = F.when(clear & value.isNull(), F.array(F.lit("resultado=ausente"))).otherwise(blocks)
-    done = F.size(blocks) == 0
-    return F.struct(
-        F.when(clear, value).alias("valor"),
-        done.alias("aplicada"),
-        F.when(done, provenance("REGLA_DETERMINISTA", rule=name, version=version)).alias("procedencia"),
-        blocks.alias("bloqueos"),
-    )
+
+    def result(x: Column) -> Column:
+        said_none = F.when((F.size(x["b"]) == 0) & x["v"].isNull(), F.array(F.lit("resultado=ausente"))).otherwise(x["b"])
+        done = (F.size(x["b"]) == 0) & x["v"].isNotNull()
+        return F.struct(F.when(done, x["v"]).alias("valor"), done.alias("aplicada"), F.when(done, provenance("REGLA_DETERMINISTA", rule=name, version=version)).alias("procedencia"), said_none.alias("bloqueos"))
+
+    return bind(F.struct(blocks.alias("b"), value.alias("v")), result)
 
 
 def incident(when: Column, field: str | Column, kind: str | Column, text: str, decision: str, data: Column | None = None, level: str = "REVISION_MANUAL") -> Column:

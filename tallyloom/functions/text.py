@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ RETRYABLE = (
 KEY_PREFIXES = ("id", "oid", "codigo", "cod", "fk")
 
 
+def bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once, however often f uses it: nested functions would else repeat each other's trees."""
+    return F.transform(F.array(c), f)[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
