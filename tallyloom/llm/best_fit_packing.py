@@ -46,7 +46,8 @@ def vocabulary_path(name: str) -> str:
 class WordIds:
     """Ids of a text as little-endian bytes.  Tokens never cross white space, so words are kept with their ids."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cached: int = CACHED):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -103,19 +104,19 @@ class WordIds:
             for words, got in zip(split, found):
                 if None in got:
                     got[:] = [new[w] if x is None else x for w, x in zip(words, got)]
-            if len(self.young) > CACHED:
+            if len(self.young) > self.cached:
                 self.young, self.old = {}, self.young
             self.young.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
         return [b"".join(got) for got in found]
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[tuple[str, int], WordIds] = {}
 
 
-def loaded(vocabulary: str) -> WordIds:
-    if vocabulary not in _LOADED:
-        _LOADED[vocabulary] = WordIds(vocabulary)
-    return _LOADED[vocabulary]
+def loaded(vocabulary: str, cached: int) -> WordIds:
+    if (vocabulary, cached) not in _LOADED:
+        _LOADED[vocabulary, cached] = WordIds(vocabulary, cached)
+    return _LOADED[vocabulary, cached]
 
 
 def encoded(words: WordIds, texts: list[bytes]) -> Iterator[bytes]:
@@ -131,13 +132,13 @@ def encoded(words: WordIds, texts: list[bytes]) -> Iterator[bytes]:
     yield from words.ids(held)
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, cached: int = CACHED, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids): ids are unsigned 32-bit little-endian, the end id included."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
     end = np.array([END_ID], "<u4").tobytes()
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = loaded(vocabulary)
+        words = loaded(vocabulary, cached)
         for batch in it:
             rows: list[tuple] = []
             held = 0
@@ -254,9 +255,9 @@ def with_places(ranked: DataFrame):
     return T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
 
-def packed_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Pieces with the digest of their ids, and their places in sequences."""
-    pieces = token_pieces(docs, capacity, vocabulary).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+def packed_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, cached: int = CACHED) -> DataFrame:
+    """Pieces with the digest of their ids, and their places in sequences.  ``cached`` trades memory for time only."""
+    pieces = token_pieces(docs, capacity, vocabulary, cached).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(written(pieces, "pieces"), capacity)
 
 
