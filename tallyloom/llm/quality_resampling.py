@@ -3,10 +3,9 @@
 Two generative models of hashed n-grams are fitted on labelled documents: the target (good and not toxic) and
 the raw text (all labelled ones, a sample of the corpus as it comes).  A model is the share of documents that hold
 the n-gram: a word, a punctuation run, a pair of them, or a mark for shouting or for words said over and
-over.  A document's log weight is the sum over its n-grams of the log ratio of the two models.  Ratios that
-chance can explain, or that are near one, count as one, so long clean texts gather no noise; and of n-grams
-that go together (as in copies of one bad document) only as many count as it takes to tell those documents,
-the most widespread first.  Documents are then taken by Gumbel top-k: log weight over temperature plus Gumbel
+over.  Each distinct text is counted once, so that copies weigh no more than their original.  A document's log
+weight is the sum over its n-grams of the log ratio of the two models.  Ratios that chance can explain, or that
+are near one, count as one, so long clean texts gather no noise.  Documents are then taken by Gumbel top-k: log weight over temperature plus Gumbel
 noise, the k highest.  k is the number of documents whose log weight reaches ``CUT``; at the temperature used,
 noise only settles ties.
 
@@ -34,7 +33,8 @@ from pyspark.sql import types as T
 
 from .common import table, texts_as_bytes, written
 
-BUCKETS = 1 << 22
+#: N-grams that a counting task holds before it hands their counts on.
+HELD = 1 << 21
 LABELLED = 40_000
 #: A ratio counts if it is so many deviations and so large a log away from chance; documents added to both models.
 DEVIATIONS, LEAST_LOG, PRIOR = 4.0, 1.0, 2.0
@@ -70,62 +70,58 @@ def ngrams(text: bytes) -> np.ndarray:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """(text, good) of at most about ``most`` labelled documents; only the chosen labels are sent to all tasks."""
+    """(text, good), each once, of at most about ``most`` labelled documents; only the chosen labels are sent to all tasks."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = one.count()
     if n > most:
         one = one.filter(F.pmod(F.xxhash64("doc_id", F.lit("label")), F.lit(1 << 30)) < int((1 << 30) * most / n))
     chosen = one.select(F.col("doc_id").alias("_label_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("text", "good")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("text", "good").distinct()
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams whose ratio counts (sorted hashes), and the log of target over raw for each."""
-    spark = docs.sparkSession
     sample = written(labelled_documents(docs, labels, most), "labelled")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, good = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+        held: list[np.ndarray] = []
+        good: list[bool] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, at = np.unique(np.concatenate(held), return_inverse=True)
+            n = np.bincount(at, minlength=len(h))
+            ok = np.bincount(at[np.repeat(good, [len(x) for x in held])], minlength=len(h))
+            for part in np.array_split(np.arange(len(h)), len(h) // 100_000 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part].astype(np.int32)), pa.array(ok[part].astype(np.int32))], names=["h", "n", "good"])
+
+        size = 0
         for batch in it:
             for text, ok in zip(texts_as_bytes(batch, "text"), batch.column("good").to_pylist()):
-                at = np.unique(ngrams(text) % np.uint64(BUCKETS)).astype(np.int64)
-                n[at] += 1
-                if ok:
-                    good[at] += 1
-        at = np.flatnonzero(n)
-        for part in np.array_split(at, len(at) // 100_000 + 1):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part.astype(np.int32), n[part], good[part])], names=["bucket", "n", "good"])
+                held.append(np.unique(ngrams(text)))
+                good.append(ok)
+                size += len(held[-1])
+                if size >= HELD:
+                    yield from out()
+                    held, good, size = [], [], 0
+        if held:
+            yield from out()
 
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.count_if("good"), F.lit(0)).alias("good")).first()
-    nothing = np.zeros(0, np.uint64), np.zeros(0)
     if not 0 < size.good < size.n:
-        return nothing
+        return np.zeros(0, np.uint64), np.zeros(0)
     share = size.good / size.n
     least = max(SUPPORT, SHARE * (size.n - size.good))
-    sums = sample.mapInArrow(count, "bucket int, n int, good int").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    sums = sample.mapInArrow(count, "h long, n int, good int").groupBy("h").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     away = (F.col("n") * share - F.col("good")) / F.sqrt(F.col("n") * share * (1 - share) + 1)
     ratio = F.log((F.col("good") + PRIOR * share) / (F.col("n") * share + PRIOR * share))
-    rows = sums.filter((F.col("n") - F.col("good") >= least) & (away >= DEVIATIONS) & (ratio <= -LEAST_LOG)).select("bucket", ratio.alias("ratio")).collect()
-    ratio_of = {r.bucket: r.ratio for r in rows}
-    if not ratio_of:
-        return nothing
-    sent = spark.sparkContext.broadcast(np.array(sorted(ratio_of), np.uint64))
-
-    def of_bad(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found = []
-            for text in texts_as_bytes(batch, "text"):
-                h = np.unique(ngrams(text))
-                found.append(h[np.isin(h % np.uint64(BUCKETS), sent.value)].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["h"])
-
-    bad = [np.array(r.h, np.int64).astype(np.uint64) for r in sample.filter(~F.col("good")).select("text").mapInArrow(of_bad, "h array<long>").collect()]
-    chosen = telling(bad, least)
-    return chosen, np.array([ratio_of[int(h) % BUCKETS] for h in chosen.tolist()])
+    rows = sums.filter((F.col("n") - F.col("good") >= least) & (away >= DEVIATIONS) & (ratio <= -LEAST_LOG)).select("h", ratio.alias("ratio")).collect()
+    h = np.array([r.h for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r.ratio for r in rows], np.float64)[order]
 
 
 def telling(bad: list[np.ndarray], least: float) -> np.ndarray:
-    """N-grams (sorted) taken one by one: that which most documents hold that none taken so far tells."""
+    """N-grams (sorted) taken one by one: that which most documents hold that none taken so far tells; the fit does not use it."""
     holders: dict[int, list[int]] = {}
     for i, hashes in enumerate(bad):
         for h in hashes.tolist():

@@ -81,3 +81,23 @@ def test_without_labels_and_empty(spark, put):
     full, none = spark.createDataFrame(docs, DOCS), spark.createDataFrame([], DOCS)
     assert Q.op4_quality_resampling(spark, put(documents=full, labels=lab.limit(0))).count() == 20
     assert Q.op4_quality_resampling(spark, put(documents=none, labels=lab)).count() == 0
+
+
+def test_words_that_stand_beside_others_count_too(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs, labels = [], []
+    for i in range(300):
+        w = r.choices(words, k=40)
+        if i % 5 == 0:
+            w[7:7] = ["vile", "so"]
+            w[20:20] = ["nasty"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    # Copies of one bad document are one text, so what only they hold tells nothing.
+    copy = " ".join(["vile", "nasty", "peculiar", *r.choices(words, k=40)])
+    docs += [(500 + i, copy) for i in range(30)] + [(900, "w1 w2 nasty w3"), (901, "w1 w2 vile w3"), (902, "w1 peculiar w2 w3")]
+    labels += [(500 + i, 1, 1) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id for r in Q.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert not got & {900, 901} and 902 in got
