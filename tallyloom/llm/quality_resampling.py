@@ -4,10 +4,10 @@ Two generative models of hashed n-grams are fitted on labelled documents: the ta
 the raw text (all labelled ones, a sample of the corpus as it comes).  A model is the share of documents that hold
 the n-gram: a word, a punctuation run, a pair of them, or a mark for shouting or for words said over and
 over.  Each distinct text is counted once, so that copies weigh no more than their original.  A document's log
-weight is the sum over its n-grams of the log ratio of the two models.  Ratios that chance can explain, or that
-are near one, count as one, so long clean texts gather no noise.  Documents are then taken by Gumbel top-k: log weight over temperature plus Gumbel
-noise, the k highest.  k is the number of documents whose log weight reaches ``CUT``; at the temperature used,
-noise only settles ties.
+weight is the sum over its n-grams of the log ratio of the two models, of either sign.  Ratios that chance can
+explain, and those a little below one, count as one, so long clean texts gather no noise.  Documents are then
+taken by Gumbel top-k: log weight over temperature plus Gumbel noise, the k highest.  k is the number of documents
+whose log weight reaches ``CUT``; noise chooses among those near it.
 
 The fit takes about ``LABELLED`` labelled documents at most, chosen by hash; all else covers every document, and
 the k-th highest key comes exactly from repeated counts by range, not from a sort.
@@ -36,13 +36,15 @@ from .common import table, texts_as_bytes, written
 #: N-grams that a counting task holds before it hands their counts on.
 HELD = 1 << 21
 LABELLED = 40_000
-#: A ratio counts if it is so many deviations and so large a log away from chance; documents added to both models.
-DEVIATIONS, LEAST_LOG, PRIOR = 4.0, 1.0, 2.0
+#: A ratio below one counts if it is so many deviations and so large a log away from chance; documents added to both models.
+DEVIATIONS, LEAST_LOG, PRIOR = 3.0, 1.0, 2.0
+#: A ratio above one is at most raw over target documents, so it counts by its deviations alone.
+RAISING = 5.0
 #: Bad documents that an n-gram must tell by itself: at least so many, and such a share of them.
 SUPPORT, SHARE = 4, 0.002
-CUT = -0.5
-#: Far below -CUT / 20, so that noise cannot carry a document over the cut.
-TEMPERATURE = 1 / 64
+CUT = -1.0
+#: Noise of about 0.6 in the log weight: it chooses among documents near the cut, and strong evidence stands.
+TEMPERATURE = 0.5
 SEED = 17
 
 TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
@@ -114,7 +116,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tupl
     sums = sample.mapInArrow(count, "h long, n int, good int").groupBy("h").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     away = (F.col("n") * share - F.col("good")) / F.sqrt(F.col("n") * share * (1 - share) + 1)
     ratio = F.log((F.col("good") + PRIOR * share) / (F.col("n") * share + PRIOR * share))
-    rows = sums.filter((F.col("n") - F.col("good") >= least) & (away >= DEVIATIONS) & (ratio <= -LEAST_LOG)).select("h", ratio.alias("ratio")).collect()
+    lowering = (F.col("n") - F.col("good") >= least) & (away >= DEVIATIONS) & (ratio <= -LEAST_LOG)
+    rows = sums.filter(lowering | (away <= -RAISING)).select("h", ratio.alias("ratio")).collect()
     h = np.array([r.h for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.array([r.ratio for r in rows], np.float64)[order]

@@ -101,3 +101,30 @@ def test_words_that_stand_beside_others_count_too(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id for r in Q.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert not got & {900, 901} and 902 in got
+
+
+def test_ratios_of_both_signs_are_weighed_and_noise_matters(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 2 == 0
+        w = r.choices(words, k=30)
+        # "odd" is in many bad documents and few good ones, "fine" the other way round.
+        if r.random() < (0.5 if bad else 0.06):
+            w[3:3] = ["odd"]
+        if r.random() < (0.06 if bad else 0.9):
+            w[20:20] = ["fine", "and", "kind", "too"]
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    docs += [(900, "odd one"), (901, "odd one fine and kind too")]
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hashes, logs = Q.log_ratios(df, lab)
+    assert (logs > 0).any() and (logs < 0).any()
+    weight = lambda t: Q.weigh(t.encode(), hashes, logs)
+    assert weight("odd one") < Q.CUT < 0 < weight("odd one fine and kind too")
+    # At the temperature used, noise decides between weights that are close and not between those far apart.
+    close = spark.range(2000).select("id", Q.resampling_key(-0.5 * (F.col("id") % 2), F.col("id")).alias("key"))
+    far = spark.range(2000).select("id", Q.resampling_key(-6.0 * (F.col("id") % 2), F.col("id")).alias("key"))
+    odd = [df.filter(F.col("key") >= Q.kth_highest(df, 1000)).filter("id % 2 = 1").count() for df in (close, far)]
+    assert odd[0] > 50 and odd[1] < 10
