@@ -29,8 +29,12 @@ from .components import connected_components
 
 SEED = 42
 CHUNK = 1 << 15
-#: For similarity 0.8 with four lanes: bits that may differ, and bits in a band.
-RADIUS_256, WIDTH = 39, 12
+#: Similarity that links in similar_classes(); with four lanes 39 bits differ at it (deviation under 6).
+SIMILAR = 0.8
+#: Bits that may differ in a candidate, bits in a band, and the strides (odd) by which bits are shared out to bands.
+RADIUS_256, WIDTH, STRIDES = 58, 12, (1, 23, 91)
+#: Pairs whose distance is worked out at once.
+PAIRS = 1 << 18
 #: Rows of whole shards that are searched together.
 SHARD_ROWS = 60_000
 
@@ -232,15 +236,107 @@ def spanning_links(nodes: DataFrame, radius: int, bands: list[list[int]]) -> Dat
     return shards.mapInArrow(by_shard, "u binary, v binary")
 
 
-def simhash_classes(docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1, bands: list[list[int]] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id reachable over fingerprints within the radius.
+def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: bool) -> DataFrame:
+    """``nodes`` (fp distinct, root) to pairs (u, v, d) of different roots that share a band and differ in d bits, ``radius`` at most.
 
-    ``bands``: the sets of bits by which shards are made; by default exact_bands(), which loses no link.
+    ``nearest``: only neighbours in a few sorted orders, of which each u keeps one; else every pair, once.
     """
-    fps = written(fingerprints(docs, k, lanes, doc, text), "fingerprints")
-    nodes = written(fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    links = spanning_links(nodes.select("fp"), radius, bands or exact_bands(64 * lanes, radius))
-    stars = connected_components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                keys = band_keys(as_points(batch.column(0)), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), *(pa.concat_arrays([c] * len(bands)) for c in batch.columns)], names=["shard", "fp", "root"])
+
+    def pairs(shard: np.ndarray, root: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places (a, b) to compare; rows are sorted by shard and root."""
+        if nearest:
+            for turn in range(0, 64, 8):
+                rolled = (points << np.uint64(turn)) | (points >> np.uint64((64 - turn) % 64)) if turn else points
+                order = np.lexsort((*rolled.T[::-1], shard))
+                same = shard[order[1:]] == shard[order[:-1]]
+                yield order[1:][same], order[:-1][same]
+            return
+        new = np.r_[True, shard[1:] != shard[:-1]]
+        start = np.flatnonzero(new)[np.cumsum(new) - 1]
+        run = np.r_[True, new[1:] | (root[1:] != root[:-1])]
+        # Each row meets the rows of its shard before those of its own root.
+        count = np.flatnonzero(run)[np.cumsum(run) - 1] - start
+        rows = np.flatnonzero(count)
+        until = np.cumsum(count[rows])
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + PAIRS)))
+            these = rows[at:to]
+            c = count[these]
+            yield np.repeat(these, c), np.repeat(start[these] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            at = to
+
+    def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        fps, points = t.column("fp").chunk(0), as_points(t.column("fp").chunk(0))
+        root = np.unique(as_points(t.column("root").chunk(0)), axis=0, return_inverse=True)[1].ravel()
+        for a, b in pairs(t.column("shard").to_numpy(), root, points):
+            d = distance(points[a], points[b])
+            near = d <= radius
+            # A pair that shares several bands is the same in all: u is the higher fingerprint.
+            a, b, d = a[near], b[near], d[near]
+            x, y = fps.take(pa.array(a)).to_pylist(), fps.take(pa.array(b)).to_pylist()
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(max, x, y)), pa.binary()), pa.array(list(map(min, x, y)), pa.binary()), pa.array(d.astype(np.int32))], names=["u", "v", "d"])
+
+    def by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole shards together; rows come sorted by shard."""
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            shard = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(shard, shard[-1]))
+            if n and n + cut >= SHARD_ROWS and (cut or held[-1].column(0)[-1].as_py() != shard[0]):
+                yield from search([*held, batch.slice(0, cut)] if cut else held)
+                held, n, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            n += batch.num_rows
+        if held:
+            yield from search(held)
+
+    shards = nodes.select("fp", "root").mapInArrow(keyed, "shard long, fp binary, root binary").repartition("shard").sortWithinPartitions("shard", "root")
+    found = shards.mapInArrow(by_shard, "u binary, v binary, d int")
+    if nearest:
+        return found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", "x.v", "x.d")
+    return found.distinct()
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lanes: int, doc: str, text: str) -> DataFrame:
+    """The pairs (u, v) of fingerprints whose texts have a Jaccard similarity of SIMILAR or more over their k-word shingles."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").select(F.col("least").alias("_id")).distinct()
+
+    def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for t in texts_as_bytes(batch, "text"):
+                shingles = np.unique(shingle_hashes(t.lower().split(), k)).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (fingerprint(t, k, lanes), shingles)], names=["fp", "s"])
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(ids, "_id", "left_semi").select("text")
+    # Equal fingerprints are one node, so one text stands for each.
+    sets = written(texts.mapInArrow(make, "fp binary, s binary").groupBy("fp").agg(F.min("s").alias("s")), "shingles")
+    joined = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    return written(joined.select("u", "v", "a", "b").mapInArrow(judge, "u binary, v binary"), "confirmed")
+
+
+def with_components(fps: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from the least doc_id of each node and the stars (fp, root) of linked nodes."""
     rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Only nodes in components of several need another least doc_id.
     linked = stars.select(F.col("root")).unionByName(stars.select(F.col("fp").alias("root"))).distinct()
@@ -249,14 +345,41 @@ def simhash_classes(docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1
     return fps.join(of_node, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def nodes_of(fps: DataFrame) -> DataFrame:
+    return written(fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+
+
+def stars_of(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+
+
+def simhash_classes(docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1, bands: list[list[int]] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id reachable over fingerprints within the radius.
+
+    ``bands``: the sets of bits by which shards are made; by default exact_bands(), which loses no link.
+    """
+    fps = written(fingerprints(docs, k, lanes, doc, text), "fingerprints")
+    nodes = nodes_of(fps)
+    links = spanning_links(nodes.select("fp"), radius, bands or exact_bands(64 * lanes, radius))
+    return with_components(fps, nodes, stars_of(links))
+
+
 def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Classes of documents whose k-word shingle sets are similar to 0.8 or more (Jaccard).
+    """Classes of documents linked by k-word shingle sets that are similar to 0.8 or more (Jaccard, exact).
 
-    At that similarity some 39 of 256 bits differ.  Links within that radius need not agree in a wide band, so
-    shards come from many bands of few bits: a link is found if it agrees in one (chance 0.97 at the edge, more
-    for closer texts).
+    Fingerprints of 256 bits only find candidates: pairs within a wide radius that agree in one of many bands.
+    Each link is then confirmed on the shingles themselves.  First each node's nearest neighbour is tried, so that groups of copies
+    become one; then all candidates between different groups, so that none is left out.
     """
-    return simhash_classes(docs, k, RADIUS_256, 4, [[(t * WIDTH + j) % 256 for j in range(WIDTH)] for t in range(256 // WIDTH)] + [[(t + j * 23) % 256 for j in range(WIDTH)] for t in range(3)], doc, text)
+    bands = [[(t * WIDTH + j) * stride % 256 for j in range(WIDTH)] for stride in STRIDES for t in range(256 // WIDTH)]
+    fps = written(fingerprints(docs, k, 4, doc, text), "fingerprints")
+    nodes = nodes_of(fps)
+    first = written(near_pairs(nodes.withColumn("root", F.col("fp")), RADIUS_256, bands, True), "nearest")
+    sure = confirmed(first, nodes, docs, k, 4, doc, text)
+    rooted = nodes.join(stars_of(sure), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = near_pairs(rooted, RADIUS_256, bands, False).join(first, ["u", "v"], "left_anti")
+    more = confirmed(written(rest, "candidates"), nodes, docs, k, 4, doc, text)
+    return with_components(fps, nodes, stars_of(sure.unionByName(more)))
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

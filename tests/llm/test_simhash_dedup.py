@@ -102,3 +102,32 @@ def test_empty_and_keep_one(spark, put):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in brute(corpus()) if c is not None}) and ids.count(None) == 2
     assert kept.columns == docs.columns
+
+
+def test_similar_classes_are_those_of_exact_similarity(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows = []
+    # Pairs on both sides of 0.8: n words replaced far from each other change 5 n shingles of 200.
+    for i in range(120):
+        base = r.choices(words, k=204)
+        near = list(base)
+        for place in range(3, 3 + 30 * (2 + i % 4), 30):
+            near[place + 5] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    # A group of near copies, and rows without shingles or ids.
+    base = r.choices(words, k=300)
+    for i in range(40):
+        base[r.randrange(300)] = r.choice(words)
+        rows.append((1000 + i, " ".join(base)))
+    rows += [(2000, None), (2001, ""), (None, rows[0][1])]
+    got = {d: c for d, _, c in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sure, want = 0, {}
+    for i in range(120):
+        a, b = shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])
+        j = len(a & b) / len(a | b)
+        sure += 0.8 <= j < 0.85
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (j < 0.8)}
+    assert sure >= 30 and {d: got[d] for d in want} == want
+    assert {got[1000 + i] for i in range(40)} == {1000} and got[2001] == 2000 and got[None] is None
