@@ -10,8 +10,8 @@ where the last factor is 1 for a frequent word and (c + 0.1) / (n + 0.1 * (v + 1
 words; as in the base score, all words that training has not seen are one event there.  So the
 probabilities of the events sum to one.
 
-Weights start from the unigram model and are trained by gradient updates over all training documents, in
-rounds: shards of a round each take AdaGrad steps over their own documents from the same weights, and the changes
+Weights start from the unigram model and are trained by gradient updates in one pass over all training documents, which
+are shared out to rounds: shards of a round each take AdaGrad steps over their own documents from the same weights, and the changes
 are averaged by how often each weight moved.  The weights have a fixed size, set by the parameters.  Counts
 of frequent words (a bounded number) go to all tasks; the rest of each text's words meet their counts in a
 join.
