@@ -5,7 +5,10 @@ depends on lengths alone, so it is worked out on the counts by length (at most `
 the corpus): bins are filled greedily with the longest piece that fits; then, if that leaves a gap, the bin's
 smallest piece gives way to the two unpacked pieces that fill the widened gap best, if they fill it better.
 Equal bins come as one pattern with a number of times.  A piece finds its bin by its rank among the pieces of its
-length; ranks come from counts by (length, hash bucket), so no task sees all pieces of a common length.
+length; ranks come from counts by (length, bucket), and every written row has a number of its own that deals it to a
+bucket, so no task sees all pieces of a common length or all copies of a row.
+
+Special tokens' strings in a text are these tokens, as the tokenizer has them when asked plainly.
 
 Defined results: a null text counts as empty and gives one piece, the end id; a null doc_id is kept as it is;
 rows with the same doc_id are separate documents; empty input gives no rows; further columns are ignored.
@@ -14,14 +17,16 @@ rows with the same doc_id are separate documents; empty input gives no rows; fur
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, texts_as_bytes, written
+from .common import table, texts_as_bytes, unused, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -44,7 +49,13 @@ def vocabulary_path(name: str) -> str:
 
 
 class WordIds:
-    """Ids of a text as little-endian bytes.  Tokens never cross white space, so words are kept with their ids."""
+    """Ids of a text as little-endian bytes, equal to those of encoding it whole.
+
+    What the tokenizer makes of a text never crosses an ASCII space: neither composition, nor special tokens (matched in
+    raw text, without spaces), nor the pattern that cuts words.  So words are encoded one by one and kept.  ASCII
+    capitals are lowered first unless the word may hold a special token, or a capital before a character that may
+    compose with it (some compositions exist in lower case only).
+    """
 
     def __init__(self, vocabulary: str, cached: int = CACHED):
         self.cached = cached
@@ -55,6 +66,13 @@ class WordIds:
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        heads = "|".join(re.escape(x[:2]) for x in sorted({*specials, "<|"}))
+        self.delicate = re.compile(heads.encode() + rb"|[A-Z][\xcb-\xff]").search
+        # Letters that the tokenizer itself keeps in one word with their neighbours and apart from stops and commas.
+        cut = lambda t: [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(t))]
+        plain = "".join(re.escape(c) for c in map(chr, range(0x41, 0x530)) if c.isalpha() and len(cut(f"a{c}a")) == 1 and cut(f"a{c}.")[1:] == ["."] and cut(f"{c},")[1:] == [","])
+        self.letters = re.compile(f"([{plain}]+)([.,]*)").fullmatch
         # Two generations: words not asked for while the young one fills up are forgotten.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -63,13 +81,13 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
     def together(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, in one go: each ends with the one token that ends a word."""
+        """Words of plain letters only, in one go: each ends with the one token that ends a word."""
         out: list[bytes] = []
         for at in range(0, len(words), 2048):
             part = words[at : at + 2048]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) != len(part):  # letters that fall apart in lower case
+            if len(cuts) != len(part):  # a vocabulary without word ends
                 out += self.one_by_one(part)
                 continue
             raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
@@ -77,21 +95,27 @@ class WordIds:
         return out
 
     def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not kept; stops and commas behind a letter are tokens of their own."""
-        stems = {w: w.rstrip(b".,") for w in words}
-        stems = {w: s for w, s in stems.items() if s and len(s) < len(w) and s.decode("utf-8", "replace")[-1].isalpha()}
-        found = {x: self.young.get(x) or self.old.get(x) for w, s in stems.items() for x in (s, w[len(s) :])}
-        need = [x for x in {*found, *(w for w in words if w not in stems)} if not found.get(x)]
-        texts = [x.decode("utf-8") for x in need]
-        letters = [t.isalpha() for t in texts]
-        fast = iter(self.together([t for t, a in zip(texts, letters) if a]))
-        slow = iter(self.one_by_one([t for t, a in zip(texts, letters) if not a]))
-        for x, a in zip(need, letters):
-            found[x] = next(fast) if a else next(slow)
-        return found | {w: found[s] + found[w[len(s) :]] for w, s in stems.items()}
+        """Ids of words that are not kept; stops and commas behind plain letters are words of their own."""
+        texts = [w.decode("utf-8") for w in words]
+        parts = [m.groups() if (m := self.letters(t)) else (t, "") for t in texts]
+        plain = [self.letters(t) is not None for t, _ in parts]
+        stems = list(dict.fromkeys(t for (t, _), a in zip(parts, plain) if a))
+        others = list(dict.fromkeys([t for (t, _), a in zip(parts, plain) if not a] + [stop for _, stop in parts if stop]))
+        get = lambda t: self.young.get(t.encode()) or self.old.get(t.encode())
+        found = {t: got for t in (*stems, *others) if (got := get(t)) is not None}
+        stems, others = [t for t in stems if t not in found], [t for t in others if t not in found]
+        found |= zip(stems, self.together(stems))
+        found |= zip(others, self.one_by_one(others))
+        out = {w: found[t] + found[stop] if stop else found[t] for w, (t, stop) in zip(words, parts)}
+        return out | {t.encode(): ids for t, ids in found.items()}
+
+    def words(self, text: bytes) -> list[bytes]:
+        if self.delicate(text):
+            return [w if self.delicate(w) else w.lower() for w in text.split()]
+        return text.lower().split()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.lower().split() for text in texts]
+        split = [self.words(text) for text in texts]
         found = [list(map(self.young.get, words)) for words in split]
         new: dict[bytes, bytes | None] = {}
         for words, got in zip(split, found):
@@ -215,50 +239,45 @@ def slots(patterns: list[tuple[int, list[int]]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length and any others).
+    """Adds sequence_id and offset to pieces (length and any other columns, none of these two names).
 
-    ``pieces`` is read three times: give a written table.
+    The pieces are written once, each with a number of its own: it deals equal rows over buckets and orders them.
     """
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     spark = pieces.sparkSession
+    if clash := {"sequence_id", "offset"} & set(pieces.columns):
+        raise ValueError(f"pieces have columns of the result's names: {sorted(clash)}")
+    row, bucket, own, before, rank = (unused(pieces, x) for x in ("_row", "_bucket", "_own", "_before", "_rank"))
+    numbered = written(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    counts = {r.length: r.n for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
     plan = spark.sparkContext.broadcast(slots(best_two_fit(counts, capacity)))
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    others = [c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length")]
-    own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", *others)
-    ranked = dealt.withColumn("_own", F.row_number().over(own)).join(offsets, ["length", "_bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_own") - 1).cast("long").alias("_rank"))
-    schema = with_places(ranked)
+    dealt = numbered.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)))
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("length", bucket).agg(F.count("*").alias(own)).select("length", bucket, F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias(before))
+    ranked = dealt.withColumn(own, F.row_number().over(Window.partitionBy("length", bucket).orderBy(row))).join(offsets, ["length", bucket])
+    ranked = ranked.select(*pieces.columns, (F.col(before) + F.col(own) - 1).cast("long").alias(rank))
+    kept = [f for f in pieces.schema.fields]
+    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = plan.value
         span = int(rows[:, 1].max(initial=0)) + 1
         for batch in it:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            length, nth = batch.column("length").to_numpy().astype(np.int64), batch.column(rank).to_numpy()
             # Ranks past the last slot's start still belong to it, so keys are bounded by the span.
-            at = np.searchsorted(rows[:, 0] * span + rows[:, 1], length * span + np.minimum(rank, span - 1), side="right") - 1
+            at = np.searchsorted(rows[:, 0] * span + rows[:, 1], length * span + np.minimum(nth, span - 1), side="right") - 1
             _, first, sequence, n, offset = rows[at].T
-            nth = rank - first
-            keep = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_rank"]
-            names = [name for name in batch.schema.names if name != "_rank"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence + nth // n), pa.array(offset + nth % n * length)], names=[*names, "sequence_id", "offset"])
+            nth = nth - first
+            columns = [batch.column(i) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence + nth // n), pa.array(offset + nth % n * length)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, schema)
 
 
-def with_places(ranked: DataFrame):
-    from pyspark.sql import types as T
-
-    kept = [f for f in ranked.schema.fields if f.name != "_rank"]
-    return T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, cached: int = CACHED) -> DataFrame:
     """Pieces with the digest of their ids, and their places in sequences.  ``cached`` trades memory for time only."""
     pieces = token_pieces(docs, capacity, vocabulary, cached).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(written(pieces, "pieces"), capacity)
+    return pack(pieces, capacity)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,9 +38,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def unsigned_hex(c: Column) -> Column:
-    """A long's 64 bits as 16 lowercase hex digits."""
-    return F.lower(F.lpad(F.hex(c), 16, "0"))
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def texts_as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:

@@ -47,6 +47,48 @@ def test_query_against_the_tokenizer(spark, put):
     assert len(bins) <= -(-total // 2048) + 1
 
 
+def test_ids_of_random_texts_are_the_tokenizers():
+    r = random.Random(1)
+    words = P.WordIds(P.VOCABULARY, cached=5000)
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|", "|>", "H\u0331", "\u0130", "\u095b,", "\u092a\u095d.", "\u09df,", "\ufb2a,", "\u0f40\u0fb7.", "\u03a3", "\u03a3\u0391\u03a3.", "'LL", "\u212a"]
+
+    def piece():
+        kind = r.random()
+        if kind < 0.4:
+            return r.choice("abcHTWXYZ.,'0 9<|>\n")
+        if kind < 0.6:
+            return chr(r.randrange(0x300, 0x370) if kind < 0.5 else r.randrange(0xA0, 0x530))
+        if kind < 0.7:
+            return r.choice(special)
+        c = r.randrange(0x10F7FF)
+        return chr(c if c < 0xD800 else c + 0x800)
+
+    texts = special + [x + "." for x in special] + ["".join(piece() for _ in range(r.randrange(1, 14))) for _ in range(100_000)]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        got = words.ids([t.encode() for t in part])
+        want = words.tokenizer.encode_batch(part, add_special_tokens=False)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+
+
+def test_other_columns_stay_and_equal_rows_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 50)
+    rows = [(None, 0, 0, 5, "a", 1)] * 400 + [(7, 0, 0, 3, "b", 2)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, _bucket string, _rank int")
+    got = P.pack(df, 8)
+    assert got.columns == [*df.columns, "sequence_id", "offset"]
+    bins = {}
+    for r in got.collect():
+        assert (r._bucket, r._rank) == (("a", 1) if r.doc_id is None else ("b", 2))
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(map(len, bins.values())) == 700
+    for b in bins.values():
+        ends = [0] + [o + n for o, n in sorted(b)]
+        assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 8
+    # 300 sequences of 5 + 3, then fives alone.
+    assert len(bins) == 400
+
+
 def test_two_replace_the_smallest():
     # Greedy gives 6+3 with a gap of 1; 2+2 instead of 3 fill it.
     assert P.best_two_fit({6: 1, 3: 1, 2: 2}, 10) == [(1, [6, 2, 2]), (1, [3])]
