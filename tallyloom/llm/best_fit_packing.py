@@ -36,7 +36,7 @@ CACHED, LONGEST = 800_000, 48
 #: Bytes of text whose words are looked up together.
 TOGETHER = 2 << 20
 #: Pieces in one rank bucket of one length, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -249,13 +249,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     row, bucket, own, before, rank = (unused(pieces, x) for x in ("_row", "_bucket", "_own", "_before", "_rank"))
     numbered = written(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in numbered.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
+    # One row a length, so at most ``capacity`` of them go to all tasks.
+    buckets = F.broadcast(spark.createDataFrame([(n, -(-c // BUCKET_ROWS)) for n, c in counts.items()], f"length long, {own} long"))
     plan = spark.sparkContext.broadcast(slots(best_two_fit(counts, capacity)))
-    dealt = numbered.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)))
+    dealt = numbered.withColumn("length", F.col("length").cast("long")).join(buckets, "length").withColumn(bucket, F.pmod(F.xxhash64(row), F.col(own))).drop(own)
     earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("length", bucket).agg(F.count("*").alias(own)).select("length", bucket, F.coalesce(F.sum(own).over(earlier), F.lit(0)).alias(before))
     ranked = dealt.withColumn(own, F.row_number().over(Window.partitionBy("length", bucket).orderBy(row))).join(offsets, ["length", bucket])
-    ranked = ranked.select(*pieces.columns, (F.col(before) + F.col(own) - 1).cast("long").alias(rank))
+    ranked = ranked.select(*(F.col(f.name).cast(f.dataType) for f in pieces.schema.fields), (F.col(before) + F.col(own) - 1).cast("long").alias(rank))
     kept = [f for f in pieces.schema.fields]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may do without."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = f"file:///tmp/checkpoints/{context.applicationId}"
         context.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -30,12 +33,39 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, safe from lost executors, lineage cut."""
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, computed once, safe from lost executors, lineage cut; and its path."""
     spark = df.sparkSession
     at = fresh_dir(spark, what)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    return written_at(df, what)[0]
+
+
+def forget(path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    filesystem, at = pafs.FileSystem.from_uri(path)
+    filesystem.delete_dir(at)
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = 1000, least: int = 2000) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once, so that no task gets all rows of a hot key.
+
+    Keys of more than one in ``share`` rows of ``left`` are fewer than ``share``, whatever the data: their right rows are sent to
+    all tasks.  ``left`` is read twice more for their counts: give a written table or a short plan.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
+    limit = max(least, left.count() // share)
+    hot = [r[key] for r in counts.filter(F.col("_rows") > limit).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in hot], left.select(key).schema))
+    many = left.join(keys, key, "left_semi").join(F.broadcast(right.join(keys, key, "left_semi")), key, how)
+    few = left.join(keys, key, "left_anti").join(right.join(keys, key, "left_anti"), key, how)
+    return few.unionByName(many)
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints, BK-trees by shard, components.
 
-Fingerprints of every document are made in one pass.  Two fingerprints that differ in at most ``radius`` bits
-agree in at least one of ``radius + 1`` bands, so every shard holds the fingerprints with one band value and no
-link crosses all shards.  In each shard a BK-tree is built (children keyed by their Hamming distance to the
+Fingerprints of every document are made in one pass.  Of ``radius + 2`` bands, two fingerprints that differ in at most
+``radius`` bits agree in at least two, so every shard holds the fingerprints with one pair of band values (26 of 64 bits) and no
+link crosses all shards.  A shard of too many fingerprints is dealt over cells, one for each pair of its parts.  In each cell a BK-tree is built (children keyed by their Hamming distance to the
 parent) and searched following only edges within the radius.  The trees grow with the data, so they are not
 sent to all executors: they are built where the shuffle brings their shard, and only spanning links leave.
 Equal fingerprints are one node, and a subtree that lies wholly in the searcher's component is passed over, so
@@ -16,27 +16,27 @@ further columns are ignored by the query and kept by the stage.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_as_bytes, written
+from .common import join_one, table, texts_as_bytes, unused, written
 from .components import connected_components
 
 SEED = 42
 CHUNK = 1 << 15
 #: Similarity that links in similar_classes(); with four lanes 39 bits differ at it (deviation under 6).
 SIMILAR = 0.8
-#: Bits that may differ in a candidate, bits in a band, and the strides (odd) by which bits are shared out to bands.
-RADIUS_256, WIDTH, STRIDES = 58, 12, (1, 23, 91)
+#: Bits that may differ in a candidate, bits that do at the similarity, the chance that bands miss such a pair, and nodes in a shard.
+RADIUS_256, DIFFER, MISS, NEAR_SHARD = 58, 39, 1e-4, 256
 #: Pairs whose distance is worked out at once.
 PAIRS = 1 << 18
-#: Rows of whole shards that are searched together.
-SHARD_ROWS = 60_000
+#: Rows of whole shards that are searched together, and rows of a shard or cell.
+SHARD_ROWS, CELL_ROWS = 60_000, 200_000
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -75,16 +75,22 @@ def fingerprint(text: bytes, k: int, lanes: int = 1) -> bytes:
     return out
 
 
+def text_hash(text: Column) -> Column:
+    """With the doc_id it tells rows apart whose doc_id is repeated."""
+    return F.xxhash64(text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, k: int, lanes: int = 1, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is 8 bytes a lane."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+    """(doc_id, text_hash, fp): fp is 8 bytes a lane."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary())])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             fps = [fingerprint(t, k, lanes) for t in texts_as_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], schema=schema)
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make, "doc_id long, fp binary")
+    src = docs.select(F.col(doc).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return src.mapInArrow(make, "doc_id long, text_hash long, fp binary")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,10 +196,21 @@ def as_points(fps: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), ">u8").astype(np.uint64).reshape(len(rows), -1)
 
 
-def exact_bands(bits: int, radius: int) -> list[list[int]]:
-    """radius + 1 bands that share out all bits: links within the radius agree in one of them."""
-    n = radius + 1
-    return [list(range(bits * b // n, bits * (b + 1) // n)) for b in range(n)]
+def exact_bands(bits: int, radius: int, together: int = 2) -> list[list[int]]:
+    """All sets of ``together`` of radius + together bands that share out the bits: links within the radius agree in one set."""
+    n = radius + together
+    bands = [range(bits * b // n, bits * (b + 1) // n) for b in range(n)]
+    return [[i for band in some for i in band] for some in combinations(bands, together)]
+
+
+def candidate_bands(nodes: int, bits: int = 256) -> list[list[int]]:
+    """Bands for candidates among so many nodes: they grow wider with the nodes, so that shards do not grow, and as many more
+    as keep the chance that a pair at the similarity agrees in none below MISS."""
+    width = max(12, int(np.ceil(np.log2(max(nodes, 1) / NEAR_SHARD))))
+    agree = (1 - DIFFER / bits) ** width
+    rounds = -(-int(np.ceil(np.log(MISS) / np.log(1 - agree))) // (bits // width))
+    orders = np.random.default_rng(5).permuted(np.tile(np.arange(bits), (rounds, 1)), axis=1)
+    return [order[at : at + width].tolist() for order in orders for at in range(0, bits - width + 1, width)]
 
 
 def spanning_links(nodes: DataFrame, radius: int, bands: list[list[int]]) -> DataFrame:
@@ -232,8 +249,22 @@ def spanning_links(nodes: DataFrame, radius: int, bands: list[list[int]]) -> Dat
         if held:
             yield search(held)
 
-    shards = nodes.mapInArrow(keyed, "shard long, fp binary").repartition("shard").sortWithinPartitions("shard")
-    return shards.mapInArrow(by_shard, "u binary, v binary")
+    shards = in_cells(nodes.mapInArrow(keyed, "shard long, fp binary"), "shard", "fp")
+    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(by_shard, "u binary, v binary")
+
+
+def in_cells(rows: DataFrame, shard: str, fp: str, most: int = 0) -> DataFrame:
+    """Rows of a shard larger than ``most`` are dealt to g parts by hash and go to the g cells of pairs of parts that theirs is in.
+
+    Each pair of rows meets in a cell and no cell holds more than about ``most``; other shards stay as they are.  Shard numbers
+    of cells are hashes: two that are equal only search more together than they must.
+    """
+    most = most or CELL_ROWS
+    large = rows.groupBy(shard).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(shard, F.ceil(F.col("_n") * 2 / most).cast("int").alias("_g"))
+    part = F.pmod(F.xxhash64(fp), F.col("_g"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("_g") - 1), lambda i: F.xxhash64(F.col(shard), F.least(i, part), F.greatest(i, part)))
+    dealt = rows.join(large, shard, "left").withColumn("_cell", F.explode(F.when(F.col("_g").isNull(), F.array(F.col(shard))).otherwise(cells)))
+    return dealt.withColumn(shard, F.col("_cell")).drop("_g", "_cell")
 
 
 def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: bool) -> DataFrame:
@@ -336,17 +367,20 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lanes
 
 
 def with_components(fps: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) from the least doc_id of each node and the stars (fp, root) of linked nodes."""
-    rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # Only nodes in components of several need another least doc_id.
-    linked = stars.select(F.col("root")).unionByName(stars.select(F.col("fp").alias("root"))).distinct()
-    low = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("low"))
-    of_node = rooted.join(low, "root", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
-    return fps.join(of_node, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    """(doc_id, text_hash, fp, component_id, first_hash) from the first row of each node and the stars (fp, root) of linked nodes."""
+    rooted = written(nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    # Only nodes in components of several need another first row.
+    low = stars.select("root").distinct().join(rooted, "root").groupBy("root").agg(F.min(F.struct("least", "least_hash")).alias("low"))
+    of_node = join_one(rooted, low, "root", "left").select("fp", F.coalesce("low", F.struct("least", "least_hash")).alias("low"))
+    got = join_one(fps, of_node, "fp", "left")
+    named = F.col("doc_id").isNotNull()
+    return got.select("doc_id", "text_hash", "fp", F.when(named, F.col("low.least")).alias("component_id"), F.when(named, F.col("low.least_hash")).alias("first_hash"))
 
 
 def nodes_of(fps: DataFrame) -> DataFrame:
-    return written(fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    """(fp, least, least_hash): the first row of each fingerprint."""
+    first = F.min(F.struct("doc_id", "text_hash"))
+    return written(fps.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.doc_id").alias("least"), F.col("x.text_hash").alias("least_hash")), "nodes")
 
 
 def stars_of(links: DataFrame) -> DataFrame:
@@ -354,7 +388,7 @@ def stars_of(links: DataFrame) -> DataFrame:
 
 
 def simhash_classes(docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1, bands: list[list[int]] | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the least doc_id reachable over fingerprints within the radius.
+    """(doc_id, text_hash, fp, component_id, first_hash): the least doc_id reachable over fingerprints within the radius.
 
     ``bands``: the sets of bits by which shards are made; by default exact_bands(), which loses no link.
     """
@@ -371,9 +405,9 @@ def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str
     Each link is then confirmed on the shingles themselves.  First each node's nearest neighbour is tried, so that groups of copies
     become one; then all candidates between different groups, so that none is left out.
     """
-    bands = [[(t * WIDTH + j) * stride % 256 for j in range(WIDTH)] for stride in STRIDES for t in range(256 // WIDTH)]
     fps = written(fingerprints(docs, k, 4, doc, text), "fingerprints")
     nodes = nodes_of(fps)
+    bands = candidate_bands(nodes.count())
     first = written(near_pairs(nodes.withColumn("root", F.col("fp")), RADIUS_256, bands, True), "nearest")
     sure = confirmed(first, nodes, docs, k, 4, doc, text)
     rooted = nodes.join(stars_of(sure), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -383,18 +417,22 @@ def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without all but the first document (least doc_id) of each class; rows without id stay.
+    """The rows of docs without all but the first of each class (least doc_id, then least text hash); rows without id stay.
 
-    Where a doc_id is repeated, the row with the least text hash stands for it.
+    Rows are told apart by doc_id and text, so a row goes only if its own text is in the class of an earlier one.  Of rows
+    equal in both, one stays.
     """
-    lost = classes.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(lost, docs[doc] == lost["doc_id"], "left_anti")
-    if classes.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        named = kept.filter(F.col(doc).isNotNull())
-        best = named.groupBy(doc).agg(F.min(F.xxhash64(text)).alias("_h"))
-        one = named.join(best.withColumnRenamed(doc, "_d"), (F.col(doc) == F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left_semi")
-        kept = one.dropDuplicates([doc]).unionByName(kept.filter(F.col(doc).isNull()))
-    return kept
+    hashed = unused(docs, "_text_hash")
+    marked = docs.withColumn(hashed, text_hash(F.col(text)))
+    rows = classes.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "component_id", "first_hash")
+    first = (F.col("_d") == F.col("component_id")) & (F.col("_h") == F.col("first_hash"))
+    mine = (F.col(doc).cast("long") == F.col("_d")) & (F.col(hashed) == F.col("_h"))
+    kept = marked.join(rows.filter(~first).select("_d", "_h").distinct(), mine, "left_anti")
+    again = written(rows.filter(first).groupBy("_d", "_h").agg(F.count("*").alias("n")).filter("n > 1"), "again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, mine, "left_semi").dropDuplicates([doc, hashed])
+    return kept.join(again, mine, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,9 +99,57 @@ def test_empty_and_keep_one(spark, put):
     assert S.op9_simhash_dedup(spark, d).count() == 0
     docs = spark.createDataFrame(corpus(), SCHEMA)
     kept = S.keep_one(docs, S.simhash_classes(docs))
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in brute(corpus()) if c is not None}) and ids.count(None) == 2
     assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    # By row: of each class the least doc_id, and of its rows in the class one text; rows with a doc_id of another class stay.
+    of = {}
+    for (d, t, *_), (_, _, c) in zip(sorted(corpus(), key=lambda x: repr((x[0], f"{brute_fp(x[1]):016x}"))), sorted(brute(corpus()), key=lambda x: repr(x[:2]))):
+        of.setdefault((c, None if c is None else d), []).append(t)
+    want = {(c, d): ts for (c, d), ts in of.items() if c is None or c == d}
+    # The two texts of id 5 are classes of their own that have the same least id.
+    assert sum(len(ts) if c is None else 1 for (c, _), ts in want.items()) + 1 == len(got)
+    assert all(t in want[None if d is None else d, d] for d, t in got)
+    assert sorted(t for d, t in got if d == 5) == sorted({t for d, t, *_ in corpus() if d == 5}) and [d for d, _ in got].count(None) == 2
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    r = random.Random(2)
+    text = [" ".join(r.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(4)]
+    # 7 is a copy of 1 in one of its rows only; 8 repeats a row; 9 has two texts of its own.
+    rows = [(1, text[0]), (7, text[0]), (7, text[1]), (8, text[2]), (8, text[2]), (9, text[3]), (9, text[3] + " more")]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, _text_hash int")
+    kept = S.keep_one(docs, S.similar_classes(docs))
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert [d for d, _ in got] == [1, 7, 8, 9] and (7, text[1]) in got
+
+
+def test_large_shards_are_searched_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_ROWS", 20)
+    r = np.random.default_rng(9)
+    rows = []
+    for n in range(300):
+        x = 0x123456789ABCDEF0
+        for bit in r.integers(0, 64, int(r.integers(0, 6))):
+            x ^= 1 << int(bit)
+        rows.append(x)
+    rows = sorted(set(rows))
+    nodes = spark.createDataFrame([(x.to_bytes(8, "big"),) for x in rows], "fp binary")
+    links = S.spanning_links(nodes, 3, S.exact_bands(64, 3))
+    root = {bytes(u.fp): bytes(u.root) for u in S.stars_of(links).collect()}
+    got = {}
+    for x in rows:
+        fp = x.to_bytes(8, "big")
+        got.setdefault(root.get(fp, fp), set()).add(x)
+    todo, want = set(rows), []
+    while todo:
+        reach, new = set(), {min(todo)}
+        while new:
+            reach |= new
+            new = {y for y in todo - reach if any((x ^ y).bit_count() <= 3 for x in new)}
+        want.append(reach)
+        todo -= reach
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
 
 
 def test_similar_classes_are_those_of_exact_similarity(spark):
@@ -122,7 +170,7 @@ def test_similar_classes_are_those_of_exact_similarity(spark):
         base[r.randrange(300)] = r.choice(words)
         rows.append((1000 + i, " ".join(base)))
     rows += [(2000, None), (2001, ""), (None, rows[0][1])]
-    got = {d: c for d, _, c in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {d: c for d, _, _, c, _ in S.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sure, want = 0, {}
     for i in range(120):
         a, b = shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])
