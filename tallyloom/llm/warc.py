@@ -28,11 +28,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_dir, table, written
+from .common import batches, fresh_dir, join_one, table, written
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 8 << 20
-READ_BYTES = 1 << 20
+READ_BYTES, INFLATE_BYTES = 1 << 20, 1 << 14
+#: Bytes of archives for one reading task, about.
+TASK_BYTES = 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 DATE = "2026-01-01T00:00:00Z"
@@ -76,12 +78,16 @@ def member(page_id: int | None, url: str | None, payload: bytes, revisit: bool,
 
 
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, payload, is_revisit, refers_to).  Only digests are shuffled to find equal payloads."""
+    """(page_id, url, payload, is_revisit, refers_to).
+
+    Equal payloads are found over SHA-256 digests alone.  The payloads themselves move once, where the revisits are too many to
+    be sent to all tasks.
+    """
     src = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    src = src.withColumn("key", F.sha1("payload"))
-    keyed = src.filter(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "key")
+    src = src.withColumn("key", F.unhex(F.sha2("payload", 256)))
+    keyed = written(src.filter(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "key"), "digests")
     groups = keyed.groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter((F.col("n") > 1) & F.col("refers_to").isNotNull())
-    again = keyed.join(groups, "key").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("p"), F.col("key").alias("k"), "refers_to").distinct()
+    again = join_one(keyed, groups, "key").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("p"), F.col("key").alias("k"), "refers_to").distinct()
     again = written(again, "revisits")
     joined = src.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left")
     return joined.select("page_id", "url", "payload", F.col("k").isNotNull().alias("is_revisit"), "refers_to")
@@ -126,7 +132,9 @@ class Window:
         return self.base + len(self.data) >= at + n
 
     def drop(self, at: int) -> None:
-        self.data, self.base = self.data[at - self.base :], at
+        """Lets go of what lies before the place, once that is worth the copy."""
+        if at - self.base >= READ_BYTES:
+            self.data, self.base = self.data[at - self.base :], at
 
 
 def inflate(window: Window, at: int, most: int | None = None) -> tuple[bytes, int] | None:
@@ -137,7 +145,7 @@ def inflate(window: Window, at: int, most: int | None = None) -> tuple[bytes, in
         while not z.eof:
             if not window.need(place, 1):
                 return None
-            chunk = window.data[place - window.base : place - window.base + READ_BYTES]
+            chunk = window.data[place - window.base : place - window.base + INFLATE_BYTES]
             piece = z.decompress(chunk) if most is None else z.decompress(chunk, most)
             out.append(piece)
             got += len(piece)
@@ -219,7 +227,10 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads:
                 rows = read_range(path, start, end)
                 yield from batches(rows if payloads else ((*r[:-1], None) for r in rows), schema, 500 if payloads else 5000)
 
-    return ranges.repartition(F.xxhash64("path", "start")).mapInArrow(read, RECORD)
+    # The ranges' own rows are tiny, so the number of tasks follows from what they point to.
+    size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.ceil(F.col("bytes") / split_bytes)), F.lit(0)).alias("ranges")).first()
+    tasks = max(1, min(size.ranges, 4 * manifest.sparkSession.sparkContext.defaultParallelism), -(-size.bytes // TASK_BYTES))
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, RECORD)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

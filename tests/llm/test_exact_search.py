@@ -52,6 +52,25 @@ def test_bounds_leave_candidates_out():
     assert n < 20 * 1000
 
 
+def test_large_components_are_exact(spark, put):
+    r = random.Random(4)
+    schema = SCHEMA.replace("float", "double")
+    rows = [(0, [1e7, 3.0]), (1, [1e7, 1 / 256]), (2, [1e7, 2 / 256]), (3, [9e6, -4.0])]
+    rows += [(50 + i, [r.choice([1, -1]) * 2.0 ** r.uniform(-10, 23) for _ in range(2)]) for i in range(150)]
+    got = sorted(map(tuple, E.op2_exact_search(spark, put(embeddings=spark.createDataFrame([(i, e, 0, "q", 0, 0) for i, e in rows], schema))).collect()))
+    assert got == brute(rows) and (0, 1, 2, 6553600000000001536) in got
+    # Beyond long, scores stand at its ends and ties go to the smaller id.
+    rows = [(0, [1e40, -1e40]), (1, [1e40, 1e40]), (2, [-1e300, 1e300]), (3, [1.7e308, -5e-324]), (4, [2.0, 1.0]), (5, [1e200, 1e100]), (50, [1.0, 2.0]), (100, [1e308, 1e308])]
+    whole = {i: [math.floor(256 * int(x)) if abs(x) > 1e300 else math.floor(256 * x) for x in e] for i, e in rows}
+    clamp = lambda v: min(max(v, -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for q in (0, 50, 100):
+        s = sorted((-clamp(sum(a * b for a, b in zip(whole[q], x))), j) for j, x in whole.items() if j != q)
+        want += [(q, n + 1, j, -v) for n, (v, j) in enumerate(s[:5])]
+    got = sorted(map(tuple, E.op2_exact_search(spark, put(embeddings=spark.createDataFrame([(i, e, 0, "q", 0, 0) for i, e in rows], schema))).collect()))
+    assert got == want
+
+
 def test_sql(spark, sf_dir):
     import duckdb
 
