@@ -1,4 +1,5 @@
 import random
+import time
 
 from tallyloom.llm import decontamination as D
 
@@ -36,6 +37,19 @@ def test_tiles_against_brute_force():
         assert D.greedy_tiles(p, t, k) == brute_tiles(p, t, k)
 
 
+def test_repetitive_texts_cost_little():
+    r = random.Random(3)
+    for p, t in (([1, 2] * 12, [1, 2] * 40 + [3] + [2, 1] * 9), ([1] * 17, [1] * 60), ([1, 1, 2] * 7, [1, 2, 1, 1, 2, 1] * 9), ([r.randrange(2) for _ in range(24)], [r.randrange(2) for _ in range(90)])):
+        assert D.greedy_tiles(p, t, 5) == brute_tiles(p, t, 5)
+    began = time.perf_counter()
+    assert D.greedy_tiles([1, 2] * 250, [1, 2] * 500_000, 5) == [(0, 0, 500)]
+    assert sum(n for *_, n in D.greedy_tiles([1, 2, 3] * 200, ([1, 2, 3] * 30 + [4]) * 5000, 5)) == 600
+    # A run that many items and all of a long document hold.
+    items = D.Items([(i, f"a b c d e f{i} g{i} h{i} i{i} j{i} k{i} l{i}") for i in range(3000)], 5, 0.5)
+    assert items.leaks(["a b c d e " * 100_000 + "a b c d e f7 g7"]) == [[(7, 7 / 12, [(0, 500_000, 7)])]]
+    assert time.perf_counter() - began < 20
+
+
 def corpus():
     r = random.Random(2)
     words = [f"w{i}" for i in range(500)]
@@ -53,7 +67,7 @@ def corpus():
         if kind == 3:
             w[5:5] = item[: len(item) // 3]
         docs.append((i, " ".join(w)))
-    docs += [(100, None), (101, ""), (102, "A, b; c. D e"), (102, "A, b; c. D e"), (103, "x " * 50_000 + "a b c d e " * 3), (None, "n1 n2 n3 n4 n5 n6"), (104, "a b c d")]
+    docs += [(100, None), (101, ""), (102, "A, b; c. D e"), (102, "A, b; c. D e"), (103, "x " * 900 + "a b c d e " * 3), (105, " ".join(["a b c d e f"] * 40)), (106, "c d e a b " * 60), (None, "n1 n2 n3 n4 n5 n6"), (104, "a b c d")]
     return docs, items
 
 
@@ -61,7 +75,7 @@ def brute(docs, items):
     out = []
     for d, t in docs:
         for i, u in set(items):
-            p, q = D.words_of(u), D.words_of(t)[-400:]
+            p, q = D.words_of(u), D.words_of(t)
             if len(p) < 5:
                 continue
             ids = {w: n for n, w in enumerate(dict.fromkeys(p))}
