@@ -11,10 +11,13 @@ words; as in the base score, all words that training has not seen are one event
 probabilities of the events sum to one.
 
 Weights start from the unigram model and are trained by gradient updates in one pass over all training documents, which
-are shared out to rounds: shards of a round each take AdaGrad steps over their own documents from the same weights, and the changes
-are averaged by how often each weight moved.  The weights have a fixed size, set by the parameters.  Counts
-of frequent words (a bounded number) go to all tasks; the rest of each text's words meet their counts in a
-join.
+are shared out to rounds (each document is learnt from once): shards of a round each take AdaGrad steps over their own documents
+from the same weights, and the changes are averaged by how often each weight moved.  Changes meet in two steps, first those of
+about as many shards as the root of their number, then by block of weights, so no task gets those of all shards.
+
+What is learnt grows with the training tokens N: symbols are the square of a side of about 32 * (N / 2^24)^(1/12), the rows
+for pairs of symbols grow with the cube root of N, those within classes with the side; the counts of words are whole.  Counts of
+frequent words (a bounded number) go to all tasks; the rest of each text's words meet their counts in a join.
 
 Defined results: a null text counts as empty (its end is scored); rows with a null doc_id have no remainder and are
 held out, with held_out true; repeated rows are each scored and each learned from; without training documents
@@ -35,15 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import table, texts_as_bytes, written
 
-CLASSES, IN_CLASS = 32, 32
-#: Groups of infrequent words: by frequent endings, then by hash.
-ENDINGS, HASHED = 112, 16
-#: Rows of hashed weights: pairs of symbols for classes, symbols for each class.
-PAIRS, WITHIN = 4096, 512
+#: Classes, and symbols in a class, and rows of hashed weights for pairs of symbols, at so many training tokens or fewer.
+SIDE, PAIRS, FROM = 32, 4096, 1 << 24
 #: Words whose counts go to all tasks, at most.
 HEAD = 1 << 18
-#: Tokens of one training shard, about, and rounds.
-SHARD_TOKENS, ROUNDS = 1 << 22, 2
+#: Tokens of one training shard, about and at least (and so many for each weight), and rounds.
+SHARD_TOKENS, TOKENS_A_WEIGHT, ROUNDS = 1 << 22, 2, 2
 STEP, RATE = 8192, 0.15
 #: Distinct words a counting task holds before it hands them on.
 HELD = 300_000
@@ -103,15 +103,20 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int):
         self.total, self.distinct = total, distinct
-        size = CLASSES * IN_CLASS
-        groups = ENDINGS + HASHED
+        more = max(1.0, total / FROM)
+        self.side = SIDE // 8 * round(8 * more ** (1 / 12))
+        self.pairs = PAIRS << int(np.ceil(np.log2(more) / 3))
+        size = self.side**2
+        # Groups of infrequent words: by frequent endings, then by hash.
+        self.n_endings, self.n_hashed = size * 7 // 64, size // 64
+        groups = self.n_endings + self.n_hashed
         frequent = [w for w, _ in head if w != END][: size - groups - 1]
         chosen = set(frequent)
         rest = Counter()
         for w, c in head:
             if w != END and w not in chosen:
                 rest[w[-3:]] += c
-        self.endings = {e: 1 + i for i, (e, _) in enumerate(sorted(rest.items(), key=lambda x: (-x[1], x[0]))[:ENDINGS])}
+        self.endings = {e: 1 + i for i, (e, _) in enumerate(sorted(rest.items(), key=lambda x: (-x[1], x[0]))[: self.n_endings])}
         self.first_word = 1 + groups
         self.words = {w: self.first_word + i for i, w in enumerate(frequent)}
         self.words[END] = 0
@@ -120,7 +125,7 @@ class Vocabulary:
         self.group_v = np.zeros(groups + 1)
 
     def group(self, word: bytes) -> int:
-        return self.endings.get(word[-3:]) or 1 + ENDINGS + crc32(word[-2:]) % HASHED
+        return self.endings.get(word[-3:]) or 1 + self.n_endings + crc32(word[-2:]) % self.n_hashed
 
     def symbol(self, word: bytes) -> int:
         s = self.words.get(word)
@@ -140,9 +145,9 @@ class Vocabulary:
         mass = np.where(live, n + 0.1, -1)
         order = np.argsort(-mass, kind="stable")
         self.cls, self.place = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
-        self.cls[order], self.place[order] = np.divmod(np.arange(self.size), IN_CLASS)
+        self.cls[order], self.place[order] = np.divmod(np.arange(self.size), self.side)
         share = np.where(live, n + 0.1, 0.0)
-        by_class = np.zeros((CLASSES, IN_CLASS))
+        by_class = np.zeros((self.side, self.side))
         by_class[self.cls, self.place] = share
         with np.errstate(divide="ignore", invalid="ignore"):
             self.class_bias = np.maximum(np.log(by_class.sum(1) / share.sum()), -80).astype(np.float32)
@@ -166,53 +171,57 @@ class Vocabulary:
         other = np.flatnonzero(at == none)
         rare = [words[i] for i in other.tolist()]
         if rare:
-            ending, base = self.endings.get, 1 + ENDINGS
-            sym[other] = [ending(w[-3:]) or base + crc32(w[-2:]) % HASHED for w in rare]
+            ending, base, hashed = self.endings.get, 1 + self.n_endings, self.n_hashed
+            sym[other] = [ending(w[-3:]) or base + crc32(w[-2:]) % hashed for w in rare]
         return at, sym, rare
 
 
 class Weights:
-    """Hashed weights of classes and of places within classes, and how often each row moved."""
+    """Hashed weights of classes and of places within classes."""
 
-    def __init__(self, symbols: int):
-        self.n = symbols + 1
-        self.cls = np.zeros((3 * self.n + PAIRS, CLASSES), np.float32)
-        self.place = np.zeros((CLASSES * 2 * WITHIN, IN_CLASS), np.float32)
+    def __init__(self, side: int, pairs: int):
+        self.side, self.pairs, self.within = side, pairs, side * 16
+        self.n = side**2 + 1
+        self.cls = np.zeros((3 * self.n + pairs, side), np.float32)
+        self.place = np.zeros((side * 2 * self.within, side), np.float32)
 
     def parts(self) -> tuple[np.ndarray, np.ndarray]:
         return self.cls, self.place
 
     def class_rows(self, p1: np.ndarray, p2: np.ndarray, p3: np.ndarray) -> list[np.ndarray]:
-        pair = (p1 * 40503 + p2 * 10007 + (p1 * p2) * 31) % PAIRS
+        pair = (p1 * 40503 + p2 * 10007 + (p1 * p2) * 31) % self.pairs
         return [p1, self.n + p2, 2 * self.n + p3, 3 * self.n + pair]
 
     def place_rows(self, cls: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> list[np.ndarray]:
-        at = cls * (2 * WITHIN)
-        return [at + p1 * 7919 % WITHIN, at + WITHIN + p2 * 7919 % WITHIN]
+        at = cls * (2 * self.within)
+        return [at + p1 * 7919 % self.within, at + self.within + p2 * 7919 % self.within]
 
 
 def softmax(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log of the target's probability, and all probabilities."""
-    z = weights[rows[0]]
+    """Natural log of the target's probability, and all probabilities.  Biases are logs of shares and weights stay small, so
+    only the upper end is held back; take() and products with ones are the fast ways for rows this short."""
+    z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        z += weights[r]
+        z += weights.take(r, axis=0)
     z += bias
-    z -= z.max(1, keepdims=True)
+    np.minimum(z, 80, out=z)
     chosen = z[np.arange(len(z)), target]
     np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
-    z /= total
-    return chosen - np.log(total[:, 0]), z
+    total = z @ np.ones(z.shape[1], np.float32)
+    z /= total[:, None]
+    return chosen - np.log(total), z
 
 
 def step(w: np.ndarray, speed: np.ndarray, moved: np.ndarray, rows: list[np.ndarray], p: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on the rows of a batch."""
     p[np.arange(len(p)), target] -= 1
+    narrow = np.uint16 if len(w) <= 1 << 16 else np.uint32
     for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
+        order = np.argsort(r.astype(narrow), kind="stable")
         key = r[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        g = np.add.reduceat(p[order], starts, axis=0)
+        # Numbers are added in twos, as complex ones.
+        g = np.add.reduceat(p.take(order, axis=0).view(np.complex64), starts, axis=0).view(np.float32)
         at = key[starts]
         speed[at] += (g * g).mean(1)
         w[at] -= RATE * g / np.sqrt(speed[at] + 1.0)[:, None]
@@ -245,7 +254,8 @@ def score_symbols(vocabulary: Vocabulary, weights: Weights, symbols: list[np.nda
     return np.add.reduceat(out, np.r_[0, np.cumsum(sizes)[:-1]]) / np.log(10)
 
 
-BLOCK = 1 << 12
+#: Rows of weights that are summed together.
+BLOCK, BLOCK_TASKS = 1 << 10, 16
 
 
 def train_round(texts: DataFrame, vocabulary, weights, shards: int) -> Weights:
@@ -255,7 +265,7 @@ def train_round(texts: DataFrame, vocabulary, weights, shards: int) -> Weights:
 
     def shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, base = vocabulary.value, weights.value
-        w = Weights(v.size)
+        w = Weights(base.side, base.pairs)
         for mine, theirs in zip(w.parts(), base.parts()):
             mine[:] = theirs
         speed = [np.zeros(len(x), np.float32) for x in w.parts()]
@@ -288,12 +298,12 @@ def train_round(texts: DataFrame, vocabulary, weights, shards: int) -> Weights:
             learn()
             any_ = True
         if any_:
-            block = 0
+            block, number = 0, pa.array([TaskContext.get().partitionId()], pa.int32())
             for mine, theirs, m in zip(w.parts(), base.parts(), moved):
                 change = mine - theirs
                 for at in range(0, len(m), BLOCK):
                     c, k = change[at : at + BLOCK] * m[at : at + BLOCK, None], m[at : at + BLOCK]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, c.tobytes(), k.tobytes()), out_schema)], schema=out_schema)
+                    yield pa.RecordBatch.from_arrays([number, *(pa.array([x], f.type) for x, f in zip((block, c.tobytes(), k.tobytes()), out_schema))], names=["shard", *out_schema.names])
                     block += 1
 
     def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +321,12 @@ def train_round(texts: DataFrame, vocabulary, weights, shards: int) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block, c.tobytes(), k.tobytes()), out_schema)], schema=out_schema)
 
     ddl = "block int, change binary, moved binary"
-    sums = texts.coalesce(shards).mapInArrow(shard, ddl).repartition(16, "block").mapInArrow(total, ddl).collect()
-    new = Weights(voc.size)
+    changes = texts.coalesce(shards).mapInArrow(shard, f"shard int, {ddl}")
+    if shards > 2:
+        groups = int(np.ceil(np.sqrt(shards)))
+        changes = changes.repartition(groups, F.pmod(F.col("shard"), F.lit(groups)))
+    sums = changes.select("block", "change", "moved").mapInArrow(total, ddl).repartition(BLOCK_TASKS, "block").mapInArrow(total, ddl).collect()
+    new = Weights(old.side, old.pairs)
     found = {r.block: r for r in sums}
     block = 0
     for mine, theirs in zip(new.parts(), old.parts()):
@@ -350,9 +364,10 @@ def fit(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> tuple:
     sums = counts.mapInArrow(by_symbol, "s int, n long, v long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     voc.finish({r.s: (r.n, r.v) for r in sums}, head)
     vocabulary = spark.sparkContext.broadcast(voc)
-    weights = spark.sparkContext.broadcast(Weights(voc.size))
+    weights = spark.sparkContext.broadcast(Weights(voc.side, voc.pairs))
     part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds))
-    shards = max(1, -(-total.n // (SHARD_TOKENS * rounds)))
+    each = max(SHARD_TOKENS, TOKENS_A_WEIGHT * sum(x.size for x in weights.value.parts()))
+    shards = max(1, -(-total.n // (each * rounds)))
     for r in range(rounds):
         mine = training.filter(part == r).select(F.col("text").cast("string").alias("text"))
         weights = spark.sparkContext.broadcast(train_round(mine, vocabulary, weights, shards))

@@ -60,5 +60,25 @@ def test_probabilities_sum_to_one(spark, monkeypatch):
     assert abs(total - 1) < 1e-4
 
 
+def test_the_model_grows_with_the_training_tokens():
+    sizes = []
+    for n in (10**6, 10**8, 10**10, 10**13):
+        v = L.Vocabulary([], n, 1)
+        sizes.append((v.side, v.pairs))
+        assert v.side % 4 == 0 and v.first_word < v.side**2
+    assert sizes == sorted(sizes) and len(set(sizes)) == 4 and sizes[-1][0] < 128
+
+
+def test_shards_meet_in_two_steps(spark, monkeypatch):
+    # Many shards change the weights as their mean says, whatever way they meet.
+    monkeypatch.setattr(L, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(L, "TOKENS_A_WEIGHT", 0)
+    docs = spark.createDataFrame(corpus(), SCHEMA).select("doc_id", "text").repartition(9, "doc_id")
+    _, v, w = L.fit(docs)
+    got = [r for r in L.score(docs, L.fit(docs)).collect() if r.held_out]
+    assert all(np.isfinite(x).all() and np.abs(x).max() > 0 for x in w.value.parts())
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 def test_empty(spark, put):
     assert L.op7_lm_scoring(spark, put(documents=spark.createDataFrame([], SCHEMA))).count() == 0
