@@ -10,7 +10,8 @@ backslash before each escaped character.  Each turn is first rendered as it is a
 does not give back the very same role and text (because they hold control strings or backslashes), the
 conflicting content is escaped.  One round is enough: a doubled backslash and a backslash inside every
 control string leave none in the text, and the parser undoes both.  The rendered conversation is parsed once
-more as a whole, and the query takes its results from that.
+more as a whole, every recovered role and text is compared with the source, and the query takes its results from that;
+a difference would fail it.
 
 Defined results: a null text or role counts as empty; a null turn sorts first; turns with equal numbers are
 ordered by role, then text, and repeated rows all stay; a null conv_id is a conversation of its own; empty
@@ -76,10 +77,11 @@ def parse_turns(segments: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a conversation: conv_id, n_turns, formatted, loss.
+    """One row a conversation: conv_id, n_turns, formatted, loss, source.
 
     ``loss`` lists the assistant spans to learn from: the number of the turn's segment (from 1), where that
-    segment starts, and the span's start and end, all in code points of ``formatted``.
+    segment starts, and the span's start and end, all in code points of ``formatted``.  ``source`` has the turns (role, text)
+    to hold the parsed ones against.
     """
     src = rows.select(
         F.col(conv).alias("conv_id"),
@@ -106,10 +108,11 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
         F.row_number().over(order).alias("segment"),
         F.coalesce(F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"),
         "role",
+        "text",
         "head",
         "body",
     )
-    turns = F.array_sort(F.collect_list(F.struct("segment", "at", "role", "head", "body")))
+    turns = F.array_sort(F.collect_list(F.struct("segment", "at", "role", "text", "head", "body")))
     whole = placed.groupBy("conv_id").agg(turns.alias("turns"))
     start = lambda t: t["at"] + F.char_length(t["head"])
     return whole.select(
@@ -120,6 +123,7 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
             F.filter("turns", lambda t: t["role"] == "assistant"),
             lambda t: F.struct(t["segment"].alias("segment"), t["at"].alias("segment_start"), start(t).alias("start"), (start(t) + F.char_length(t["body"])).alias("end")),
         ).alias("loss"),
+        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
     )
 
 
@@ -141,12 +145,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
     read = parse_conversations(format_conversations(rows.unionByName(extra)))
     read = read.withColumn("learn", F.concat_ws("", loss_texts(F.col("segments"), F.col("loss"))))
-    bad = ~F.forall("turns", lambda t: t["valid"]) | (F.size("turns") != F.col("n_turns"))
+    same = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == F.col("source")
+    bad = ~(F.forall("turns", lambda t: t["valid"]) & same)
     digest = F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256)
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.when(bad, F.raise_error(F.lit("the formatted text does not parse"))).otherwise(digest).alias("turns_sha256"),
+        F.when(bad, F.raise_error(F.lit("the formatted text does not give back its turns"))).otherwise(digest).alias("turns_sha256"),
         F.char_length("learn").cast("long").alias("loss_chars"),
         F.sha2("learn", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),

@@ -7,6 +7,9 @@ template.  Where too few stand close together the template is passed over withou
 passages that begin and end with a bigram of the template are compared in full; nothing else can be the best, as
 cutting foreign bigrams off an end raises the coefficient.
 
+Short statements differ in few words, so a passage counts only if its telling words (names such as "mit", "lesser" or
+"sharealike", and version numbers) are those of the template; and a passage within a few words of a negation before it ("not licensed under") does not count.
+
 Defined results: a null text counts as empty; texts and templates without bigrams match nothing; each document and
 licence gives one row, the best passage: the highest coefficient, then the first, then the shortest; a null doc_id and
 repeated rows give rows of their own; empty input gives no rows; further columns are ignored.
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, table
-from .licence_templates import TEMPLATES
+from .licence_templates import NEGATIONS, TELLING, TEMPLATES, VERSION_BEFORE
 
 THRESHOLD = 0.8
 CHUNK = 1 << 19
+#: Words before a passage in which a negation undoes it.
+NEGATED = 4
 WORD = re.compile(r"\w+")
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 
@@ -36,24 +41,52 @@ def words_of(text: str | None) -> list[str]:
     return [SPELLINGS.get(w, w) for w in WORD.findall((text or "").lower())]
 
 
+def is_number(word: str) -> bool:
+    """Digits, or digits behind a v."""
+    return word[-1].isdigit() and (word.isdigit() or (word[0] == "v" and word[1:].isdigit()))
+
+
 def dice(a: Counter, b: Counter) -> float:
     total = a.total() + b.total()
     return 2 * (a & b).total() / total if total else 0.0
 
 
 class Templates:
-    def __init__(self, templates: list[tuple[str, str]], threshold: float):
-        self.threshold = threshold
+    def __init__(self, templates: list[tuple[str, str]], threshold: float, telling: tuple[str, ...] | None = None):
+        """``telling``: words that tell licences apart, besides version numbers; None: any passage counts."""
+        self.threshold, self.strict = threshold, telling is not None
+        telling = telling or ()
         words = [(name, words_of(text)) for name, text in templates]
         words = [(name, w) for name, w in words if len(w) > 1]
         self.names = [name for name, _ in words]
-        self.vocabulary = {w: n for n, w in enumerate(sorted({x for _, w in words for x in w}))}
-        self.span = len(self.vocabulary) + 1
+        self.vocabulary = {w: n for n, w in enumerate(sorted({x for _, w in words for x in w} | {*NEGATIONS, *VERSION_BEFORE}))}
+        # One number stands for all numbers that no template has; the last entry of the flags is for other words.
+        self.other_number = len(self.vocabulary)
+        self.span = len(self.vocabulary) + 2
+        flag = lambda test: np.array([test(w) for w in self.vocabulary] + [False] * 2)
+        self.number, self.versioned = flag(is_number), flag(lambda w: w in VERSION_BEFORE or w in telling or (w[0] == "v" and is_number(w)))
+        self.tells, self.negates = flag(lambda w: w in telling or (w[0] == "v" and is_number(w))), flag(lambda w: w in NEGATIONS)
+        self.number[self.other_number] = True
         ids = [np.array([self.vocabulary[x] for x in w], np.int64) for _, w in words]
+        self.telling = [frozenset(x[self.telling_words(x)].tolist()) for x in ids]
         self.bigrams = [Counter((x[:-1] * self.span + x[1:]).tolist()) for x in ids]
         self.sorted = [np.array(sorted(b), np.int64) for b in self.bigrams]
         self.all = np.unique(np.concatenate([np.zeros(0, np.int64), *self.sorted]))
 
+    def telling_words(self, flat: np.ndarray) -> np.ndarray:
+        """Which words tell licences of a family apart; numbers do in a row behind a word that versions follow."""
+        number = self.number[flat]
+        tells = self.tells[flat]
+        before = np.r_[False, self.versioned[flat][:-1]]
+        for _ in range(3):
+            tells = tells | (number & before)
+            before = np.r_[False, (tells & number)[:-1]]
+        return tells
+
+    def word_id(self, word: str) -> int:
+        """Of a word that the vocabulary does not have."""
+        return self.other_number if is_number(word) else -1
+
     def scan(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its licences: (name, coefficient, first word, words)."""
         out: list[list[tuple]] = []
@@ -62,7 +95,7 @@ class Templates:
         get = self.vocabulary.get
         stop = np.full(1, -1)
         for text in texts:
-            ids = np.array([get(SPELLINGS.get(w, w), -1) for w in WORD.findall((text or "").lower())], np.int64)
+            ids = np.array([m if (m := get(SPELLINGS.get(w, w))) is not None else self.word_id(w) for w in WORD.findall((text or "").lower())], np.int64)
             held += [ids, stop]
             n += len(ids)
             if n >= CHUNK:
@@ -83,8 +116,9 @@ class Templates:
         places, codes = places[mine], codes[mine]
         docs = np.searchsorted(ends, places, side="right")
         best: dict[tuple[int, str], tuple] = {}
+        tells = self.telling_words(flat)
         t = self.threshold
-        for name, bigrams, its in zip(self.names, self.bigrams, self.sorted):
+        for name, bigrams, its, telling in zip(self.names, self.bigrams, self.sorted, self.telling):
             size = bigrams.total()
             low, high = int(np.ceil(size * t / (2 - t) - 1e-9)), int(np.floor(size * (2 - t) / t + 1e-9))
             need = max(1, int(np.ceil(t * (low + size) / 2 - 1e-9)))
@@ -95,6 +129,8 @@ class Templates:
             close = (at[need - 1 :] - at[: len(at) - need + 1] < high) & (doc[need - 1 :] == doc[: len(at) - need + 1])
             for i in np.flatnonzero(close).tolist():
                 start = int(ends[doc[i] - 1]) if doc[i] else 0
+                if self.negates[flat[max(start, at[i] - NEGATED) : at[i]]].any():
+                    continue
                 left, common = dict(bigrams), 0
                 for j in range(i, len(at)):
                     s = int(at[j] - at[i]) + 1
@@ -107,19 +143,19 @@ class Templates:
                     if s >= low and score >= t:
                         rank = (-score, int(at[i]) - start, s)
                         key = (int(doc[i]), name)
-                        if key not in best or rank < best[key]:
+                        if (key not in best or rank < best[key]) and (not self.strict or telling == set(flat[at[i] : at[i] + s + 1][tells[at[i] : at[i] + s + 1]].tolist())):
                             best[key] = rank
         for (d, name), (score, first, s) in sorted(best.items()):
             out[d].append((name, -score, first, s + 1))
         return out
 
 
-def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, telling: tuple[str, ...] | None = TELLING, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, licence, dice, first_word, n_words) of the best passage for each document and licence."""
     schema = pa.schema([("doc_id", pa.int64()), ("licence", pa.string()), ("dice", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())])
     spark = docs.sparkSession
     # The templates are a fixed list, small whatever the corpus.
-    sent = spark.sparkContext.broadcast(Templates(templates, threshold))
+    sent = spark.sparkContext.broadcast(Templates(templates, threshold, telling))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from tallyloom.llm import licence_scan as L
+from tallyloom.llm import licence_templates as T
 from tallyloom.llm.licence_templates import APACHE_NOTICE, MIT_BODY
 
 SCHEMA = "doc_id long, text string, licence string, dice long"
@@ -48,5 +49,37 @@ def test_query(spark, put, monkeypatch):
     assert sorted(((r.doc_id, r.licence, r.dice) for r in L.op8_licence_scan(spark, d).collect()), key=repr) == got
 
 
+def test_versions_families_and_negations():
+    its = L.Templates(T.TEMPLATES, L.THRESHOLD, T.TELLING)
+    names = lambda text: sorted(n for n, *_ in its.scan([text])[0])
+    bsd = f"{T.BSD_2_CONDITIONS} {T.BSD_DISCLAIMER}"
+    gnu = lambda work, name, version: T.GNU_NOTICE.format(work=work, name=name, version=version)
+    for text, want in (
+        ("Licensed under the GNU General Public License v2.0.", ["GPL-2.0"]),
+        ("Licensed under the GNU General Public License v3.0.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 7.", []),
+        ("not licensed under the MIT License", []),
+        ("It isn't released under the MIT License.", []),
+        ("SPDX-License-Identifier: MIT", ["MIT"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+        (f"Copyright 2020 A. {bsd}", ["BSD-2-Clause"]),
+        (gnu("library", "Lesser General Public License", "2.1"), ["LGPL-2.1"]),
+        (gnu("program", "General Public License", "2"), ["GPL-2.0"]),
+        (gnu("program", "General Public License", "3"), ["GPL-3.0"]),
+        (gnu("program", "Affero General Public License", "3"), ["AGPL-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        (T.ZLIB_BODY, ["Zlib"]),
+        (T.ISC_BODY, ["0BSD", "ISC"]),
+    ):
+        assert names(text) == want, text
+    assert "BSD-3-Clause" in names(f"{T.BSD_2_CONDITIONS} {T.BSD_3_CONDITION} {T.BSD_DISCLAIMER}")
+    # Every template is found in itself, whole.
+    for name, text in T.TEMPLATES:
+        assert (name, 1.0) in {(n, s) for n, s, *_ in its.scan([f"x {text} y"])[0]}, text
+
+
 def test_empty(spark, put):
     assert L.op8_licence_scan(spark, put(documents=spark.createDataFrame([], SCHEMA))).count() == 0
