@@ -1,16 +1,16 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams are fitted on labelled documents: the target (good and not toxic) and
-the raw text (all labelled ones, a sample of the corpus as it comes).  A model is the share of documents that hold
-the n-gram: a word, a punctuation run, a pair of them, or a mark for shouting or for words said over and
-over.  Each distinct text is counted once, so that copies weigh no more than their original.  A document's log
-weight is the sum over its n-grams of the log ratio of the two models, of either sign.  Ratios that chance can
-explain, and those a little below one, count as one, so long clean texts gather no noise.  Documents are then
-taken by Gumbel top-k: log weight over temperature plus Gumbel noise, the k highest.  k is the number of documents
-whose log weight reaches ``CUT``; noise chooses among those near it.
-
-The fit takes about ``LABELLED`` labelled documents at most, chosen by hash; all else covers every document, and
-the k-th highest key comes exactly from repeated counts by range, not from a sort.
+Two generative models of hashed n-grams say how likely a document holds each: the target's, fitted on labelled good
+documents that are not toxic, and the raw text's, counted over all documents.  An n-gram is a word, a punctuation run, a pair of
+them, or a mark for shouting or for words said over and over.  Each distinct text is counted once in both, so that copies weigh
+no more than their original.  A document's log weight is the sum over its n-grams of the log ratio of target to raw, of either
+sign.  Only n-grams whose labelled good and other documents differ by more than chance are modelled, so long clean texts
+gather no noise; all others have a ratio of one.  Documents are then taken by Gumbel top-k: log weight over temperature plus
+Gumbel noise, the k highest.  k is the number of documents whose log weight reaches ``CUT``; noise chooses among those near it.
+
+The target and the choice of n-grams take about ``LABELLED`` labelled documents at most, chosen by hash; all else covers every
+document: the texts are read once for the n-grams they hold, from which raw counts, weights and the k-th highest key come, and
+once more as documents pass.  The k-th highest key comes exactly from repeated counts by range, not from a sort.
 
 Defined results: a null text counts as empty and weighs 0; a null doc_id has the noise of the null hash;
 repeated rows get the same key and are kept or left together; keys equal to the k-th are all kept; where labels
@@ -20,7 +20,6 @@ stay; empty input gives no rows; further columns are kept by the filter and igno
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,12 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts_as_bytes, written
+from .common import table, texts_as_bytes, unused, written
 
 #: N-grams that a counting task holds before it hands their counts on.
 HELD = 1 << 21
 LABELLED = 40_000
-#: A ratio below one counts if it is so many deviations and so large a log away from chance; documents added to both models.
+#: A ratio below one counts if it is so many deviations and so large a log away from chance; documents added to both counts.
 DEVIATIONS, LEAST_LOG, PRIOR = 3.0, 1.0, 2.0
 #: A ratio above one is at most raw over target documents, so it counts by its deviations alone.
 RAISING = 5.0
@@ -81,8 +80,8 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = LABELLED)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("text", "good").distinct()
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams whose ratio counts (sorted hashes), and the log of target over raw for each."""
+def telling_ngrams(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, np.ndarray, int]:
+    """The n-grams by which good and other labelled documents differ (sorted hashes), how many good ones hold each, and their number."""
     sample = written(labelled_documents(docs, labels, most), "labelled")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,49 +109,84 @@ def log_ratios(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tupl
 
     size = sample.agg(F.count("*").alias("n"), F.coalesce(F.count_if("good"), F.lit(0)).alias("good")).first()
     if not 0 < size.good < size.n:
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0), size.good
     share = size.good / size.n
     least = max(SUPPORT, SHARE * (size.n - size.good))
     sums = sample.mapInArrow(count, "h long, n int, good int").groupBy("h").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     away = (F.col("n") * share - F.col("good")) / F.sqrt(F.col("n") * share * (1 - share) + 1)
     ratio = F.log((F.col("good") + PRIOR * share) / (F.col("n") * share + PRIOR * share))
     lowering = (F.col("n") - F.col("good") >= least) & (away >= DEVIATIONS) & (ratio <= -LEAST_LOG)
-    rows = sums.filter(lowering | (away <= -RAISING)).select("h", ratio.alias("ratio")).collect()
+    # Their number is bounded by the sample: each has so many of its documents.
+    rows = sums.filter(lowering | (away <= -RAISING)).select("h", "good").collect()
     h = np.array([r.h for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r.ratio for r in rows], np.float64)[order]
-
-
-def telling(bad: list[np.ndarray], least: float) -> np.ndarray:
-    """N-grams (sorted) taken one by one: that which most documents hold that none taken so far tells; the fit does not use it."""
-    holders: dict[int, list[int]] = {}
-    for i, hashes in enumerate(bad):
-        for h in hashes.tolist():
-            holders.setdefault(h, []).append(i)
-    open_ = np.ones(len(bad), bool)
-    queue = [(-len(v), -len(v), h) for h, v in holders.items() if len(v) >= least]
-    heapq.heapify(queue)
-    taken = []
-    while queue:
-        said, size, h = heapq.heappop(queue)
-        now = int(open_[holders[h]].sum())
-        if now < least:
-            continue
-        if now < -said:
-            heapq.heappush(queue, (-now, size, h))
-            continue
-        taken.append(h)
-        open_[holders[h]] = False
-    return np.array(sorted(taken), np.uint64)
+    return h[order], np.array([r.good for r in rows], np.float64)[order], size.good
 
 
-def weigh(text: bytes, chosen: np.ndarray, logs: np.ndarray) -> float:
-    """The sum of the logs of the chosen n-grams that a text holds."""
+def holdings(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(doc_id, text_hash, held) of all documents, written: the numbers of the chosen n-grams that each holds."""
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            held = [held_by(t, sent.value) for t in texts_as_bytes(batch, "text")]
+            ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+            numbers = pa.array(np.concatenate([np.zeros(0, np.int64), *held]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), numbers)], names=["doc_id", "text_hash", "held"])
+
+    text = F.col("text").cast("string")
+    src = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    return written(src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, held array<int>"), "holdings")
+
+
+def raw_counts(held: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """How many distinct texts hold each of n n-grams, and how many texts there are."""
+    texts = held.groupBy("text_hash").agg(F.first("held").alias("held"))
+    rows = texts.select(F.explode(F.concat("held", F.array(F.lit(n)))).alias("i")).groupBy("i").count().collect()
+    counts = np.zeros(n + 1)
+    for r in rows:
+        counts[r.i] = r["count"]
+    return counts[:n], int(counts[n])
+
+
+def log_ratios(good: np.ndarray, of_good: int, raw: np.ndarray, of_raw: int) -> np.ndarray:
+    """log of target over raw: the good documents that hold an n-gram over those that would if they were raw text, both with a prior."""
+    expected = raw * (of_good / max(of_raw, 1))
+    return np.log((good + PRIOR) / (expected + PRIOR))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The modelled n-grams with their log ratios, and what each document holds of them."""
+    chosen, good, of_good = telling_ngrams(docs, labels, most)
+    held = holdings(docs, chosen)
+    raw, of_raw = raw_counts(held, len(chosen))
+    return (chosen, log_ratios(good, of_good, raw, of_raw)), held
+
+
+def held_by(text: bytes, chosen: np.ndarray) -> np.ndarray:
+    """The numbers of the chosen n-grams (sorted hashes) that a text holds."""
     if not len(chosen):
-        return 0.0
+        return np.zeros(0, np.int64)
     h = ngrams(text)
     at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-    return float(logs[np.unique(at[chosen[at] == h])].sum())
+    return np.unique(at[chosen[at] == h])
+
+
+def weigh(text: bytes, chosen: np.ndarray, logs: np.ndarray) -> float:
+    """The sum of the logs of the chosen n-grams that a text holds."""
+    return float(logs[held_by(text, chosen)].sum())
+
+
+def held_weight(held: DataFrame, logs: np.ndarray) -> DataFrame:
+    """(doc_id, log_weight) from what documents hold; the same sums as weigh() makes."""
+    sent = held.sparkSession.sparkContext.broadcast(logs)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sums = [float(sent.value[np.array(x, np.int64)].sum()) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["doc_id", "log_weight"])
+
+    return held.select("doc_id", "held").mapInArrow(run, f"doc_id {held.schema['doc_id'].dataType.simpleString()}, log_weight double")
 
 
 def with_log_weight(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], name: str = "log_weight", text: str = "text") -> DataFrame:
@@ -207,16 +241,14 @@ def kth_highest(keys: DataFrame, k: int, column: str = "key", ranges: int = 4096
 def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, k: int | None = None, keep_weight: bool = False) -> DataFrame:
     """The documents taken; with ``keep_weight`` also their log_weight and key.
 
-    ``k``: how many; None for as many as reach CUT.  The weights are worked out once for the k-th key and once
-    more as the documents pass, so that no text is shuffled.
+    ``k``: how many; None for as many as reach CUT.  Weights for the k-th key come from the n-grams that documents hold, and
+    are worked out once more as the documents pass, so that no text is shuffled.
     """
-    name = "log_weight"
-    while name in docs.columns:
-        name = f"_{name}"
-    ratios = log_ratios(docs, labels)
+    name = unused(docs, "log_weight")
+    ratios, held = fitted(docs, labels)
     weighed = with_log_weight(docs, ratios, name)
     key = resampling_key(F.col(name), F.col("doc_id"), temperature)
-    keys = written(with_log_weight(docs.select("doc_id", "text"), ratios).select("log_weight", resampling_key(F.col("log_weight"), F.col("doc_id"), temperature).alias("key")), "keys")
+    keys = written(held_weight(held, ratios[1]).select("log_weight", resampling_key(F.col("log_weight"), F.col("doc_id"), temperature).alias("key")), "keys")
     if k is None:
         k = keys.filter(F.col("log_weight") >= CUT).count()
     kept = weighed.filter(key >= F.lit(kth_highest(keys, k)))

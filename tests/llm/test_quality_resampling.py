@@ -47,7 +47,7 @@ def test_clean_documents_stay_and_bad_ones_go(spark, put):
 def test_fixed_k_at_a_high_temperature_is_the_k_highest_keys(spark):
     docs, labels, _ = corpus(200)
     df, lab = spark.createDataFrame(docs, DOCS).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    ratios = Q.log_ratios(df, lab)
+    ratios, _ = Q.fitted(df, lab)
     keys = {r.doc_id: r.key for r in Q.with_log_weight(df, ratios).select("doc_id", Q.resampling_key(F.col("log_weight"), F.col("doc_id"), 2.0).alias("key")).collect()}
     got = {r.doc_id for r in Q.resample(df, lab, temperature=2.0, k=37).collect()}
     assert got == set(sorted(keys, key=keys.get)[-37:])
@@ -63,11 +63,29 @@ def test_kth_highest(spark):
         assert Q.kth_highest(df, len(values)) == float("-inf") and Q.kth_highest(df, 0) == float("inf")
 
 
-def test_telling_takes_the_most_widespread_first():
-    bad = [np.array(x, np.uint64) for x in ([1, 10, 11], [1, 10, 11], [1, 12], [2, 10], [2, 13], [10, 11])]
-    # 10 tells four; of the others no n-gram then tells two.
-    assert Q.telling(bad, 2).tolist() == [10]
-    assert Q.telling(bad, 1).tolist() == [1, 2, 10]
+def test_weights_against_brute_force(spark):
+    docs, labels, _ = corpus(300)
+    docs += [(1000 + i, docs[4][1], "q", 0.0, "k") for i in range(50)] + [(2000, None, "q", 0.0, "k")]
+    df, lab = spark.createDataFrame(docs, DOCS).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    (chosen, logs), held = Q.fitted(df, lab)
+    text = {d: t or "" for d, t, *_ in docs}
+    grams = {t: set(Q.ngrams(t.encode()).tolist()) for t in text.values()}
+    is_good = {(text[d], bool(q and not x)) for d, q, x in labels}
+    good, rest = [t for t, ok in is_good if ok], [t for t, ok in is_good if not ok]
+    share, want = len(good) / len(is_good), {}
+    for g in set().union(*(grams[t] for t, _ in is_good)):
+        a, b = sum(g in grams[t] for t in good), sum(g in grams[t] for t in rest)
+        n = a + b
+        away = (n * share - a) / np.sqrt(n * share * (1 - share) + 1)
+        low = np.log((a + Q.PRIOR * share) / (n * share + Q.PRIOR * share))
+        if (b >= max(Q.SUPPORT, Q.SHARE * len(rest)) and away >= Q.DEVIATIONS and low <= -Q.LEAST_LOG) or away <= -Q.RAISING:
+            raw = sum(g in grams[t] for t in set(text.values()))
+            want[g] = np.log((a + Q.PRIOR) / (raw * len(good) / len(set(text.values())) + Q.PRIOR))
+    assert want and dict(zip(chosen.tolist(), logs.round(9))) == {g: round(x, 9) for g, x in want.items()}
+    weights = {r.doc_id: r.log_weight for r in Q.held_weight(held, logs).collect()}
+    direct = {r.doc_id: r.log_weight for r in Q.with_log_weight(df, (chosen, logs)).collect()}
+    assert weights == direct
+    assert all(abs(weights[d] - sum(want.get(g, 0.0) for g in grams[t])) < 1e-9 for d, t in text.items())
 
 
 def test_gumbel_noise(spark):
@@ -119,7 +137,7 @@ def test_ratios_of_both_signs_are_weighed_and_noise_matters(spark):
         labels.append((i, 1, int(bad)))
     docs += [(900, "odd one"), (901, "odd one fine and kind too")]
     df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    hashes, logs = Q.log_ratios(df, lab)
+    (hashes, logs), _ = Q.fitted(df, lab)
     assert (logs > 0).any() and (logs < 0).any()
     weight = lambda t: Q.weigh(t.encode(), hashes, logs)
     assert weight("odd one") < Q.CUT < 0 < weight("odd one fine and kind too")
