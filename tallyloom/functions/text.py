@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and the letters without them.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def marked_letters() -> tuple[str, str]:
+    """Letters of all scripts that are one letter and marks, and these letters, from the Unicode tables."""
+    apart = {c: d for c in map(chr, range(0x80, 0x10000)) if c.isalpha() and len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.category(m) == "Mn" for m in d[1:])}
+    return "".join(apart), "".join(d[0] for d in apart.values())
+
+
+MARKED, PLAIN = marked_letters()
 
 #: Substrings of errors that are worth another attempt.
 RETRYABLE = (
@@ -17,6 +24,9 @@ RETRYABLE = (
     "server disconnected", "connection reset", "remote protocol", "broken pipe", "502", "503", "504",
 )
 
+#: Labels of a delivery note's number.
+NOTE_LABELS = ("albaran", "albarán", "albarà")
+
 #: Prefixes of key columns, in the order they are tried.
 KEY_PREFIXES = ("id", "oid", "codigo", "cod", "fk")
 
@@ -36,7 +46,7 @@ def identifier(c: Column) -> Column:
 
 
 def fold_marks(c: Column) -> Column:
-    """Latin letters without their marks; combining marks go too."""
+    """Letters of any script without their marks; combining marks go too."""
     return F.translate(F.regexp_replace(c, r"\p{Mn}", ""), MARKED, PLAIN)
 
 
@@ -50,7 +60,8 @@ def collapse_spaces(c: Column) -> Column:
 
 def simplified(c: Column) -> Column:
     """Without marks, double spaces and case: for comparing what people wrote."""
-    return F.lower(collapse_spaces(fold_marks(c)))
+    low = F.lower(collapse_spaces(fold_marks(c)))
+    return F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def same_text(a: Column, b: Column) -> Column:
@@ -97,27 +108,35 @@ def relation_meaning(c: Column) -> Column:
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), low)
     short = last
     for prefix in reversed(KEY_PREFIXES):
-        short = F.when(F.startswith(last, F.lit(prefix)) & (F.length(last) > len(prefix)), F.substring(last, len(prefix) + 1, 1000)).otherwise(short)
+        short = F.when(F.startswith(last, F.lit(prefix)) & (F.length(last) > len(prefix)), F.substring(last, len(prefix) + 1, 2**31 - 1)).otherwise(short)
     return F.regexp_replace(short, r"[^\p{L}\p{N}]", "")
 
 
 def spanish_tax_id(c: Column) -> Column:
-    """ES before a letter and eight digits goes; anything else stays as it is."""
-    text = blank_to_null(c)
-    return F.when(text.rlike(r"^ES[A-Z]\d{8}$"), F.substring(text, 3, 9)).otherwise(text)
+    """ES before a letter and eight digits goes, in any case and with blanks inside; anything else stays as it is."""
+    return F.when(has_country_prefix(c), F.substring(F.upper(F.replace(c.cast("string"), F.lit(" "), F.lit(""))), 3, 9)).otherwise(blank_to_null(c))
+
+
+def has_country_prefix(c: Column) -> Column:
+    return F.upper(F.replace(c.cast("string"), F.lit(" "), F.lit(""))).rlike(r"^ES[A-Z]\d{8}$")
 
 
 def dashed_tax_id(c: Column) -> Column:
-    """A-99-999999 without dashes, in capitals."""
-    text = F.upper(blank_to_null(c))
-    return F.when(text.rlike(r"^[A-Z]-\d{2}-\d{6}$"), F.replace(text, F.lit("-"), F.lit(""))).otherwise(text)
+    """A-99-999999 in any case without dashes, in capitals; anything else stays as it is."""
+    return F.when(has_dashes(c), F.upper(F.replace(blank_to_null(c), F.lit("-"), F.lit("")))).otherwise(blank_to_null(c))
+
+
+def has_dashes(c: Column) -> Column:
+    return F.upper(blank_to_null(c)).rlike(r"^[A-Z]-\d{2}-\d{6}$")
 
 
 def note_number(c: Column) -> Column:
-    """A delivery-note number without its label, if label and number are the whole text."""
+    """What stands behind the first colon, if before it there is only a delivery note's label; else the whole text."""
     text = blank_to_null(c)
-    found = F.regexp_extract(text, r"(?i)^albar[aá]n(?:\s*n[ºo°]?\.?)?\s*:?\s*([0-9A-Za-z/-]+)$", 1)
-    return F.coalesce(F.nullif(found, F.lit("")), text)
+    colon = F.instr(text, ":")
+    label = F.regexp_replace(F.lower(F.trim(F.substring(text, F.lit(1), colon - 1))), r"^n[ºo]\s*", "")
+    number = F.nullif(F.trim(F.substring(text, colon + 1, F.length(text))), F.lit(""))
+    return F.when((colon > 0) & label.isin(*NOTE_LABELS) & number.isNotNull(), number).otherwise(text)
 
 
 def shown(c: Column, most: int = 300) -> Column:

@@ -84,22 +84,37 @@ def summary(classes: DataFrame, keys: list[str]) -> DataFrame:
     return classes.groupBy(*keys).agg(F.count("*").alias("campos"), good.alias("correctos"), pct(good, F.count("*")).alias("exactitud"), pct(some, F.count("*")).alias("cobertura"))
 
 
-def key_metrics(gold: DataFrame, got: DataFrame, keys: list[str], number: str, amount: str) -> DataFrame:
-    """Counters of numbered rows by key: expected, obtained, correct, missing, invented, doubled, amounts that agree."""
-    side = lambda df, s: df.groupBy(*keys, number).agg(F.count("*").alias(f"n_{s}"), F.max(amount).alias(f"a_{s}"))
-    both = side(gold, "g").join(side(got, "o"), [*keys, number], "full")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return both.groupBy(*keys).agg(
-        F.count_if(F.col("n_g").isNotNull()).alias("esperados"),
-        F.count_if(F.col("n_o").isNotNull()).alias("obtenidos"),
-        F.count_if(F.col("n_g").isNotNull() & F.col("n_o").isNotNull()).alias("correctos"),
+def key_metrics(gold: DataFrame, got: DataFrame, keys: list[str], number: str, amounts: list[str], date: str | None = None, order: str | None = None) -> DataFrame:
+    """Counters of numbered rows by key: rows expected and obtained, distinct numbers correct, missing and invented, rows doubled,
+    and expected rows whose date, amounts (where there is one) and place are those of the last obtained row of their number.
+
+    Rows without a number count as rows only.
+    """
+    fields = [*amounts, *(c for c in (date, order) if c)]
+    last = F.max_by(F.struct(*fields), F.struct(F.col(order) if order else F.lit(0), *(F.col(a) for a in amounts))).alias("o")
+    sums = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    named = got.filter(F.col(number).isNotNull()).groupBy(*keys, number).agg(F.count("*").alias("n_o"), last)
+    expected = gold.filter(F.col(number).isNotNull()).groupBy(*keys, number).agg(F.collect_list(F.struct(*fields)).alias("g"))
+    both = expected.join(named, [*keys, number], "full")
+    found = F.col("g").isNotNull() & F.col("n_o").isNotNull()
+    agree = lambda test: F.coalesce(F.sum(F.when(found, F.aggregate("g", F.lit(0), lambda n, r: n + test(r)))), F.lit(0)).cast("long")
+    one = lambda c: F.when(c, 1).otherwise(0)
+    right = lambda r: sum((one(r[a].isNotNull() & r[a].eqNullSafe(F.col("o")[a])) for a in amounts), F.lit(0))
+    wrong = lambda r: sum((one(r[a].isNotNull() & ~r[a].eqNullSafe(F.col("o")[a])) for a in amounts), F.lit(0))
+    signs = lambda r: sum((one(F.coalesce(F.signum(r[a]) != F.signum(F.col("o")[a]), F.lit(False))) for a in amounts), F.lit(0))
+    more = [agree(lambda r, c=c: one(r[c].eqNullSafe(F.col("o")[c]))).alias(f"{name}_correctos" if name == "ordenes" else f"{name}_correctas") for c, name in ((date, "fechas"), (order, "ordenes")) if c]
+    counts = both.groupBy(*keys).agg(
+        F.count_if(found).alias("correctos"),
         F.count_if(F.col("n_o").isNull()).alias("omitidos"),
-        F.count_if(F.col("n_g").isNull()).alias("inventados"),
-        F.sum(F.greatest(n("n_o") - 1, F.lit(0))).cast("long").alias("duplicados"),
-        F.count_if(F.col("a_g") == F.col("a_o")).alias("importes_correctos"),
-        F.count_if(F.col("a_g") != F.col("a_o")).alias("importes_incorrectos"),
-        F.count_if(F.signum(F.col("a_g")) != F.signum(F.col("a_o"))).alias("signos_incorrectos"),
+        F.count_if(F.col("g").isNull()).alias("inventados"),
+        F.coalesce(F.sum(F.col("n_o") - 1), F.lit(0)).cast("long").alias("duplicados"),
+        agree(right).alias("importes_correctos"),
+        agree(wrong).alias("importes_incorrectos"),
+        agree(signs).alias("signos_incorrectos"),
+        *more,
     )
+    whole = sums(gold, "esperados").join(sums(got, "obtenidos"), keys, "full").join(counts, keys, "left")
+    return whole.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in whole.columns if c not in keys))
 
 
 def row_verdict(rows: DataFrame, keys: list[str], content: Column, order: Column) -> DataFrame:
@@ -109,17 +124,19 @@ def row_verdict(rows: DataFrame, keys: list[str], content: Column, order: Column
 
 
 def cost_summary(calls: DataFrame, model: str, state: str, cost: str) -> DataFrame:
-    """Calls, failures, cost, mean over successes and calls without a cost, by model; failures count by their state."""
+    """Calls, failures, the cost of all calls, its mean over the successes and calls without a cost, by model."""
     ok = F.col(state) == "completed"
-    total = F.sum(F.when(ok, F.col(cost))).cast("decimal(18,6)")
+    total = F.coalesce(F.sum(cost), F.lit(0)).cast("decimal(18,6)")
+    good = F.count_if(ok)
     return calls.groupBy(model).agg(
-        F.count("*").alias("llamadas"), F.count_if(~ok).alias("fallidas"), total.alias("coste"),
-        F.round(total / F.nullif(F.count_if(ok & F.col(cost).isNotNull()), F.lit(0)).cast("decimal(12,0)"), 6).cast("decimal(18,6)").alias("coste_medio"),
-        F.count_if(ok & F.col(cost).isNull()).alias("sin_coste"),
+        F.count("*").alias("llamadas"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("fallidas"), total.alias("coste"),
+        F.when(good > 0, F.round(total / good.cast("decimal(12,0)"), 6)).otherwise(0).cast("decimal(18,6)").alias("coste_medio"),
+        F.count_if(F.col(cost).isNull()).alias("sin_coste"),
     )
 
 
-def projection(mean: DataFrame, cost: str, monthly: int = 60, shares: tuple[str, ...] = ("0.2", "0.4", "0.6")) -> DataFrame:
-    """Yearly cost if so large a share of the month's documents needs a call."""
+def projection(means: DataFrame, general: str, literal: str, monthly: int = 60, shares: tuple[str, ...] = ("0.2", "0.4", "0.6")) -> DataFrame:
+    """Cost of a month and a year: a general call for every document, and a literal one for so large a share of them."""
     share = F.explode(F.array(*(F.lit(s).cast("decimal(3,2)") for s in shares)))
-    return mean.select("*", share.alias("proporcion")).withColumn("coste_anual", F.round(F.col(cost) * monthly * 12 * F.col("proporcion"), 4).cast("decimal(18,4)"))
+    month = F.col(general) * monthly + F.col(literal) * monthly * F.col("proporcion")
+    return means.select("*", share.alias("proporcion")).withColumns({"coste_mensual": F.round(month, 2).cast("decimal(18,2)"), "coste_anual": F.round(month * 12, 2).cast("decimal(18,2)")})

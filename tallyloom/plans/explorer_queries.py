@@ -16,7 +16,7 @@ C = Catalogue()
 SEARCHES = [
     ("eq", "customer", "c_mktsegment", "BUILDING", "c_mktsegment = 'BUILDING'"),
     ("ne", "customer", "c_mktsegment", "BUILDING", "c_mktsegment <> 'BUILDING'"),
-    ("contains", "part", "p_type", "brass", "upper(p_type) LIKE '%BRASS%'"),
+    ("contains", "part", "p_type", "eco", "upper(p_type) LIKE '%ECO%'"),
     ("startswith", "part", "p_type", "pro", "upper(p_type) LIKE 'PRO%'"),
     ("endswith", "part", "p_brand", "#13", "upper(p_brand) LIKE '%#13'"),
     ("gt", "lineitem", "l_quantity", 45.0, "l_quantity > 45"),
@@ -68,19 +68,19 @@ def in_list(t: Tables) -> DataFrame:
     return t.orders.filter(F.col("o_orderstatus").isin("F", "O") & ~F.col("o_orderpriority").isin("1-URGENT")).select("o_orderkey")
 
 
-@C.add("explorer_topk_name_asc", "SELECT * FROM customer ORDER BY c_name ASC NULLS FIRST LIMIT 20")
+@C.add("explorer_topk_name_asc", "SELECT * RENAME (c_name AS Nombre) FROM customer ORDER BY Nombre ASC NULLS FIRST LIMIT 20")
 def topk_name(t: Tables) -> DataFrame:
-    return explorer.preview(t.customer)
+    return explorer.preview(t.customer.withColumnRenamed("c_name", "Nombre"))
 
 
-@C.add("explorer_topk_id_desc", "SELECT * FROM orders ORDER BY o_orderkey DESC NULLS LAST LIMIT 100")
+@C.add("explorer_topk_id_desc", "SELECT * RENAME (o_orderkey AS IdContador) FROM orders ORDER BY IdContador DESC NULLS LAST LIMIT 100")
 def topk_id(t: Tables) -> DataFrame:
-    return explorer.preview(t.orders, 5000)
+    return explorer.preview(t.orders.withColumnRenamed("o_orderkey", "IdContador"), 5000)
 
 
-@C.add("explorer_search", "SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey DESC LIMIT 10")
+@C.add("explorer_search", "SELECT o_custkey, o_orderkey AS IdContador FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey DESC LIMIT 10")
 def search(t: Tables) -> DataFrame:
-    return explorer.search(t.orders, SearchSpec("totalprice", "gt", 1000.0, ["2", "O_ORDERKEY", "custkey"]))
+    return explorer.search(t.orders.withColumnRenamed("o_orderkey", "IdContador"), SearchSpec("totalprice", "gt", 1000.0, ["2", "IDCONTADOR", "custkey"]))
 
 
 @C.add("explorer_match_count", "SELECT count(*) FILTER (l_quantity > 45) AS coinciden, count(*) AS total FROM lineitem")

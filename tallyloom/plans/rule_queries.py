@@ -117,23 +117,37 @@ def state_pivot(t: Tables) -> DataFrame:
 
 
 def notes(t: Tables) -> tuple[DataFrame, DataFrame]:
-    gold = t.lineitem.select("l_orderkey", "l_partkey", F.col("l_extendedprice").cast(MONEY).alias("importe"))
-    got = gold.filter("l_partkey % 9 <> 0").select("l_orderkey", F.expr("CASE WHEN l_partkey % 8 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS l_partkey"), F.expr(f"CAST(CASE WHEN l_partkey % 5 = 0 THEN -importe ELSE importe END AS {MONEY})").alias("importe"))
-    return gold, got.unionByName(got.filter("l_partkey % 6 = 0"))
+    """Order lines as delivery notes, and as obtained ones with notes left out, renumbered, without a number, doubled, moved and changed."""
+    gold = t.lineitem.select("l_orderkey", F.expr("CASE WHEN l_partkey % 23 <> 0 THEN l_partkey END AS l_partkey"), F.col("l_extendedprice").cast(MONEY).alias("importe"), F.to_date("l_shipdate").alias("fecha"), F.col("l_linenumber").cast("int").alias("orden"))
+    got = gold.filter("coalesce(l_partkey, 1) % 9 <> 0").select(
+        "l_orderkey",
+        F.expr("CASE WHEN l_partkey % 8 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS l_partkey"),
+        F.expr(f"CAST(CASE WHEN l_partkey % 5 = 0 THEN -importe ELSE importe END AS {MONEY})").alias("importe"),
+        F.expr("CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE fecha END AS fecha"),
+        F.expr("CASE WHEN l_partkey % 11 = 0 THEN orden + 1 ELSE orden END AS orden"),
+    )
+    return gold, got.unionByName(got.filter("l_partkey % 6 = 0").withColumn("importe", (F.col("importe") + 1).cast(MONEY)).withColumn("orden", F.col("orden") + 100))
 
 
 @C.add(
     "eval_note_metrics",
-    f"""WITH g0 AS (SELECT l_orderkey, l_partkey, CAST(l_extendedprice AS {M}) AS importe FROM lineitem),
-o0 AS (SELECT l_orderkey, CASE WHEN l_partkey % 8 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS l_partkey, CASE WHEN l_partkey % 5 = 0 THEN -importe ELSE importe END AS importe FROM g0 WHERE l_partkey % 9 <> 0),
-o1 AS (SELECT * FROM o0 UNION ALL SELECT * FROM o0 WHERE l_partkey % 6 = 0),
-g AS (SELECT l_orderkey, l_partkey, count(*) AS n, max(importe) AS a FROM g0 GROUP BY 1, 2), o AS (SELECT l_orderkey, l_partkey, count(*) AS n, max(importe) AS a FROM o1 GROUP BY 1, 2)
-SELECT l_orderkey, count(g.n) AS esperados, count(o.n) AS obtenidos, count(*) FILTER (g.n IS NOT NULL AND o.n IS NOT NULL) AS correctos, count(*) FILTER (o.n IS NULL) AS omitidos, count(*) FILTER (g.n IS NULL) AS inventados,
-  CAST(sum(greatest(coalesce(o.n, 0) - 1, 0)) AS BIGINT) AS duplicados, count(*) FILTER (g.a = o.a) AS importes_correctos, count(*) FILTER (g.a <> o.a) AS importes_incorrectos, count(*) FILTER (sign(g.a) <> sign(o.a)) AS signos_incorrectos
-FROM g FULL JOIN o USING (l_orderkey, l_partkey) GROUP BY 1""",
+    f"""WITH g AS (SELECT l_orderkey, CASE WHEN l_partkey % 23 <> 0 THEN l_partkey END AS num, CAST(l_extendedprice AS {M}) AS importe, CAST(l_shipdate AS DATE) AS fecha, CAST(l_linenumber AS INTEGER) AS orden FROM lineitem),
+o0 AS (SELECT l_orderkey, CASE WHEN num % 8 = 0 THEN num + 1000000 ELSE num END AS num, CASE WHEN num % 5 = 0 THEN -importe ELSE importe END AS importe,
+  CASE WHEN num % 7 = 0 THEN NULL ELSE fecha END AS fecha, CASE WHEN num % 11 = 0 THEN orden + 1 ELSE orden END AS orden FROM g WHERE coalesce(num, 1) % 9 <> 0),
+o AS (SELECT * FROM o0 UNION ALL SELECT l_orderkey, num, importe + 1, fecha, orden + 100 FROM o0 WHERE num % 6 = 0),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, num ORDER BY orden DESC, importe DESC) AS r, count(*) OVER (PARTITION BY l_orderkey, num) AS n FROM o WHERE num IS NOT NULL) WHERE r = 1),
+k AS (SELECT DISTINCT l_orderkey FROM g), gn AS (SELECT DISTINCT l_orderkey, num FROM g WHERE num IS NOT NULL),
+e AS (SELECT g.l_orderkey, count(*) FILTER (g.fecha IS NOT DISTINCT FROM l.fecha) AS fechas, count(*) FILTER (g.importe = l.importe) AS bien, count(*) FILTER (g.importe <> l.importe) AS mal, count(*) FILTER (sign(g.importe) <> sign(l.importe)) AS signos, count(*) FILTER (g.orden = l.orden) AS ordenes
+  FROM g JOIN l ON g.l_orderkey = l.l_orderkey AND g.num = l.num GROUP BY 1),
+n AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, count(*) FILTER (a.num IS NOT NULL AND b.num IS NOT NULL) AS correctos, count(*) FILTER (b.num IS NULL) AS omitidos, count(*) FILTER (a.num IS NULL) AS inventados, CAST(coalesce(sum(b.n - 1), 0) AS BIGINT) AS duplicados
+  FROM gn a FULL JOIN l b ON a.l_orderkey = b.l_orderkey AND a.num = b.num GROUP BY 1)
+SELECT k.l_orderkey, (SELECT count(*) FROM g WHERE g.l_orderkey = k.l_orderkey) AS esperados, (SELECT count(*) FROM o WHERE o.l_orderkey = k.l_orderkey) AS obtenidos,
+  coalesce(correctos, 0) AS correctos, coalesce(omitidos, 0) AS omitidos, coalesce(inventados, 0) AS inventados, coalesce(duplicados, 0) AS duplicados, coalesce(bien, 0) AS importes_correctos, coalesce(mal, 0) AS importes_incorrectos,
+  coalesce(signos, 0) AS signos_incorrectos, coalesce(fechas, 0) AS fechas_correctas, coalesce(ordenes, 0) AS ordenes_correctos
+FROM k LEFT JOIN n ON n.l_orderkey = k.l_orderkey LEFT JOIN e ON e.l_orderkey = k.l_orderkey""",
 )
 def note_metrics(t: Tables) -> DataFrame:
-    return evaluate.key_metrics(*notes(t), ["l_orderkey"], "l_partkey", "importe")
+    return evaluate.key_metrics(*notes(t), ["l_orderkey"], "l_partkey", ["importe"], "fecha", "orden")
 
 
 @C.add(
@@ -147,8 +161,8 @@ def verdict(t: Tables) -> DataFrame:
 @C.add(
     "cost_summary",
     """WITH c AS (SELECT event_type, event_type <> 'error' AND event_id % 10 <> 0 AS ok, CASE WHEN event_id % 4 <> 0 THEN CAST(value AS DECIMAL(14,2)) END AS v FROM events)
-SELECT event_type, count(*) AS llamadas, count(*) FILTER (NOT ok) AS fallidas, CAST(sum(v) FILTER (ok) AS DECIMAL(18,6)) AS coste,
-  CAST(round(CAST(sum(v) FILTER (ok) AS DECIMAL(18,6)) / nullif(count(v) FILTER (ok), 0), 6) AS DECIMAL(18,6)) AS coste_medio, count(*) FILTER (ok AND v IS NULL) AS sin_coste FROM c GROUP BY 1""",
+SELECT event_type, count(*) AS llamadas, count(*) FILTER (NOT ok) AS fallidas, CAST(coalesce(sum(v), 0) AS DECIMAL(18,6)) AS coste,
+  CAST(CASE WHEN count(*) FILTER (ok) > 0 THEN round(CAST(coalesce(sum(v), 0) AS DECIMAL(18,6)) / count(*) FILTER (ok), 6) ELSE 0 END AS DECIMAL(18,6)) AS coste_medio, count(*) FILTER (v IS NULL) AS sin_coste FROM c GROUP BY 1""",
 )
 def costs(t: Tables) -> DataFrame:
     calls = t.events.select("event_type", F.when((F.col("event_type") != "error") & (F.col("event_id") % 10 != 0), "completed").otherwise("failed").alias("estado"), F.when(F.col("event_id") % 4 != 0, F.col("value").cast(MONEY)).alias("coste_usd"))
@@ -157,9 +171,13 @@ def costs(t: Tables) -> DataFrame:
 
 @C.add(
     "cost_projection",
-    """WITH m AS (SELECT event_type, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DECIMAL(18,2)) AS total FROM events GROUP BY 1)
-SELECT event_type, total, CAST(p AS DECIMAL(3,2)) AS proporcion, CAST(round(total * 720 * CAST(p AS DECIMAL(3,2)), 4) AS DECIMAL(18,4)) AS coste_anual FROM m, (VALUES (0.2), (0.4), (0.6)) v(p)""",
+    """WITH m AS (SELECT event_type, CAST(sum(CAST(value AS DECIMAL(14,2))) AS DECIMAL(18,6)) AS total, count(*) FILTER (event_id % 10 <> 0) AS n, CAST(max(CAST(value AS DECIMAL(14,2))) AS DECIMAL(18,6)) AS literal FROM events GROUP BY 1),
+x AS (SELECT event_type, CAST(CASE WHEN n > 0 THEN round(total / n, 6) ELSE 0 END AS DECIMAL(18,6)) AS general, literal FROM m),
+y AS (SELECT event_type, general, literal, CAST(p AS DECIMAL(3,2)) AS proporcion, general * 60 + literal * 60 * CAST(p AS DECIMAL(3,2)) AS mes FROM x, (VALUES (0.2), (0.4), (0.6)) v(p))
+SELECT event_type, general, literal, proporcion, CAST(round(mes, 2) AS DECIMAL(18,2)) AS coste_mensual, CAST(round(mes * 12, 2) AS DECIMAL(18,2)) AS coste_anual FROM y""",
 )
 def project(t: Tables) -> DataFrame:
-    mean = t.events.groupBy("event_type").agg(F.sum(F.col("value").cast(MONEY)).cast("decimal(18,2)").alias("total"))
-    return evaluate.projection(mean, "total")
+    calls = t.events.select("event_type", F.when(F.col("event_id") % 10 != 0, "completed").otherwise("failed").alias("estado"), F.col("value").cast(MONEY).alias("coste_usd"))
+    means = evaluate.cost_summary(calls, "event_type", "estado", "coste_usd").select("event_type", F.col("coste_medio").alias("general"))
+    literal = t.events.groupBy("event_type").agg(F.max(F.col("value").cast(MONEY)).cast("decimal(18,6)").alias("literal"))
+    return evaluate.projection(means.join(literal, "event_type"), "general", "literal")

@@ -91,14 +91,14 @@ def money_text(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", numbers.spanish_text(F.col("o_totalprice")).alias("escrito"))
 
 
-@C.add("page_ranges", """SELECT * FROM (VALUES (1, 2, 5, FALSE), (2, 1, 7, FALSE), (3, NULL, NULL, TRUE), (4, NULL, NULL, TRUE)) v(n, desde, hasta, error)""")
+@C.add("page_ranges", """SELECT * FROM (VALUES (1, 2, 5, FALSE), (2, 1, 7, FALSE), (3, 1, 7, FALSE), (4, NULL, NULL, TRUE), (5, 1, 3, FALSE), (6, NULL, NULL, TRUE)) v(n, desde, hasta, error)""")
 def pages(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(1, [2, 5], 9), (2, None, 7), (3, [2, 1], 7), (4, None, 0)], "n int, paginas array<int>, total int")
+    df = t.spark.createDataFrame([(1, [2, 5], 9), (2, None, 7), (3, [2, 1], 7), (4, None, 0), (5, [4], 3), (6, [0, 2], None)], "n int, paginas array<int>, total int")
     got = numbers.page_range(F.col("paginas"), F.col("total"))
     return df.select("n", got["first"].alias("desde"), got["last"].alias("hasta"), got["error"].alias("error"))
 
 
-IDS = {"ESA12345678": "A12345678", "ESX1234567A": "ESX1234567A", " A12345678 ": "A12345678", "": None}
+IDS = {"ESA12345678": "A12345678", "es a1234 5678": "A12345678", "esB 12": "esB 12", "ESX1234567A": "ESX1234567A", " A12345678 ": "A12345678", "": None}
 
 
 @C.add("tax_id_prefix", "SELECT * FROM (VALUES " + ", ".join(f"({k!r}, {'NULL' if v is None else repr(v)})" for k, v in IDS.items()) + ") v(cif, limpio)")
@@ -106,7 +106,7 @@ def tax_id(t: Tables) -> DataFrame:
     return inline(t, "cif", list(IDS)).select("cif", text.spanish_tax_id(F.col("cif")).alias("limpio"))
 
 
-NOTES = {"Albarán: 00123": "00123", "ALBARAN 55/A": "55/A", "00123": "00123", "pedido: 7 albaran": "pedido: 7 albaran", " ": None}
+NOTES = {"Albarán: 00123": "00123", "ALBARAN 55/A": "ALBARAN 55/A", "nº albarà: 5 b": "5 b", "No  ALBARÁN :x": "x", "albarán:": "albarán:", "00123": "00123", "pedido: 7 albaran": "pedido: 7 albaran", " ": None}
 
 
 @C.add("note_number_label", "SELECT * FROM (VALUES " + ", ".join(f"({k!r}, {'NULL' if v is None else repr(v)})" for k, v in NOTES.items()) + ") v(visto, numero)")
