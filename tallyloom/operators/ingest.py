@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sync import each_once, named
+
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
@@ -16,13 +18,14 @@ def is_sound_pdf(content: Column) -> Column:
 
 
 def changes(before: DataFrame, now: DataFrame, key: str, marks: list[str]) -> DataFrame:
-    """Each key's change between two snapshots: NUEVO, MODIFICADO, IGUAL or AUSENTE, by null-safe comparison."""
-    a, b = before.withColumn("_a", F.lit(True)).alias("a"), now.withColumn("_b", F.lit(True)).alias("b")
-    same = F.lit(True)
-    for m in marks:
-        same = same & F.col(f"a.{m}").eqNullSafe(F.col(f"b.{m}"))
-    state = F.when(F.col("_a").isNull(), "NUEVO").when(F.col("_b").isNull(), "AUSENTE").when(same, "IGUAL").otherwise("MODIFICADO")
-    return a.join(b, key, "full").select(key, state.alias("cambio"))
+    """Each key's change between two snapshots: NUEVO, MODIFICADO, IGUAL or AUSENTE, by null-safe comparison.
+
+    A key that a snapshot repeats counts once, with its first row by all columns.
+    """
+    side = lambda df, name: each_once(df.select(named(key), *map(named, marks)), [key]).select(named(key).alias("k"), F.struct(*(named(m).alias(m) for m in marks)).alias(name), F.lit(True).alias(f"in_{name}"))
+    both = side(before, "a").join(side(now, "b"), "k", "full")
+    state = F.when(F.col("in_a").isNull(), "NUEVO").when(F.col("in_b").isNull(), "AUSENTE").when(F.col("a").eqNullSafe(F.col("b")), "IGUAL").otherwise("MODIFICADO")
+    return both.select(F.col("k").alias(key), state.alias("cambio"))
 
 
 def duplicate_groups(df: DataFrame, hash_column: str, order: str) -> DataFrame:

@@ -51,6 +51,12 @@ class Provider:
     category: str = "MERCANCIA"
     reconcile: bool = True
     flags: dict[str, bool | None] = field(default_factory=dict)
+    #: How the provider's visible tax id is read, and whether what that took away is noted among the incidents (level AVISO).
+    tax_id: Callable[[Column], Column] = text.spanish_tax_id
+    notices: bool = False
+    #: Labels of the extractions that notes come from.
+    general: str = "general"
+    literal: str = "tablas_literales"
 
     def flag(self, name: str) -> Column:
         return F.lit(self.flags.get(name)).cast("boolean")
@@ -101,13 +107,13 @@ def tax_rows(invoice: Column) -> Column:
     return numbered(F.filter(made, lambda x: F.coalesce(*(x[p].cast("decimal(14,3)") for p in parts)).isNotNull()))
 
 
-def note_rows(invoice: Column, movement: Callable[[Column], Column], number: Callable[[Column], Column] = text.identifier) -> Column:
+def note_rows(invoice: Column, movement: Callable[[Column], Column], number: Callable[[Column], Column] = text.identifier, source: str = "general") -> Column:
     """Delivery notes that have a number or a date."""
     made = rows(
         invoice["albaranes"],
         lambda x: F.struct(
             F.lit(0).alias("orden"), number(evidenced(x["numero_albaran"])).alias("numero_albaran"), date(x["fecha_albaran"]).alias("fecha_albaran"), movement(evidenced(x["tipo_movimiento"])).alias("tipo_movimiento"),
-            evidenced(x["descripcion"]).alias("descripcion"), amount(x["importe_base"]).alias("importe_base"), amount(x["importe_total"]).alias("importe_total"), F.lit("luna_general").alias("fuente"),
+            evidenced(x["descripcion"]).alias("descripcion"), amount(x["importe_base"]).alias("importe_base"), amount(x["importe_total"]).alias("importe_total"), F.lit(source).alias("fuente"),
         ),
     )
     return numbered(F.filter(made, lambda x: x["numero_albaran"].isNotNull() | x["fecha_albaran"].isNotNull()))
@@ -128,6 +134,17 @@ def adjustment_rows(invoice: Column) -> Column:
     return numbered(made)
 
 
+def tax_id_notices(seen: Column, provider: Provider) -> Column:
+    """What was taken away from the visible tax id, if the provider wants that noted."""
+    kept = provider.tax_id(seen)
+    changed = F.lit(provider.notices) & (kept != text.identifier(seen))
+    entry = lambda when, kind, said, decision: incident(changed & when, "proveedor_cif", kind, said, F.concat(F.lit(decision), kept), seen, "AVISO")
+    return F.array(
+        entry(text.has_country_prefix(seen), "PREFIJO_PAIS_ELIMINADO", "el identificador visible incluye el prefijo de pais ES", "se conserva el identificador fiscal nacional "),
+        entry(text.has_dashes(seen), "SEPARADORES_CIF_ELIMINADOS", "el CIF visible separa sus grupos mediante guiones", "se conserva el identificador continuo "),
+    )
+
+
 def header(extracted: DataFrame, provider: Provider) -> DataFrame:
     """Fields that all providers share; ``tipo`` is null unless it is one the provider may have."""
     f = F.col("factura")
@@ -145,7 +162,8 @@ def header(extracted: DataFrame, provider: Provider) -> DataFrame:
         pages["error"].alias("_sin_paginas"),
         name.alias("proveedor_nombre"),
         (seen.isNull() | (name == provider.name)).alias("_proveedor_conocido"),
-        text.spanish_tax_id(evidenced(f["proveedor_cif"])).alias("proveedor_cif"),
+        provider.tax_id(evidenced(f["proveedor_cif"])).alias("proveedor_cif"),
+        tax_id_notices(evidenced(f["proveedor_cif"]), provider).alias("_avisos"),
         text.identifier(evidenced(f["numero_factura"])).alias("numero_factura"),
         date(f["fecha_factura"]).alias("fecha_factura"),
         amount(f["base_imponible_total"]).alias("base_imponible_total"),
@@ -181,7 +199,7 @@ def finish(df: DataFrame, checks: dict[str, Column], *logs: Column) -> DataFrame
     missing = structural({"factura sin numero": F.col("numero_factura").isNull(), "factura sin fecha": F.col("fecha_factura").isNull(), "paginas desordenadas": F.col("pagina_fin") < F.col("pagina_inicio")})
     shape = F.transform(missing, lambda m: incident(F.lit(True), "factura", "ESTRUCTURA_INVALIDA", "la factura no cumple el modelo", "requiere revision", m))
     due = each(F.col("vencimientos"), lambda v, i: incident(v["importe"].isNull(), F.concat(F.lit("vencimientos["), i.cast("string"), F.lit("].importe")), "IMPORTE_VENCIMIENTO_NO_VISIBLE", "el vencimiento no muestra importe", "no se asigna el total"))
-    return df.withColumn("incidencias", rules.incident_log(head, *logs, due, failed, shape)).select(*OUT)
+    return df.withColumn("incidencias", rules.incident_log(head, F.col("_avisos"), *logs, due, failed, shape)).select(*OUT)
 
 
 def total_check() -> Column:
@@ -242,7 +260,7 @@ def literal_fusion(extracted: DataFrame, provider: Provider) -> DataFrame:
     df = header(extracted, provider)
     taxes = tax_rows(F.col("factura"))
     zero = lambda x: F.coalesce((x["base_imponible"] == 0) & (x["cuota_iva"] == 0) & (x["cuota_recargo_equivalencia"] == 0), F.lit(False))
-    general = note_rows(F.col("factura"), lambda m: F.when((F.col("tipo_documento") == "FACTURA") & m.isin(*CHARGE_MARKS), "CARGO"), text.note_number).cast(NOTES)
+    general = note_rows(F.col("factura"), lambda m: F.when((F.col("tipo_documento") == "FACTURA") & m.isin(*CHARGE_MARKS), "CARGO"), text.note_number, provider.general).cast(NOTES)
 
     def literal(x: Column) -> Column:
         credit = F.coalesce(F.lower(x["seccion_visible"]).contains(CREDIT_SECTION), F.lit(False))
@@ -250,7 +268,7 @@ def literal_fusion(extracted: DataFrame, provider: Provider) -> DataFrame:
         move = F.when(credit, "ABONO").when(x["marcadores_antes_numero"] == F.array(F.lit("P"), F.lit("PA")), "CARGO")
         return F.struct(
             F.lit(0).alias("orden"), text.note_number(x["numero_albaran"]).alias("numero_albaran"), seen.alias("fecha_albaran"), move.alias("tipo_movimiento"), F.lit(None).cast("string").alias("descripcion"),
-            F.lit(None).cast(numbers.MONEY).alias("importe_base"), numbers.spanish_amount(x["importe"])["value"].alias("importe_total"), F.lit("luna_tablas_literales").alias("fuente"),
+            F.lit(None).cast(numbers.MONEY).alias("importe_base"), numbers.spanish_amount(x["importe"])["value"].alias("importe_total"), F.lit(provider.literal).alias("fuente"),
         )
 
     df = df.withColumns({"_fiscal": taxes, "_generales": general, "_leidas": rows(F.col("filas_literales"), literal).cast(NOTES)})
@@ -356,10 +374,10 @@ def literal_tables(extracted: DataFrame, provider: Provider) -> DataFrame:
         "_filas",
         lambda r, i: F.struct(
             (i + 1).alias("orden"), F.when(sound(r), text.identifier(cell(r, 3))).alias("numero_albaran"), numbers.visible_date(cell(r, 1))["value"].alias("fecha_albaran"), r["movimiento"].alias("tipo_movimiento"),
-            cell(r, 2).alias("descripcion"), numbers.spanish_amount(cell(r, 4))["value"].alias("importe_base"), numbers.spanish_amount(cell(r, 5))["value"].alias("importe_total"), F.lit("luna_tablas_literales").alias("fuente"),
+            cell(r, 2).alias("descripcion"), numbers.spanish_amount(cell(r, 4))["value"].alias("importe_base"), numbers.spanish_amount(cell(r, 5))["value"].alias("importe_total"), F.lit(provider.literal).alias("fuente"),
         ),
     ).cast(NOTES)
-    amounts = lambda cells: F.filter(F.transform(F.slice(cells, 2, 1000), lambda c: numbers.spanish_amount(c)["value"]), lambda v: v.isNotNull())
+    amounts = lambda cells: F.filter(F.transform(F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1))), lambda c: numbers.spanish_amount(c)["value"]), lambda v: v.isNotNull())
     named = lambda name: F.try_element_at(F.filter(tables, lambda t: title(t) == name), F.lit(1))
     df = df.withColumns({"albaranes": F.filter(made, lambda x: x["numero_albaran"].isNotNull()), "_gastos": named("GASTOS"), "_compras": named("COMPRAS")})
     bought = F.try_element_at(F.filter(F.coalesce(F.col("_compras.filas"), F.array().cast("array<struct<orden_visual:int,celdas:array<string>>>")), lambda r: F.upper(F.trim(F.try_element_at(r["celdas"], F.lit(1)))) == "TOTAL COMPRAS"), F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +38,42 @@ def high_water_mark(sink: DataFrame, key: str, site: Column | None = None, defau
     return mine.agg(F.coalesce(F.max(key), F.lit(default).cast("long")).alias("mark"))
 
 
+def each_once(df: DataFrame, keys: list[str], last: str | None = None) -> DataFrame:
+    """One row a key: that with the greatest ``last``, else the first by all columns.  Rows with a null in the key all stay."""
+    columns = [named(c) for c in df.columns]
+    order = ([named(last).desc_nulls_last()] if last else []) + [c.asc_nulls_first() for c in columns]
+    place = unused(df, "_place")
+    whole = reduce(Column.__and__, (named(k).isNotNull() for k in keys))
+    ranked = df.filter(whole).withColumn(place, F.row_number().over(Window.partitionBy(*map(named, keys)).orderBy(*order)))
+    # Rows without a key never meet in one task.
+    return ranked.filter(F.col(place) == 1).select(*columns).unionByName(df.filter(~whole))
+
+
 def insert_or_ignore(sink: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key the sink does not have yet, each key once (first by all columns): append them."""
-    rank = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_first() for c in new.columns))
-    one = new.withColumn("_n", F.row_number().over(rank)).filter("_n = 1").drop("_n")
-    return one.join(sink.select(*keys), keys, "left_anti")
+    """Rows of ``new`` whose key the sink does not have yet, each key once (first by all columns): append them.
+
+    A key with a null equals no other, as in SQL, so its rows are new each time.
+    """
+    return each_once(new, keys).join(sink.select(*map(named, keys)), keys, "left_anti").select(*map(named, new.columns))
+
+
+def upsert(state: DataFrame, new: DataFrame, keys: list[str], last: str | None = None) -> DataFrame:
+    """The state after new rows replaced those of the same key; of new rows with one key that with the greatest ``last`` counts."""
+    one = each_once(new, keys, last).select(*map(named, state.columns))
+    return state.join(one.select(*map(named, keys)), keys, "left_anti").select(*map(named, state.columns)).unionByName(one)
+
+
+def named(name: str) -> Column:
+    """The column of just this name, dots and backquotes included."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
-def upsert(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The state after new rows replaced those of the same key."""
-    rest = [c for c in state.columns if c not in keys]
-    both = state.withColumn("_old", F.lit(True)).alias("s").join(new.withColumn("_new", F.lit(True)).alias("n"), keys, "full")
-    return both.select(*keys, *(F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in rest))
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def progress(df: DataFrame, name: str, **counts: Column):

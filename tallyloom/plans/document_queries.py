@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rules
+from ..functions import rules, text
 from ..operators import evaluate, normalise
 from ..operators.normalise import Provider
 from ..sources import invoices
@@ -17,7 +17,7 @@ C = Catalogue()
 PROVIDERS = {
     "standard": (normalise.standard, Provider("Proveedor")),
     "dermofarm": (normalise.credit_notes, Provider("Dermofarm", ["Dermofarm S.A."], ("ABONO",))),
-    "fedefarma": (normalise.literal_fusion, Provider("Proveedor", flags={"usar_literal": True})),
+    "fedefarma": (normalise.literal_fusion, Provider("Proveedor", flags={"usar_literal": True}, tax_id=text.dashed_tax_id)),
     "suavinex": (normalise.split_quota, Provider("Proveedor", flags={"albaran_unico_abarca_factura": True})),
     "alliance": (
         normalise.literal_tables,

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import month_folder_date
-from ..functions.text import markdown_cell
+from ..functions.text import diagram_id, markdown_cell
 from ..operators.ingest import content_hash, is_sound_pdf
+from ..operators.sync import named
 
 
 def pdf_inventory(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
@@ -54,17 +55,38 @@ def row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def head_and_more(lines: DataFrame, limit: int) -> list[str]:
+    """The first texts of a frame of one column, and how many more there are, if any."""
+    got = [r[0] for r in lines.limit(limit + 1).collect()]
+    return got if len(got) <= limit else [*got[:limit], f"... and {lines.count() - limit} more"]
+
+
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """Every row as a line of a Markdown table."""
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(markdown_cell(named(c)) for c in df.columns)), F.lit(" |")).alias("line"))
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small frame as a Markdown table."""
-    rows = df.limit(limit).select(*(markdown_cell(F.col(c)).alias(c) for c in df.columns)).collect()
-    lines = [df.columns, ["---"] * len(df.columns), *rows]
-    return "\n".join(f"| {' | '.join(r)} |" for r in lines)
+    """A frame as a Markdown table for reading; it says how many rows there are beyond the limit."""
+    return "\n".join([f"| {' | '.join(df.columns)} |", f"| {' | '.join(['---'] * len(df.columns))} |", *head_and_more(markdown_lines(df), limit)])
+
+
+def mermaid_lines(edges: DataFrame) -> DataFrame:
+    """Every edge (origen, destino, etiqueta) as a line of a diagram, in order; names become identifiers, quotes in labels a code."""
+    label = F.replace(F.coalesce("etiqueta", F.lit("")), F.lit('"'), F.lit("#quot;"))
+    line = F.concat(F.lit("    "), diagram_id(F.col("origen")), F.lit(' -->|"'), label, F.lit('"| '), diagram_id(F.col("destino")))
+    return edges.orderBy("origen", "destino", "etiqueta").select(line.alias("line"))
 
 
 def mermaid(edges: DataFrame, limit: int = 1000) -> str:
-    """Edges (origen, destino, etiqueta) as a diagram."""
-    rows = edges.select("origen", "destino", "etiqueta").orderBy("origen", "destino", "etiqueta").limit(limit).collect()
-    return "\n".join(["graph LR", *(f'    {r.origen} -->|"{r.etiqueta}"| {r.destino}' for r in rows)])
+    """The diagram as one text; a comment says how many edges there are beyond the limit."""
+    lines = head_and_more(mermaid_lines(edges), limit)
+    return "\n".join(["graph LR", *(f"    %% {x}" if x.startswith("...") else x for x in lines)])
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """All lines of a report or diagram, however many, written by the cluster."""
+    lines.write.mode("overwrite").text(path)
 
 
 def write_report(frames: dict[str, DataFrame], folder: str) -> None:

@@ -4,62 +4,72 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.sync import insert_or_ignore
 
 
 def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, under spark.checkpoint.dir; only a local session may do without that."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or f'file:///tmp/checkpoints/{context.applicationId}').rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def read_sink(spark: SparkSession, sink: str, schema) -> DataFrame:
-    """The sink's rows so far; none before the first batch."""
-    from pyspark.errors import AnalysisException
-
+def read_sink(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """The sink's rows so far; none before the first batch, and any other failure is one."""
     try:
         return spark.read.schema(schema).parquet(sink)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
-def idempotent_writer(sink: str, keys: list[str]):
-    """A foreachBatch function: rows whose key the sink has are left out, and a batch that runs again replaces itself."""
+def idempotent_writer(sink: str, keys: list[str], stream: str):
+    """A foreachBatch function: rows whose key the sink has are left out, and a batch that runs again replaces itself.
+
+    ``stream`` names the stream's checkpoint: each writes parts of its own, so a stream with a new checkpoint leaves the
+    rows of others as they are, and takes their keys as given.  Of equal keys in a batch the first by all columns stays.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        if batch_id:
-            have = read_sink(spark, sink, batch.schema.add("_batch", "long")).filter(F.col("_batch") < batch_id)
-            fresh = insert_or_ignore(have, fresh, keys)
-        fresh.write.mode("overwrite").parquet(f"{sink}/_batch={batch_id}")
+        parts = StructType([*batch.schema.fields, StructField("_stream", StringType()), StructField("_batch", LongType())])
+        others = ~((F.col("_stream") == stream) & (F.col("_batch") >= batch_id))
+        have = read_sink(spark, sink, parts).filter(others)
+        insert_or_ignore(have, batch, keys).write.mode("overwrite").parquet(f"{sink}/_stream={stream}/_batch={batch_id}")
 
     return write
 
 
+def stream_name(checkpoint: str) -> str:
+    """A name for the parts of the stream with this checkpoint."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, checkpoint.rstrip("/")).hex
+
+
 def run_available(stream: DataFrame, sink: str, keys: list[str], checkpoint: str) -> None:
     """All that has arrived, then stops; the next run goes on from the checkpoint."""
-    query = stream.writeStream.foreachBatch(idempotent_writer(sink, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(idempotent_writer(sink, keys, stream_name(checkpoint))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def is_folder(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
-
-
 def dedup_stream(spark: SparkSession, path: str, columns: list[str], keys: list[str]) -> DataFrame:
     """A parquet table as a stream in which every row comes twice, into an idempotent sink; the sink's rows."""
     schema = spark.read.parquet(path).schema
+    # A file's folder with the file's name as a pattern; a folder's own files have any name.
+    files = spark.read.parquet(path).select(F.input_file_name().alias("f")).limit(1).collect()
     source = spark.readStream.schema(schema)
-    if is_folder(spark, path):
-        stream = source.parquet(path)
-    else:
+    if files and files[0].f.rstrip("/").endswith(path.rstrip("/").rpartition("/")[2]):
         folder, _, name = path.rpartition("/")
         stream = source.option("pathGlobFilter", name).parquet(folder)
+    else:
+        stream = source.parquet(path)
     twice = stream.select(*columns)
     sink, marks = work_dir(spark, "stream"), work_dir(spark, "stream-marks")
     run_available(twice.unionByName(twice), sink, keys, marks)

@@ -94,3 +94,14 @@ def test_wrong_json_fails(spark):
     with pytest.raises(Exception):
         I.from_json_rows(spark, [{"doc_id": "1", "numero_paginas": "many"}]).collect()
     assert N.VERSION
+
+
+def test_what_a_tax_id_loses_is_noted_where_wanted(spark):
+    ids = {"a": "es a1234 5678", "b": "A-12-345678", "c": "A12345678"}
+    docs = [I.example(k, proveedor_cif=I.field(v)) for k, v in ids.items()]
+    made = lambda **more: {r.doc_id: r for r in N.standard(I.from_json_rows(spark, docs), N.Provider("Proveedor", notices=True, **more)).collect()}
+    got = made()
+    assert [x.tipo_incidencia for x in got["a"].incidencias] == ["PREFIJO_PAIS_ELIMINADO"] and got["a"].proveedor_cif == "A12345678" and got["a"].incidencias[0].nivel == "AVISO"
+    assert got["b"].proveedor_cif == "A-12-345678" and got["b"].incidencias == got["c"].incidencias == []
+    dashed = made(tax_id=N.text.dashed_tax_id)
+    assert [x.tipo_incidencia for x in dashed["b"].incidencias] == ["SEPARADORES_CIF_ELIMINADOS"] and dashed["b"].proveedor_cif == "A12345678" and dashed["a"].proveedor_cif == "es a1234 5678"

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text
 from tallyloom.operators import catalog, explorer, ingest, sync
 from tallyloom.sources import files
 from tallyloom.streaming import increments
@@ -40,6 +41,41 @@ def test_names_orders_and_limits(spark):
         explorer.predicate(F.col("a"), "like", "x")
 
 
+def test_gate_by_the_parsed_plan(spark):
+    spark.range(3).createOrReplaceTempView("known")
+    assert explorer.query(spark, "WITH x AS (SELECT id FROM known) SELECT * FROM x WHERE id > :low", low=0).count() == 2
+    assert explorer.query(spark, "SELECT 'java_method' AS `DROP`, (SELECT max(id) FROM known) AS m").first().m == 2
+    for text in (
+        "SELECT TRANSFORM(1) USING 'id' AS (x string)",
+        "SELECT java_method('java.lang.System','getProperty','user.home')",
+        "SELECT `reflect`('java.lang.System','getProperty','user.home')",
+        "SELECT id FROM known WHERE id IN (SELECT try_reflect('a', 'b'))",
+        "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`",
+        "WITH x AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM x",
+        "SELECT * FROM unknown",
+        "SELECT 'a\\' DELETE",
+    ):
+        with pytest.raises(explorer.NotReadOnly):
+            explorer.query(spark, text)
+
+
+def test_values_and_names_of_any_kind(spark):
+    df = spark.createDataFrame([("a\\b", 1), ("axb", 2), ("A\\B%", 3)], "`a.b` string, `c``d` int")
+    look = lambda op, v: [r[1] for r in explorer.matches(df, explorer.SearchSpec("a.b", op, v)).collect()]
+    assert look("contains", "a\\b") == [1, 3] and look("startswith", "a_b") == [1, 2, 3] and look("endswith", "\\B%") == [1, 3]
+    assert explorer.search(df, explorer.SearchSpec("c`d", "ge", 2, ["a.b"], ("c`d", False))).columns == ["a.b"]
+    assert explorer.value_counts(df, "a.b").count() == 3 and explorer.preview(df).count() == 3
+    for a, b in (("Łódź", "łodz"), ("Čapek", "capek"), ("Ωμέγα", "ωμεγα"), ("ΣΟΦΟΣ", "σοφος"), ("Straße", "STRASSE"), ("Йод", "йод")):
+        row = spark.createDataFrame([(a, b)], "a string, b string").select(text.simplified(F.col("a")), text.simplified(F.col("b"))).first()
+        assert row[0] == row[1], row
+
+
+def test_default_order_follows_the_list(spark):
+    order = lambda *names: explorer.default_order(spark.createDataFrame([tuple([1] * len(names))], ", ".join(f"`{n}` int" for n in names)))
+    assert order("Id", "RazonSocial", "Denominacion") == ("Denominacion", True) and order("x", "FechaAlta", "FechaVenta") == ("FechaVenta", False)
+    assert order("a", "IdOtro") == ("IdOtro", False) and order("a", "mifecha") == ("mifecha", False) and order("c_name") is None
+
+
 def test_pdf_inventory(spark, tmp_path):
     for name, data in {"JUNY 26/b.PDF": b"%PDF-1", "JULIOL 2026/sub/a.pdf": b"%PDF-1", "JULIOL 2026/c.pdf": b"<html>", "MAIG 26/old.pdf": b"%PDF-", "otros/x.pdf": b"%PDF-", "JUNY 26/n.txt": b"x"}.items():
         os.makedirs(os.path.dirname(tmp_path / name), exist_ok=True)
@@ -77,6 +113,34 @@ def test_reports(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/hoja", header=True, multiLine=True).count() == 2
 
 
+def test_long_reports_say_how_much_is_left_and_are_written_whole(spark, tmp_path):
+    df = spark.range(25).selectExpr("concat('t-', id) AS origen", "'2u' AS destino", """'a "b"' AS etiqueta""")
+    lines = files.mermaid(df, 10).splitlines()
+    assert len(lines) == 12 and lines[-1] == "    %% ... and 15 more" and lines[1] == '    t_0 -->|"a #quot;b#quot;"| T_2u'
+    assert files.markdown(df, 10).splitlines()[-1] == "... and 15 more" and len(files.markdown(df).splitlines()) == 27
+    files.write_lines(files.mermaid_lines(df), f"{tmp_path}/edges")
+    assert spark.read.text(f"{tmp_path}/edges").count() == 25
+
+
+def test_upsert_changes_and_names_of_the_users(spark):
+    state = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, v string, _n int")
+    new = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1), (None, "x", 1), (None, "x", 1)], "id int, v string, _n int")
+    got = sync.upsert(state, new, ["id"], last="_n")
+    assert sorted(map(tuple, got.collect()), key=repr) == [(1, "a", 0), (2, "d", 2), (3, "e", 1), (None, "x", 1), (None, "x", 1)] and got.columns == state.columns
+    assert sync.insert_or_ignore(state, new, ["id"]).columns == ["id", "v", "_n"]
+    twice = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, None, 1)], "id int, `x.y` string, _a int")
+    assert sorted(map(tuple, ingest.changes(twice, twice, "id", ["x.y", "_a"]).collect())) == [(1, "IGUAL"), (2, "IGUAL")]
+
+
+def test_a_new_checkpoint_keeps_old_rows(spark, tmp_path):
+    sink = f"file://{tmp_path}/sink"
+    for n, ids in enumerate(([1, 2], [2, 3])):
+        src = f"file://{tmp_path}/src{n}"
+        spark.createDataFrame([(i, n) for i in ids], "id long, run int").coalesce(1).write.parquet(src)
+        increments.run_available(spark.readStream.schema("id long, run int").parquet(src), sink, ["id"], f"file://{tmp_path}/marks{n}")
+    assert sorted((r.id, r.run) for r in spark.read.parquet(sink).collect()) == [(1, 0), (2, 0), (3, 1)]
+
+
 def test_insert_or_ignore_twice_changes_nothing(spark):
     sink, new = spark.createDataFrame([(1, "a")], "id int, v string"), spark.createDataFrame([(1, "b"), (2, "c"), (2, "d")], "id int, v string")
     first = sink.unionByName(sync.insert_or_ignore(sink, new, ["id"]))
