@@ -55,7 +55,7 @@ def orders(t: Tables) -> DataFrame:
     return done.select("doc_id", "numero_factura", "fecha_factura", "base_imponible_total", F.col("iva_total").alias("iva_total"), F.size("impuestos").alias("tramos"), state(0).alias("total"), state(1).alias("iva"))
 
 
-@C.add("evidence_gate")
+@C.add("evidence_gate", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang END AS valor FROM documents")
 def evidence(t: Tables) -> DataFrame:
     """Values with and without valid evidence."""
     proof = lambda *texts: F.array(*(F.struct(F.lit(x).cast("string").alias("texto_visible"), F.lit(None).cast("int").alias("pagina")) for x in texts))
