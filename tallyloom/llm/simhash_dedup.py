@@ -37,6 +37,8 @@ RADIUS_256, DIFFER, MISS, NEAR_SHARD = 58, 39, 1e-4, 256
 PAIRS = 1 << 18
 #: Rows of whole shards that are searched together, and rows of a shard or cell.
 SHARD_ROWS, CELL_ROWS = 60_000, 200_000
+#: Rows of a shard or cell in which all pairs are compared, and shingle sets and their bytes in a block.
+NEAR_CELL, BLOCK_SETS, BLOCK_BYTES = 20_000, 1000, 1 << 23
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -267,8 +269,29 @@ def in_cells(rows: DataFrame, shard: str, fp: str, most: int = 0) -> DataFrame:
     return dealt.withColumn(shard, F.col("_cell")).drop("_g", "_cell")
 
 
+def above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether point a is higher than point b, lane by lane."""
+    out = np.zeros(len(a), bool)
+    for lane in range(a.shape[1] - 1, -1, -1):
+        out = (a[:, lane] > b[:, lane]) | ((a[:, lane] == b[:, lane]) & out)
+    return out
+
+
+def first_band(a: np.ndarray, b: np.ndarray, bands: list[list[int]]) -> np.ndarray:
+    """The first band in which the points agree; that of one of them is given, so there is one."""
+    masks = np.zeros((len(bands), a.shape[1]), np.uint64)
+    for at, bits in enumerate(bands):
+        for i in bits:
+            masks[at, i // 64] |= np.uint64(1) << np.uint64(63 - i % 64)
+    differ = a ^ b
+    out = np.full(len(a), len(bands), np.int64)
+    for at in range(len(bands) - 1, -1, -1):
+        out[~(differ & masks[at]).any(axis=1)] = at
+    return out
+
+
 def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: bool) -> DataFrame:
-    """``nodes`` (fp distinct, root) to pairs (u, v, d) of different roots that share a band and differ in d bits, ``radius`` at most.
+    """``nodes`` (fp distinct, root long) to pairs (u, v, d) of different roots that share a band and differ in d bits, ``radius`` at most.
 
     ``nearest``: only neighbours in a few sorted orders, of which each u keeps one; else every pair, once.
     """
@@ -277,14 +300,16 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: b
         for batch in it:
             if batch.num_rows:
                 keys = band_keys(as_points(batch.column(0)), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), *(pa.concat_arrays([c] * len(bands)) for c in batch.columns)], names=["shard", "fp", "root"])
+                band = np.repeat(np.arange(len(bands), dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(band), *(pa.concat_arrays([c] * len(bands)) for c in batch.columns)], names=["shard", "band", "fp", "root"])
 
     def pairs(shard: np.ndarray, root: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places (a, b) to compare; rows are sorted by shard and root."""
         if nearest:
-            for turn in range(0, 64, 8):
-                rolled = (points << np.uint64(turn)) | (points >> np.uint64((64 - turn) % 64)) if turn else points
-                order = np.lexsort((*rolled.T[::-1], shard))
+            for turn in range(8):
+                lane = points[:, turn % points.shape[1]]
+                rolled = (lane << np.uint64(32)) | (lane >> np.uint64(32)) if turn >= 4 else lane
+                order = np.lexsort((rolled, shard))
                 same = shard[order[1:]] == shard[order[:-1]]
                 yield order[1:][same], order[:-1][same]
             return
@@ -306,15 +331,30 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: b
     def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         fps, points = t.column("fp").chunk(0), as_points(t.column("fp").chunk(0))
-        root = np.unique(as_points(t.column("root").chunk(0)), axis=0, return_inverse=True)[1].ravel()
-        for a, b in pairs(t.column("shard").to_numpy(), root, points):
+        band = t.column("band").to_numpy()
+        found = []
+        for a, b in pairs(t.column("shard").to_numpy(), t.column("root").to_numpy(), points):
             d = distance(points[a], points[b])
-            near = d <= radius
-            # A pair that shares several bands is the same in all: u is the higher fingerprint.
+            near = (d <= radius) & (d > 0)
             a, b, d = a[near], b[near], d[near]
-            x, y = fps.take(pa.array(a)).to_pylist(), fps.take(pa.array(b)).to_pylist()
-            if x:
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(max, x, y)), pa.binary()), pa.array(list(map(min, x, y)), pa.binary()), pa.array(d.astype(np.int32))], names=["u", "v", "d"])
+            high = above(points[a], points[b])
+            u, v = np.where(high, a, b), np.where(high, b, a)
+            if nearest:
+                found.append((u, v, d))
+                continue
+            # A pair that shares several bands is told by the first of them.
+            once = first_band(points[u], points[v], bands) == band[u]
+            found = [(u[once], v[once], d[once])]
+            yield from told(fps, *found[0])
+        if nearest and found:
+            u, v, d = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((d, u))
+            order = order[np.r_[True, u[order[1:]] != u[order[:-1]]]] if len(order) else order
+            yield from told(fps, u[order], v[order], d[order])
+
+    def told(fps: pa.Array, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(u):
+            yield pa.RecordBatch.from_arrays([fps.take(pa.array(u)), fps.take(pa.array(v)), pa.array(d.astype(np.int32))], names=["u", "v", "d"])
 
     def by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole shards together; rows come sorted by shard."""
@@ -333,15 +373,19 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: b
         if held:
             yield from search(held)
 
-    shards = nodes.select("fp", "root").mapInArrow(keyed, "shard long, fp binary, root binary").repartition("shard").sortWithinPartitions("shard", "root")
-    found = shards.mapInArrow(by_shard, "u binary, v binary, d int")
+    shards = in_cells(nodes.select("fp", "root").mapInArrow(keyed, "shard long, band int, fp binary, root long"), "shard", "fp", NEAR_CELL)
+    found = shards.repartition("shard").sortWithinPartitions("shard", "root").mapInArrow(by_shard, "u binary, v binary, d int")
     if nearest:
         return found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", "x.v", "x.d")
     return found.distinct()
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lanes: int, doc: str, text: str) -> DataFrame:
-    """The pairs (u, v) of fingerprints whose texts have a Jaccard similarity of SIMILAR or more over their k-word shingles."""
+    """The pairs (u, v) of fingerprints whose texts have a Jaccard similarity of SIMILAR or more over their k-word shingles.
+
+    Fingerprints are dealt to blocks; a pair goes to the cell of its two blocks, and a shingle set once to each cell that has a
+    pair of it, not once a pair.  Blocks are so many that the sets of a cell stay within BLOCK_SETS and BLOCK_BYTES on average.
+    """
     ids = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").select(F.col("least").alias("_id")).distinct()
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,19 +395,35 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lanes
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (fingerprint(t, k, lanes), shingles)], names=["fp", "s"])
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell, in each the sets (u, s) before the pairs (u, v)."""
+        cell, sets = None, {}
         for batch in it:
             keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+            for c, u, v, s in zip(*(batch.column(x).to_pylist() for x in ("cell", "u", "v", "s"))):
+                if c != cell:
+                    cell, sets = c, {}
+                if v is None:
+                    sets[u] = frozenset(np.frombuffer(s, np.uint64).tolist())
+                    keep.append(False)
+                    continue
+                x, y = sets[u], sets[v]
+                near = min(len(x), len(y)) >= SIMILAR * max(len(x), len(y))
+                both = len(x & y) if near else 0
+                keep.append(near and both >= SIMILAR * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(ids, "_id", "left_semi").select("text")
     # Equal fingerprints are one node, so one text stands for each.
     sets = written(texts.mapInArrow(make, "fp binary, s binary").groupBy("fp").agg(F.min("s").alias("s")), "shingles")
-    joined = pairs.join(sets.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    return written(joined.select("u", "v", "a", "b").mapInArrow(judge, "u binary, v binary"), "confirmed")
+    total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("s")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-total["n"] // BLOCK_SETS), -(-total["b"] // BLOCK_BYTES))
+    of = [F.pmod(F.xxhash64(x), F.lit(blocks)) for x in ("u", "v")]
+    dealt = pairs.select((F.least(*of) * blocks + F.greatest(*of)).alias("cell"), "u", "v")
+    wanted = dealt.select("cell", F.explode(F.array("u", "v")).alias("fp")).distinct()
+    given = wanted.join(sets, "fp").select("cell", F.col("fp").alias("u"), F.lit(None).cast("binary").alias("v"), "s")
+    rows = given.unionByName(dealt.withColumn("s", F.lit(None).cast("binary")))
+    cells = rows.repartition("cell").sortWithinPartitions("cell", F.col("v").isNotNull())
+    return written(cells.mapInArrow(judge, "u binary, v binary"), "confirmed")
 
 
 def with_components(fps: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
@@ -408,9 +468,9 @@ def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str
     fps = written(fingerprints(docs, k, 4, doc, text), "fingerprints")
     nodes = nodes_of(fps)
     bands = candidate_bands(nodes.count())
-    first = written(near_pairs(nodes.withColumn("root", F.col("fp")), RADIUS_256, bands, True), "nearest")
+    first = written(near_pairs(nodes.withColumn("root", F.xxhash64("fp")), RADIUS_256, bands, True), "nearest")
     sure = confirmed(first, nodes, docs, k, 4, doc, text)
-    rooted = nodes.join(stars_of(sure), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = written(nodes.join(stars_of(sure), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("root")), "known")
     rest = near_pairs(rooted, RADIUS_256, bands, False).join(first, ["u", "v"], "left_anti")
     more = confirmed(written(rest, "candidates"), nodes, docs, k, 4, doc, text)
     return with_components(fps, nodes, stars_of(sure.unionByName(more)))
