@@ -20,8 +20,9 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import join_one, table, texts_as_bytes, unused, written
@@ -33,12 +34,17 @@ CHUNK = 1 << 15
 SIMILAR = 0.8
 #: Bits that may differ in a candidate, bits that do at the similarity, the chance that bands miss such a pair, and nodes in a shard.
 RADIUS_256, DIFFER, MISS, NEAR_SHARD = 58, 39, 1e-4, 256
+#: Lanes and radius of the longer fingerprints that tell which candidates are compared by their shingles: at the similarity
+#: some 153 bits of 1024 differ (deviation 10), so fewer true links are lost than by the radius of 256 bits.
+WIDE_LANES, WIDE_RADIUS = 16, 192
 #: Pairs whose distance is worked out at once.
 PAIRS = 1 << 18
 #: Rows of whole shards that are searched together, and rows of a shard or cell.
 SHARD_ROWS, CELL_ROWS = 60_000, 200_000
 #: Rows of a shard or cell in which all pairs are compared, and shingle sets and their bytes in a block.
 NEAR_CELL, BLOCK_SETS, BLOCK_BYTES = 20_000, 1000, 1 << 23
+#: Neighbours of a fingerprint that are confirmed first: enough that a large group of near copies becomes one before all candidates are.
+NEAREST = 12
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -290,11 +296,13 @@ def first_band(a: np.ndarray, b: np.ndarray, bands: list[list[int]]) -> np.ndarr
     return out
 
 
-def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: bool) -> DataFrame:
-    """``nodes`` (fp distinct, root long) to pairs (u, v, d) of different roots that share a band and differ in d bits, ``radius`` at most.
+def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], want: str) -> DataFrame:
+    """``nodes`` (fp distinct, root long) to what is wanted of pairs of different roots that share a band and differ in ``radius`` bits at most.
 
-    ``nearest``: only neighbours in a few sorted orders, of which each u keeps one; else every pair, once.
+    ``want``: "nearest" of the neighbours in a few sorted orders, NEAREST of each u (u, v, d); "marks", the fingerprints that have
+    such a pair at all (fp); "pairs", every pair, once (u, v).  Pairs are named by their first 256 bits, of which bands are made.
     """
+    nearest, marks = want == "nearest", want == "marks"
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -332,7 +340,7 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: b
         t = pa.Table.from_batches(held).combine_chunks()
         fps, points = t.column("fp").chunk(0), as_points(t.column("fp").chunk(0))
         band = t.column("band").to_numpy()
-        found = []
+        found, marked = [], np.zeros(len(points), bool)
         for a, b in pairs(t.column("shard").to_numpy(), t.column("root").to_numpy(), points):
             d = distance(points[a], points[b])
             near = (d <= radius) & (d > 0)
@@ -342,19 +350,24 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: b
             if nearest:
                 found.append((u, v, d))
                 continue
+            if marks:
+                marked[u] = marked[v] = True
+                continue
             # A pair that shares several bands is told by the first of them.
             once = first_band(points[u], points[v], bands) == band[u]
-            found = [(u[once], v[once], d[once])]
-            yield from told(fps, *found[0])
+            yield from told(fps, u[once], v[once])
         if nearest and found:
             u, v, d = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((d, u))
             order = order[np.r_[True, u[order[1:]] != u[order[:-1]]]] if len(order) else order
             yield from told(fps, u[order], v[order], d[order])
+        if marks and marked.any():
+            yield pa.RecordBatch.from_arrays([pc.unique(fps.filter(pa.array(marked)))], names=["fp"])
 
-    def told(fps: pa.Array, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def told(fps: pa.Array, u: np.ndarray, v: np.ndarray, *d: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(u):
-            yield pa.RecordBatch.from_arrays([fps.take(pa.array(u)), fps.take(pa.array(v)), pa.array(d.astype(np.int32))], names=["u", "v", "d"])
+            names = [pc.binary_slice(fps.take(pa.array(x)), 0, 32) for x in (u, v)]
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array(x.astype(np.int32)) for x in d)], names=["u", "v", "d"][: 2 + len(d)])
 
     def by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole shards together; rows come sorted by shard."""
@@ -374,25 +387,44 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], nearest: b
             yield from search(held)
 
     shards = in_cells(nodes.select("fp", "root").mapInArrow(keyed, "shard long, band int, fp binary, root long"), "shard", "fp", NEAR_CELL)
-    found = shards.repartition("shard").sortWithinPartitions("shard", "root").mapInArrow(by_shard, "u binary, v binary, d int")
+    schema = {"nearest": "u binary, v binary, d int", "marks": "fp binary", "pairs": "u binary, v binary"}[want]
+    found = shards.repartition("shard").sortWithinPartitions("shard", "root").mapInArrow(by_shard, schema)
     if nearest:
-        return found.groupBy("u").agg(F.min(F.struct("d", "v")).alias("x")).select("u", "x.v", "x.d")
+        order = Window.partitionBy("u").orderBy("d", "v")
+        return found.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= NEAREST).drop("n")
     return found.distinct()
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lanes: int, doc: str, text: str) -> DataFrame:
-    """The pairs (u, v) of fingerprints whose texts have a Jaccard similarity of SIMILAR or more over their k-word shingles.
+def both_ends(pairs: DataFrame, *by: str) -> DataFrame:
+    """The distinct fingerprints (``by``, fp) of pairs; each end is made distinct before they meet."""
+    ends = [pairs.select(*by, F.col(x).alias("fp")).distinct() for x in ("u", "v")]
+    return ends[0].unionByName(ends[1]).distinct()
 
-    Fingerprints are dealt to blocks; a pair goes to the cell of its two blocks, and a shingle set once to each cell that has a
-    pair of it, not once a pair.  Blocks are so many that the sets of a cell stay within BLOCK_SETS and BLOCK_BYTES on average.
-    """
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(nodes, "fp").select(F.col("least").alias("_id")).distinct()
+
+def shingle_sets(some: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, doc: str, text: str) -> DataFrame:
+    """(fp, wide, s) of some nodes (fp distinct): the longer fingerprint and the shingle set of one text of each, as a written table."""
+    ids = some.join(nodes, "fp").select(F.col("least").alias("_id")).distinct()
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for t in texts_as_bytes(batch, "text"):
+                wide = fingerprint(t, k, WIDE_LANES)
                 shingles = np.unique(shingle_hashes(t.lower().split(), k)).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (fingerprint(t, k, lanes), shingles)], names=["fp", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (wide[:32], wide, shingles)], names=["fp", "wide", "s"])
+
+    texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(ids, "_id", "left_semi").select("text")
+    # Equal fingerprints are one node, so one text stands for each.
+    first = F.min(F.struct("wide", "s")).alias("x")
+    return written(texts.mapInArrow(make, "fp binary, wide binary, s binary").groupBy("fp").agg(first).select("fp", "x.wide", "x.s"), "shingles")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of fingerprints whose texts have a Jaccard similarity of SIMILAR or more over their k-word shingles.
+
+    ``sets``: shingle_sets() of all that are in pairs.  Fingerprints are dealt to blocks; a pair goes to the cell of its two
+    blocks, and a shingle set once to each cell that has a pair of it, not once a pair.  Blocks are so many that the sets of a
+    cell stay within BLOCK_SETS and BLOCK_BYTES on average.
+    """
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell, in each the sets (u, s) before the pairs (u, v)."""
@@ -412,14 +444,11 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, lanes
                 keep.append(near and both >= SIMILAR * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(ids, "_id", "left_semi").select("text")
-    # Equal fingerprints are one node, so one text stands for each.
-    sets = written(texts.mapInArrow(make, "fp binary, s binary").groupBy("fp").agg(F.min("s").alias("s")), "shingles")
     total = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("s")), F.lit(0)).alias("b")).first()
     blocks = max(1, -(-total["n"] // BLOCK_SETS), -(-total["b"] // BLOCK_BYTES))
     of = [F.pmod(F.xxhash64(x), F.lit(blocks)) for x in ("u", "v")]
     dealt = pairs.select((F.least(*of) * blocks + F.greatest(*of)).alias("cell"), "u", "v")
-    wanted = dealt.select("cell", F.explode(F.array("u", "v")).alias("fp")).distinct()
+    wanted = both_ends(dealt, "cell")
     given = wanted.join(sets, "fp").select("cell", F.col("fp").alias("u"), F.lit(None).cast("binary").alias("v"), "s")
     rows = given.unionByName(dealt.withColumn("s", F.lit(None).cast("binary")))
     cells = rows.repartition("cell").sortWithinPartitions("cell", F.col("v").isNotNull())
@@ -462,17 +491,21 @@ def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str
     """Classes of documents linked by k-word shingle sets that are similar to 0.8 or more (Jaccard, exact).
 
     Fingerprints of 256 bits only find candidates: pairs within a wide radius that agree in one of many bands.
-    Each link is then confirmed on the shingles themselves.  First each node's nearest neighbour is tried, so that groups of copies
-    become one; then all candidates between different groups, so that none is left out.
+    Each link is then confirmed on the shingles themselves.  First each node's nearest neighbours are tried, so that groups of copies
+    become one; then all candidates between different groups, so that none is left out: those that 256 bits let through
+    are held against each other by longer fingerprints, and by their shingles if these are within a radius too.
     """
     fps = written(fingerprints(docs, k, 4, doc, text), "fingerprints")
     nodes = nodes_of(fps)
     bands = candidate_bands(nodes.count())
-    first = written(near_pairs(nodes.withColumn("root", F.xxhash64("fp")), RADIUS_256, bands, True), "nearest")
-    sure = confirmed(first, nodes, docs, k, 4, doc, text)
+    first = written(near_pairs(nodes.withColumn("root", F.xxhash64("fp")), RADIUS_256, bands, "nearest"), "nearest")
+    sure = confirmed(first, shingle_sets(both_ends(first), nodes, docs, k, doc, text))
     rooted = written(nodes.join(stars_of(sure), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("root")), "known")
-    rest = near_pairs(rooted, RADIUS_256, bands, False).join(first, ["u", "v"], "left_anti")
-    more = confirmed(written(rest, "candidates"), nodes, docs, k, 4, doc, text)
+    marked = written(near_pairs(rooted, RADIUS_256, bands, "marks"), "marked")
+    sets = shingle_sets(marked, nodes, docs, k, doc, text)
+    wide = sets.join(rooted, "fp").select(F.col("wide").alias("fp"), "root")
+    rest = near_pairs(wide, WIDE_RADIUS, bands, "pairs").join(first, ["u", "v"], "left_anti")
+    more = confirmed(written(rest, "candidates"), sets)
     return with_components(fps, nodes, stars_of(sure.unionByName(more)))
 
 
