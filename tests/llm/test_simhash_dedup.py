@@ -179,3 +179,38 @@ def test_similar_classes_are_those_of_exact_similarity(spark):
         want |= {2 * i: 2 * i, 2 * i + 1: 2 * i + (j < 0.8)}
     assert sure >= 30 and {d: got[d] for d in want} == want
     assert {got[1000 + i] for i in range(40)} == {1000} and got[2001] == 2000 and got[None] is None
+
+
+def test_first_band_and_order_of_points():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, (300, 16)).astype(np.uint64)
+    b = a ^ (rng.random((300, 16)) < 0.3).astype(np.uint64) * rng.integers(0, 2**63, (300, 16)).astype(np.uint64)
+    bands = S.candidate_bands(1000)
+    ka, kb = S.band_keys(a, bands), S.band_keys(b, bands)
+    first = [next((i for i in range(len(bands)) if x[i] == y[i]), len(bands)) for x, y in zip(ka, kb)]
+    assert S.first_band(a, b, bands).tolist() == first
+    assert S.above(a, b).tolist() == [x > y for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_similar_classes_equal_brute_force_in_many_cells(spark, monkeypatch):
+    """Many near copies around the similarity, in small blocks and cells, against all pairs."""
+    monkeypatch.setattr(S, "BLOCK_SETS", 7)
+    monkeypatch.setattr(S, "NEAR_CELL", 20)
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(70):
+        words = list(base)
+        for _ in range(i % 6):
+            words[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(S.shingle_hashes(t.encode().split(), 5).tolist()) for t in texts]
+    least = list(range(70))
+    while True:
+        new = [min(least[j] for j in range(70) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(70)]
+        if new == least:
+            break
+        least = new
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in S.similar_classes(docs).collect()}
+    assert got == dict(enumerate(least))
