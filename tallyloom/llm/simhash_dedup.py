@@ -70,9 +70,11 @@ def mixed(h: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, k: int, lanes: int = 1) -> bytes:
-    """Big-endian bits; bit i is 1 if it is set in over half of the hashes."""
+def fingerprint(text: bytes, k: int, lanes: int = 1, once: bool = False) -> bytes:
+    """Big-endian bits; bit i is 1 if it is set in over half of the hashes, each counted ``once`` or as often as it comes."""
     h = shingle_hashes(text.lower().split(), k)
+    if once:
+        h = np.unique(h)
     out = b""
     for lane in range(lanes):
         votes = np.zeros(64, np.int64)
@@ -88,13 +90,13 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def fingerprints(docs: DataFrame, k: int, lanes: int = 1, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, lanes: int = 1, doc: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
     """(doc_id, text_hash, fp): fp is 8 bytes a lane."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary())])
 
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = [fingerprint(t, k, lanes) for t in texts_as_bytes(batch, "text")]
+            fps = [fingerprint(t, k, lanes, once) for t in texts_as_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], schema=schema)
 
     src = docs.select(F.col(doc).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
@@ -408,7 +410,7 @@ def shingle_sets(some: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, doc
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for t in texts_as_bytes(batch, "text"):
-                wide = fingerprint(t, k, WIDE_LANES)
+                wide = fingerprint(t, k, WIDE_LANES, once=True)
                 shingles = np.unique(shingle_hashes(t.lower().split(), k)).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (wide[:32], wide, shingles)], names=["fp", "wide", "s"])
 
@@ -490,12 +492,13 @@ def simhash_classes(docs: DataFrame, k: int = 3, radius: int = 3, lanes: int = 1
 def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of documents linked by k-word shingle sets that are similar to 0.8 or more (Jaccard, exact).
 
-    Fingerprints of 256 bits only find candidates: pairs within a wide radius that agree in one of many bands.
+    Fingerprints of 256 bits only find candidates: pairs within a wide radius that agree in one of many bands.  As links are told by sets,
+    every shingle votes once, however often a text repeats it.
     Each link is then confirmed on the shingles themselves.  First each node's nearest neighbours are tried, so that groups of copies
     become one; then all candidates between different groups, so that none is left out: those that 256 bits let through
     are held against each other by longer fingerprints, and by their shingles if these are within a radius too.
     """
-    fps = written(fingerprints(docs, k, 4, doc, text), "fingerprints")
+    fps = written(fingerprints(docs, k, 4, doc, text, once=True), "fingerprints")
     nodes = nodes_of(fps)
     bands = candidate_bands(nodes.count())
     first = written(near_pairs(nodes.withColumn("root", F.xxhash64("fp")), RADIUS_256, bands, "nearest"), "nearest")

@@ -214,3 +214,17 @@ def test_similar_classes_equal_brute_force_in_many_cells(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in S.similar_classes(docs).collect()}
     assert got == dict(enumerate(least))
+
+
+def test_repeated_lines_do_not_hide_a_copy(spark):
+    """Similarity is that of shingle sets, so a line said thirty times weighs as if said once or twice."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(20):
+        base = r.choices(words, k=210)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + base[-10:] * 29))]
+    a, b = (set(S.shingle_hashes(t.encode().split(), 5).tolist()) for _, t in rows[:2])
+    assert len(a & b) > 0.95 * len(a | b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in S.keep_one(docs, S.similar_classes(docs)).collect()) == list(range(0, 40, 2))
