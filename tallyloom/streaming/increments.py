@@ -10,15 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.sync import insert_or_ignore
-
-
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; only a local session may do without that."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not base and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(base or f'file:///tmp/checkpoints/{context.applicationId}').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from ..work import work_dir
 
 
 def read_sink(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
