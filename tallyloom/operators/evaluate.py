@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import simplified
+from .sync import named
 
 
 def atoms(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -140,3 +141,87 @@ def projection(means: DataFrame, general: str, literal: str, monthly: int = 60,
     share = F.explode(F.array(*(F.lit(s).cast("decimal(3,2)") for s in shares)))
     month = F.col(general) * monthly + F.col(literal) * monthly * F.col("proporcion")
     return means.select("*", share.alias("proporcion")).withColumns({"coste_mensual": F.round(month, 2).cast("decimal(18,2)"), "coste_anual": F.round(month * 12, 2).cast("decimal(18,2)")})
+
+
+#: The blocks of an invoice and their fields.
+BLOCKS = {
+    "cabecera": ("tipo_documento", "categoria", "requiere_conciliacion_albaranes", "pagina_inicio", "pagina_fin", "numero_factura", "fecha_factura"),
+    "proveedor": ("proveedor_nombre", "proveedor_cif"),
+    "destinatario": ("destinatario",),
+    "totales": ("base_imponible_total", "iva_total", "recargo_equivalencia_total", "importe_total"),
+    "fiscalidad": ("impuestos",),
+    "vencimientos": ("vencimientos",),
+    "albaranes": ("albaranes",),
+    "ajustes": ("ajustes",),
+    "campos_especiales": ("fecha_cargo", "periodo_facturacion_inicio", "periodo_facturacion_fin", "nota_revision"),
+}
+
+
+def block_of(field: Column, blocks: dict[str, tuple[str, ...]] = BLOCKS) -> Column:
+    """A field's block; null if none has it."""
+    pairs = [x for name, fields in blocks.items() for f in fields for x in (F.lit(f), F.lit(name))]
+    return F.try_element_at(F.create_map(*pairs), field)
+
+
+#: Classes of fields that are counted, with their counters.
+COUNTED = {"CORRECTO": "correctos", "INCORRECTO": "incorrectos", "AUSENTE": "ausentes", "PARCIAL": "parciales", "INVENTADO": "inventados"}
+
+
+def rollup(classes: DataFrame, dimensions: list[str], kind: str = "clase") -> DataFrame:
+    """(dimension, valor, campos_evaluados, one counter a class, acierto_estricto, cobertura): by each dimension, and in total.
+
+    All groupings are grouping sets of one aggregation, so the classified fields are read and shuffled once, after partial aggregation.
+    A null value of a dimension is a value of its own.
+    """
+    level = F.grouping_id()
+    sets = classes.groupingSets([[d] for d in dimensions] + [[]], *dimensions)
+    counts = sets.agg(level.alias("_set"), F.count("*").alias("campos_evaluados"), *(F.count_if(F.col(kind) == c).alias(n) for c, n in COUNTED.items()))
+    # A dimension's bit is 0 where the row is grouped by it; the first has the highest.
+    full = 2 ** len(dimensions) - 1
+    bit = {d: full - 2 ** (len(dimensions) - 1 - i) for i, d in enumerate(dimensions)}
+    name = value = F.lit(None).cast("string")
+    for d, b in bit.items():
+        name = F.when(F.col("_set") == b, d).otherwise(name)
+        value = F.when(F.col("_set") == b, F.col(d).cast("string")).otherwise(value)
+    n = F.col("campos_evaluados")
+    return counts.select(
+        F.coalesce(name, F.lit("total")).alias("dimension"), value.alias("valor"), "campos_evaluados", *COUNTED.values(),
+        pct(F.col("correctos"), n).alias("acierto_estricto"), pct(n - F.col("ausentes"), n).alias("cobertura"),
+    )
+
+
+def call_summary(calls: DataFrame, classes: DataFrame, key: str, model: str, fields: int, kind: str = "clase", cost: str = "coste") -> DataFrame:
+    """By model: calls that gave fields and calls that failed, fields, correct and absent ones, accuracy, coverage and costs.
+
+    A call (``key``, once) without classified fields failed: it counts with ``fields`` absent fields and none correct.  Accuracy is a share of the
+    fields of all calls; the mean cost is that of all calls by the calls that didn't fail.
+    """
+    counts = classes.groupBy(named(key)).agg(F.count("*").alias("_n"), *(F.count_if(F.col(kind) == c).alias(n) for c, n in COUNTED.items()))
+    each = calls.select(named(key), named(model), named(cost).alias("_cost")).join(counts, key, "left").withColumn("_failed", F.col("_n").isNull())
+    asked = F.count("*") * fields
+    good = F.count_if(~F.col("_failed"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    spent = F.coalesce(F.sum(F.col("_cost").cast("decimal(18,6)")), F.lit(0)).cast("decimal(18,6)")
+    sums = each.groupBy(named(model)).agg(
+        good.alias("llamadas_correctas"), F.count_if("_failed").alias("llamadas_fallidas"), asked.alias("campos_evaluados"), total(F.col("correctos")).alias("correctos"),
+        total(F.when(F.col("_failed"), fields).otherwise(F.col("ausentes"))).alias("ausentes"), total(F.col("inventados")).alias("invenciones"), spent.alias("coste"),
+        F.when(good > 0, F.round(spent / good.cast("decimal(12,0)"), 6)).otherwise(0).cast("decimal(18,6)").alias("coste_medio"),
+    )
+    n = F.col("campos_evaluados")
+    return sums.withColumns({"acierto_estricto": pct(F.col("correctos"), n), "cobertura": pct(n - F.col("ausentes"), n)})
+
+
+def usage_totals(calls: DataFrame, counters: list[str], cost: str, needs: Column, by: list[str] | None = None) -> DataFrame:
+    """Sums of the counters (tokens, pages) and costs, the mean cost, and how many calls need a second reading, of all or by columns."""
+    n, more = F.count("*"), F.count_if(F.coalesce(needs, F.lit(False)))
+    spent = F.coalesce(F.sum(named(cost).cast("decimal(18,6)")), F.lit(0)).cast("decimal(18,6)")
+    mean = F.when(n > 0, F.round(spent / n.cast("decimal(12,0)"), 6)).cast("decimal(18,6)")
+    return calls.groupBy(*map(named, by or [])).agg(n.alias("documentos"), *(F.coalesce(F.sum(named(c)), F.lit(0)).cast("long").alias(c) for c in counters), spent.alias("coste_total"), mean.alias("coste_medio"), more.alias("requieren_tablas"), pct(more, n).alias("porcentaje_tablas"))
+
+
+def before_after(before: DataFrame, after: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:
+    """Two summaries side by side: each counter before, after, and the change; a key that one of them lacks counts as zeros."""
+    side = lambda df, name: df.select(*map(named, keys), *(named(c).alias(f"{c}_{name}") for c in counters))
+    both = side(before, "antes").join(side(after, "despues"), keys, "full")
+    zero = lambda c: F.coalesce(named(c), F.lit(0))
+    return both.select(*map(named, keys), *(x for c in counters for x in (zero(f"{c}_antes").alias(f"{c}_antes"), zero(f"{c}_despues").alias(f"{c}_despues"), (zero(f"{c}_despues") - zero(f"{c}_antes")).alias(f"{c}_cambio"))))

@@ -32,7 +32,7 @@ def amount(t: Tables) -> DataFrame:
     shown = F.format_number("l_extendedprice", 2)
     spanish = F.translate(shown, ",.", ".,")
     written = F.when(F.col("l_returnflag") == "R", F.concat(spanish, F.lit("-"))).otherwise(F.concat(spanish, F.lit(" €")))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", numbers.spanish_amount(written)["value"].alias("importe"))
+    return numbers.with_amounts(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", written.alias("escrito")), importe=F.col("escrito")).select("l_orderkey", "l_linenumber", "l_partkey", "importe.value").withColumnRenamed("value", "importe")
 
 
 AMOUNTS = {
