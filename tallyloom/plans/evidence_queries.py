@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dependencies, evidence
+from ..sources.files import NOT_OBJECT, checked_json
 from .base import Catalogue, Tables
 
 C = Catalogue()
@@ -95,3 +96,19 @@ def event_reach(t: Tables) -> DataFrame:
     """The closure of a forest over all events, each under the event of a quarter of its number."""
     edges = t.events.filter("event_id > 0 AND event_type <> 'error'").select(F.col("event_id").alias("a"), F.expr("event_id div 4 AS b"))
     return dependencies.closure(edges, "a", "b")
+
+
+#: An order as JSON over three lines: sound, an array, without a colon (at a column that differs), cut off, or null.
+BROKEN = """CASE o_orderkey % 5 WHEN 0 THEN '[' || CAST(o_custkey AS VARCHAR) || ']' WHEN 1 THEN '{' || chr(10) || repeat(' ', CAST(o_custkey % 9 AS INTEGER)) || '"cliente" ' || CAST(o_custkey AS VARCHAR) || '}'
+  WHEN 2 THEN '{"cliente":' || chr(10) || chr(10) || '"' WHEN 3 THEN NULL ELSE '{"cliente":' || CAST(o_custkey AS VARCHAR) || '}' END"""
+
+
+@C.add(
+    "json_located_errors",
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN CAST(o_custkey AS VARCHAR) END AS cliente, CASE o_orderkey % 5 WHEN 0 THEN '{NOT_OBJECT}' WHEN 1 THEN 'Expecting '':'' delimiter' WHEN 2 THEN 'Unterminated string starting at' WHEN 3 THEN 'no text' END AS mensaje,
+  CAST(CASE o_orderkey % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 END AS INTEGER) AS linea, CAST(CASE o_orderkey % 5 WHEN 1 THEN o_custkey % 9 + 11 WHEN 2 THEN 1 END AS INTEGER) AS columna FROM orders""",
+)
+def json_errors(t: Tables) -> DataFrame:
+    texts = t.orders.select("o_orderkey", F.expr(BROKEN.replace("VARCHAR", "STRING")).alias("texto"))
+    got = checked_json(texts, "texto", "o_orderkey")
+    return got.select("o_orderkey", F.try_variant_get("documento", "$.cliente", "string").alias("cliente"), "mensaje", "linea", "columna")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ingest, sync
+from ..streaming import retries, states
+from ..streaming.increments import idempotent_writer
+from ..work import work_dir
 from .base import Catalogue, Tables
 
 C = Catalogue()
@@ -132,3 +137,84 @@ def safe_name(t: Tables) -> DataFrame:
 def path(t: Tables) -> DataFrame:
     name = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(".PDF")))
     return t.documents.select("doc_id", text.storage_path("PIO", name, ingest.content_hash(F.col("text"))).alias("ruta"))
+
+
+#: Parts in which the events arrive, by ranges of their numbers.
+PARTS = 3
+
+
+def arriving(rows: DataFrame, what: str, part: Column, each: Callable[[DataFrame, str], None]) -> None:
+    """Calls ``each`` after every part has come to a folder, with a stream over the folder that takes a file a batch."""
+    spark = rows.sparkSession
+    folder, marks = work_dir(spark, what), work_dir(spark, f"{what}-marks")
+    for n in range(PARTS):
+        rows.filter(part == n).coalesce(1).write.mode("append").parquet(folder)
+        each(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder), marks)
+
+
+@C.add(
+    "stream_file_states",
+    """WITH r AS (SELECT 'c' || CAST(user_id AS VARCHAR) || '/' || event_type || '.pdf' AS ruta, event_id AS orden, CASE WHEN event_id % 3 = 0 OR event_type = 'error' THEN 'ERROR' ELSE 'IMPORTADA' END AS estado, CASE WHEN event_id % 3 = 0 OR event_type = 'error' THEN 'timeout ' || CAST(event_id % 7 AS VARCHAR) END AS error FROM events),
+b AS (SELECT *, lag(estado) OVER (PARTITION BY ruta ORDER BY orden) AS estado_previo, coalesce(sum(CASE WHEN estado = 'IMPORTADA' THEN 1 ELSE 0 END) OVER (PARTITION BY ruta ORDER BY orden ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM r)
+SELECT ruta, orden, estado_previo, estado, error, CAST(row_number() OVER (PARTITION BY ruta, d ORDER BY orden) AS INTEGER) AS intentos, coalesce(estado = 'IMPORTADA' AND estado_previo = 'ERROR', FALSE) AS recuperada FROM b""",
+)
+def file_states(t: Tables) -> DataFrame:
+    """Reports on files in three parts, the stream stopped and started again after each."""
+    bad = (F.col("event_id") % 3 == 0) | (F.col("event_type") == "error")
+    reports = t.events.select(
+        F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit(".pdf")).alias("ruta"), F.col("event_id").alias("orden"),
+        F.when(bad, states.FAILED).otherwise(states.DONE).alias("estado"), F.when(bad, F.concat(F.lit("timeout "), (F.col("event_id") % 7).cast("string"))).alias("error"),
+    )
+    last = t.events.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("m")).first()["m"]
+    sink = work_dir(t.spark, "states")
+    arriving(reports, "reports", F.least(F.floor(F.col("orden") * PARTS / (last + 1)), F.lit(PARTS - 1)), lambda stream, marks: states.run_states(stream, sink, marks))
+    return t.spark.read.parquet(sink).select("ruta", "orden", "estado_previo", "estado", "error", "intentos", "recuperada")
+
+
+@C.add(
+    "stream_with_retries",
+    """WITH m AS (SELECT max(event_id) AS m FROM events) SELECT event_id, event_type, least(event_id * 3 // (m + 1), 2) AS lote, CAST(1 + least(event_id * 3 // (m + 1), 2) AS INTEGER) AS intentos, event_id * 3 // (m + 1) > 0 AS recuperada FROM events, m""",
+)
+def with_retries(t: Tables) -> DataFrame:
+    """Batch n fails n times, with rows already written, before it goes through; each event is in the sink once, with its batch's attempts."""
+    failed: dict[int, int] = {}
+    sink, log = work_dir(t.spark, "sink"), work_dir(t.spark, "attempts")
+    whole = idempotent_writer(sink, ["event_id"], "events")
+
+    def unsure(batch: DataFrame, batch_id: int) -> None:
+        if failed.get(batch_id, 0) < batch_id:
+            failed[batch_id] = failed.get(batch_id, 0) + 1
+            whole(batch.filter("event_id % 2 = 0"), batch_id)
+            raise ConnectionError("connection reset by peer")
+        whole(batch, batch_id)
+
+    last = t.events.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("m")).first()["m"]
+    rows = t.events.select("event_id", "event_type")
+    arriving(rows, "events", F.least(F.floor(F.col("event_id") * PARTS / (last + 1)), F.lit(PARTS - 1)), lambda stream, marks: retries.run_retrying(stream, unsure, log, marks, pause=lambda s: None))
+    done = retries.outcomes(t.spark.read.parquet(log)).select("lote", "intentos", "recuperada")
+    return t.spark.read.parquet(sink).select("event_id", "event_type", F.col("_batch").cast("long").alias("lote")).join(F.broadcast(done), "lote").select("event_id", "event_type", "lote", "intentos", "recuperada")
+
+
+@C.add(
+    "ingest_skip_unchanged",
+    """WITH i AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS tamano, CASE WHEN o_orderkey % 5 = 0 THEN 'ERROR' ELSE 'IMPORTADA' END AS estado FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT o_orderkey AS ruta, o_custkey AS tamano, coalesce(i.estado = 'IMPORTADA' AND i.tamano = o_custkey, FALSE) AS omitir FROM orders LEFT JOIN i USING (o_orderkey)""",
+)
+def skip_unchanged(t: Tables) -> DataFrame:
+    """Files that the index has as imported, of the same size, needn't be read again."""
+    found = t.orders.select(F.col("o_orderkey").alias("ruta"), F.col("o_custkey").alias("tamano"))
+    size = F.when(F.col("ruta") % 7 == 0, F.col("tamano") + 1).otherwise(F.col("tamano"))
+    index = found.filter("ruta % 3 <> 0").select("ruta", size.alias("tamano"), F.when(F.col("ruta") % 5 == 0, "ERROR").otherwise("IMPORTADA").alias("estado"))
+    return ingest.unchanged(found, index, marks=("tamano",))
+
+
+@C.add(
+    "ingest_register_new",
+    """WITH r AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 4 = 0), n AS (SELECT sha256(text) AS h, min('doc-' || CAST(doc_id AS VARCHAR) || '.pdf') AS nombre FROM documents WHERE sha256(text) NOT IN (SELECT h FROM r) GROUP BY 1)
+SELECT 'FARMACIA' AS farmacia, nombre AS archivo_nombre, 'facturas/' || nombre AS archivo_ruta, h AS archivo_hash, 'PENDIENTE' AS estado_lectura, FALSE AS requiere_revision, '{}' AS datos_extraidos, FALSE AS necesita_lectura_visual, 0 AS intentos_lectura FROM n""",
+)
+def register_new(t: Tables) -> DataFrame:
+    """Rows for contents that aren't registered yet, each content once, by its first name, with what a new document starts with."""
+    files = t.documents.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), ingest.content_hash(F.col("text").cast("binary")).alias("hash"), "doc_id")
+    new = ingest.unregistered(files.select("path", "hash"), files.filter("doc_id % 4 = 0").select("hash").distinct())
+    return ingest.registration(new.select("path", F.concat(F.lit("facturas/"), "path").alias("at"), "hash"), "FARMACIA", "path", "at", "hash")
