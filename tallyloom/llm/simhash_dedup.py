@@ -43,6 +43,8 @@ PAIRS = 1 << 18
 SHARD_ROWS, CELL_ROWS = 60_000, 200_000
 #: Rows of a shard or cell in which all pairs are compared, and shingle sets and their bytes in a block.
 NEAR_CELL, BLOCK_SETS, BLOCK_BYTES = 20_000, 1000, 1 << 23
+#: Large shards that are sent to all tasks, 16 bytes each; beyond that a join finds them.
+SENT_SHARDS = 1_000_000
 #: Neighbours of a fingerprint that are confirmed first: enough that a large group of near copies becomes one before all candidates are.
 NEAREST = 12
 
@@ -298,20 +300,75 @@ def first_band(a: np.ndarray, b: np.ndarray, bands: list[list[int]]) -> np.ndarr
     return out
 
 
-def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], want: str) -> DataFrame:
+def numbered_bands(batch: pa.RecordBatch, bands: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The points of a batch (fp first) and their shard numbers, all points by the first band, then by the next."""
+    points = as_points(batch.column(0))
+    return points, band_keys(points, bands).T.ravel()
+
+
+def large_shards(nodes: DataFrame, bands: list[list[int]], most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Shards of more than ``most`` of the nodes (fp), sorted, and into how many parts each is dealt; None if they are too many to be sent out.
+
+    Each has more than ``most`` rows, so they are fewer than a ``most``-th of all rows.
+    """
+
+    def numbers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                number, n = np.unique(numbered_bands(batch, bands)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(n.astype(np.int64))], names=["shard", "n"])
+
+    counts = nodes.select("fp").mapInArrow(numbers, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+    found = counts.select("shard", F.ceil(F.col("n") * 2 / most).cast("long").alias("g")).limit(SENT_SHARDS + 1).collect()
+    if len(found) > SENT_SHARDS:
+        return None
+    found = sorted((r.shard, r.g) for r in found)
+    return np.array([x for x, _ in found], np.int64), np.array([g for _, g in found], np.int64)
+
+
+def cells_of(shard: np.ndarray, points: np.ndarray, large: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number): where each row goes: to its shard, or to the cells of pairs of parts that its part of a large shard is in.
+
+    ``shard`` has all points band by band.  Numbers of cells are hashes, told from those of shards by the sign; equal ones only search more together than
+    they must.
+    """
+    numbers, parts = large
+    rows = np.arange(len(shard))
+    at = np.minimum(np.searchsorted(numbers, shard), max(len(numbers) - 1, 0))
+    hit = numbers[at] == shard if len(numbers) else np.zeros(len(shard), bool)
+    if not hit.any():
+        return rows, shard
+    own = np.zeros(len(points), np.uint64)
+    for lane in points.T:
+        own = mixed(own ^ lane, 1)
+    g = parts[at[hit]]
+    row = np.repeat(rows[hit], g)
+    each = np.repeat(g, g)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(g) - g, g)
+    part = (own[row % len(points)] % each.astype(np.uint64)).astype(np.int64)
+    pair = (np.minimum(part, other) << 32 | np.maximum(part, other)).astype(np.uint64)
+    cell = mixed(mixed(shard[row].astype(np.uint64), 2) ^ pair, 3).astype(np.int64) | np.int64(-(2**63))
+    return np.concatenate([rows[~hit], row]), np.concatenate([shard[~hit], cell])
+
+
+def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], want: str, large: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """``nodes`` (fp distinct, root long) to what is wanted of pairs of different roots that share a band and differ in ``radius`` bits at most.
 
     ``want``: "nearest" of the neighbours in a few sorted orders, NEAREST of each u (u, v, d); "marks", the fingerprints that have
     such a pair at all (fp); "pairs", every pair, once (u, v).  Pairs are named by their first 256 bits, of which bands are made.
+    ``large``: large_shards() of the nodes, whose rows go to their cells as they are made, so that they are shuffled once; without them they are found by a join.
     """
     nearest, marks = want == "nearest", want == "marks"
+    sent = nodes.sparkSession.sparkContext.broadcast(large)
 
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                keys = band_keys(as_points(batch.column(0)), bands)
-                band = np.repeat(np.arange(len(bands), dtype=np.int32), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.T.ravel()), pa.array(band), *(pa.concat_arrays([c] * len(bands)) for c in batch.columns)], names=["shard", "band", "fp", "root"])
+                points, shard = numbered_bands(batch, bands)
+                row, number = (np.arange(len(shard)), shard) if sent.value is None else cells_of(shard, points, sent.value)
+                place = pa.array(row % batch.num_rows)
+                band = (row // batch.num_rows).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(band), *(c.take(place) for c in batch.columns)], names=["shard", "band", "fp", "root"])
 
     def pairs(shard: np.ndarray, root: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places (a, b) to compare; rows are sorted by shard and root."""
@@ -388,7 +445,9 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], want: str)
         if held:
             yield from search(held)
 
-    shards = in_cells(nodes.select("fp", "root").mapInArrow(keyed, "shard long, band int, fp binary, root long"), "shard", "fp", NEAR_CELL)
+    shards = nodes.select("fp", "root").mapInArrow(keyed, "shard long, band int, fp binary, root long")
+    if large is None:
+        shards = in_cells(shards, "shard", "fp", NEAR_CELL)
     schema = {"nearest": "u binary, v binary, d int", "marks": "fp binary", "pairs": "u binary, v binary"}[want]
     found = shards.repartition("shard").sortWithinPartitions("shard", "root").mapInArrow(by_shard, schema)
     if nearest:
@@ -501,13 +560,14 @@ def similar_classes(docs: DataFrame, k: int = 5, doc: str = "doc_id", text: str
     fps = written(fingerprints(docs, k, 4, doc, text, once=True), "fingerprints")
     nodes = nodes_of(fps)
     bands = candidate_bands(nodes.count())
-    first = written(near_pairs(nodes.withColumn("root", F.xxhash64("fp")), RADIUS_256, bands, "nearest"), "nearest")
+    large = large_shards(nodes, bands, NEAR_CELL)
+    first = written(near_pairs(nodes.withColumn("root", F.xxhash64("fp")), RADIUS_256, bands, "nearest", large), "nearest")
     sure = confirmed(first, shingle_sets(both_ends(first), nodes, docs, k, doc, text))
     rooted = written(nodes.join(stars_of(sure), "fp", "left").select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("root")), "known")
-    marked = written(near_pairs(rooted, RADIUS_256, bands, "marks"), "marked")
+    marked = written(near_pairs(rooted, RADIUS_256, bands, "marks", large), "marked")
     sets = shingle_sets(marked, nodes, docs, k, doc, text)
-    wide = sets.join(rooted, "fp").select(F.col("wide").alias("fp"), "root")
-    rest = near_pairs(wide, WIDE_RADIUS, bands, "pairs").join(first, ["u", "v"], "left_anti")
+    wide = written(sets.join(rooted, "fp").select(F.col("wide").alias("fp"), "root"), "wide")
+    rest = near_pairs(wide, WIDE_RADIUS, bands, "pairs", large_shards(wide, bands, NEAR_CELL)).join(first, ["u", "v"], "left_anti")
     more = confirmed(written(rest, "candidates"), sets)
     return with_components(fps, nodes, stars_of(sure.unionByName(more)))
 

@@ -228,3 +228,21 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
     assert len(a & b) > 0.95 * len(a | b)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x.doc_id for x in S.keep_one(docs, S.similar_classes(docs)).collect()) == list(range(0, 40, 2))
+
+
+def test_cells_let_every_pair_of_a_large_shard_meet():
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 2**63, (200, 4)).astype(np.uint64)
+    shard = np.r_[np.full(200, 7), 100 + np.arange(200) % 50, np.full(200, 9)].astype(np.int64)
+    row, number = S.cells_of(shard, points, (np.array([7, 9, 1000]), np.array([5, 3, 4])))
+    members = {}
+    for r, n in zip(row.tolist(), number.tolist()):
+        members.setdefault(n, set()).add(r)
+    for first, parts in ((0, 5), (400, 3)):
+        mine = [m for n, m in members.items() if n < 0 and min(m) >= first and max(m) < first + 200]
+        assert len(mine) == parts * (parts + 1) // 2 and max(map(len, mine)) < 200
+        for a in range(first, first + 200):
+            assert set().union(*(m for m in mine if a in m)) == set(range(first, first + 200))
+    # Other shards stay as they are.
+    assert sorted(r for n, m in members.items() if n >= 0 for r in m) == list(range(200, 400))
+    assert [x.tolist() for x in S.cells_of(shard, points, (np.zeros(0, np.int64), np.zeros(0, np.int64)))] == [list(range(600)), shard.tolist()]
