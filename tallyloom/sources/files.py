@@ -65,14 +65,24 @@ def json_fault(texts: pd.Series) -> pd.DataFrame:
 NOT_OBJECT = "the root is not an object"
 
 
+def strict_json(text: Column) -> Column:
+    """The text as variant, null unless it is one JSON value and nothing else.
+
+    Spark's reader passes over what follows a value.  So the text is read as a member and as an element: what follows a value can't go on
+    both an object and an array.
+    """
+    around = lambda a, b: F.try_parse_json(F.concat(F.lit(a), text, F.lit(b)))
+    return F.when(around("[", "]").isNotNull(), F.try_variant_get(around('{"x":', "}"), "$.x", "variant"))
+
+
 def checked_json(df: DataFrame, text: str, *more: str) -> DataFrame:
     """(more columns, documento, mensaje, linea, columna): each text as variant if it is a JSON object, else what is wrong and where.
 
-    Texts are parsed by Spark; only those it can't read go to Python, to be told the place.  A null text is an error without a place.  No
+    Texts are parsed by Spark; only those it can't read go to Python, to be told the place.  A null text is an error without a place, and so is what only Spark refuses (a repeated key, NaN).  No
     row is left out and none stops the others: a consumer decides by ``mensaje IS NULL``.
     """
     own = [named(c) for c in more]
-    parsed = df.select(*own, named(text).alias("_text"), F.try_parse_json(named(text)).alias("_tree"))
+    parsed = df.select(*own, named(text).alias("_text"), strict_json(named(text)).alias("_tree"))
     bad = parsed.select(*own, "_tree", F.col("_text").isNull().alias("_none"), F.when(F.col("_tree").isNull(), F.col("_text")).alias("_bad"))
     told = bad.select(*own, "_tree", "_none", json_fault(F.col("_bad")).alias("_fault"))
     is_object = F.schema_of_variant("_tree").startswith("OBJECT")
@@ -82,7 +92,7 @@ def checked_json(df: DataFrame, text: str, *more: str) -> DataFrame:
 
 def located_json(spark: SparkSession, path: str) -> DataFrame:
     """checked_json() of files, one document a file, by path."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return checked_json(files, "value", "path")
 
 
