@@ -8,7 +8,12 @@ passages that begin and end with a bigram of the template are compared in full;
 cutting foreign bigrams off an end raises the coefficient.
 
 Short statements differ in few words, so a passage counts only if its telling words (names such as "mit", "lesser" or
-"sharealike", and version numbers) are those of the template; and a passage within a few words of a negation before it ("not licensed under") does not count.
+"sharealike", words of telling clauses such as "advertising", and version numbers) are those of the template; and a passage within a few words of a negation
+before it in the same sentence ("not licensed under") does not count.
+
+Licences share text, so of overlapping passages of different licences one stands: that which explains most, by the bigrams that
+it shares with its template less those left over on both sides.  An SPDX expression ("MIT OR Apache-2.0", parentheses, WITH and an exception)
+gives each of its licences, as if each had a tag of its own.
 
 Defined results: a null text counts as empty; texts and templates without bigrams match nothing; each document and
 licence gives one row, the best passage: the highest coefficient, then the first, then the shortest; a null doc_id and
@@ -27,14 +32,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, table
-from .licence_templates import NEGATIONS, TELLING, TEMPLATES, VERSION_BEFORE
+from .licence_templates import IDENTIFIERS, NEGATES_NOTHING, NEGATIONS, TELLING, TEMPLATES, VERSION_BEFORE
 
 THRESHOLD = 0.8
 CHUNK = 1 << 19
 #: Words before a passage in which a negation undoes it.
 NEGATED = 4
 WORD = re.compile(r"\w+")
-SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "acknowledgment": "acknowledgement"}
+#: What ends a sentence between a negation and a statement.
+STOP = re.compile(r"[.!?;](\s|$)|\n\s*\n")
+#: An SPDX tag with an expression of any length on its line.
+TAG = re.compile(r"spdx-license-identifier:[ \t]*((?:[\w.+-]+|[()]|[ \t])+)", re.IGNORECASE)
+KNOWN = {x.lower(): x.removesuffix("-only").removesuffix("-or-later") for x in IDENTIFIERS}
+
+
+def expression(text: str) -> list[str]:
+    """The known licences of an SPDX expression, in order; it ends where two names follow each other without AND, OR or WITH between."""
+    out: list[str] = []
+    before = "or"
+    for token in re.findall(r"[\w.+-]+", text):
+        low = token.lower()
+        if low in ("and", "or", "with"):
+            before = low
+            continue
+        if before is None:
+            break
+        if before != "with" and (name := KNOWN.get(low.rstrip("+.")) or KNOWN.get(low)):
+            out.append(name)
+        before = None
+    return list(dict.fromkeys(out))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -91,31 +118,47 @@ class Templates:
         """For each text its licences: (name, coefficient, first word, words)."""
         out: list[list[tuple]] = []
         held: list[np.ndarray] = []
+        some: list[str] = []
         n = 0
         get = self.vocabulary.get
         stop = np.full(1, -1)
         for text in texts:
-            ids = np.array([m if (m := get(SPELLINGS.get(w, w))) is not None else self.word_id(w) for w in WORD.findall((text or "").lower())], np.int64)
+            low = (text or "").lower()
+            ids = np.array([m if (m := get(SPELLINGS.get(w, w))) is not None else self.word_id(w) for w in WORD.findall(low)], np.int64)
             held += [ids, stop]
+            some.append(low)
             n += len(ids)
             if n >= CHUNK:
-                out += self._scan(held)
-                held, n = [], 0
-        return out + self._scan(held)
+                out += self._scan(held, some)
+                held, some, n = [], [], 0
+        return out + self._scan(held, some)
+
+    def negated(self, text: str, words: np.ndarray, first: int) -> bool:
+        """Whether a negation stands shortly before a word, in its sentence."""
+        low = max(0, first - NEGATED)
+        if not self.negates[words[low:first]].any():
+            return False
+        spans = [m.span() for m in WORD.finditer(text)][: first + 1]
+        for i in range(low, first):
+            word, after = text[slice(*spans[i])], text[slice(*spans[i + 1])]
+            if word not in NEGATIONS or after in NEGATES_NOTHING.get(word, ()) or (word == "longer" and (not i or text[slice(*spans[i - 1])] != "no")):
+                continue
+            if not STOP.search(text[spans[i][1] : spans[first][0]]):
+                return True
+        return False
 
-    def _scan(self, held: list[np.ndarray]) -> list[list[tuple]]:
+    def _scan(self, held: list[np.ndarray], texts: list[str]) -> list[list[tuple]]:
         if not held:
             return []
         flat = np.concatenate(held)
         ends = np.cumsum([len(x) for x in held])[1::2]
-        out: list[list[tuple]] = [[] for _ in ends]
         known = (flat[:-1] >= 0) & (flat[1:] >= 0)
         places = np.flatnonzero(known)
         codes = flat[places] * self.span + flat[places + 1]
         mine = np.isin(codes, self.all)
         places, codes = places[mine], codes[mine]
         docs = np.searchsorted(ends, places, side="right")
-        best: dict[tuple[int, str], tuple] = {}
+        passages: list[list[tuple]] = [[] for _ in ends]
         tells = self.telling_words(flat)
         t = self.threshold
         for name, bigrams, its, telling in zip(self.names, self.bigrams, self.sorted, self.telling):
@@ -128,26 +171,46 @@ class Templates:
                 continue
             close = (at[need - 1 :] - at[: len(at) - need + 1] < high) & (doc[need - 1 :] == doc[: len(at) - need + 1])
             for i in np.flatnonzero(close).tolist():
-                start = int(ends[doc[i] - 1]) if doc[i] else 0
-                if self.negates[flat[max(start, at[i] - NEGATED) : at[i]]].any():
-                    continue
-                left, common = dict(bigrams), 0
+                d, start = int(doc[i]), int(ends[doc[i] - 1]) if doc[i] else 0
+                left, common, best = dict(bigrams), 0, None
                 for j in range(i, len(at)):
                     s = int(at[j] - at[i]) + 1
-                    if s > high or doc[j] != doc[i]:
+                    if s > high or doc[j] != d:
                         break
                     if left.get(int(code[j]), 0):
                         left[int(code[j])] -= 1
                         common += 1
                     score = 2 * common / (s + size)
-                    if s >= low and score >= t:
-                        rank = (-score, int(at[i]) - start, s)
-                        key = (int(doc[i]), name)
-                        if (key not in best or rank < best[key]) and (not self.strict or telling == set(flat[at[i] : at[i] + s + 1][tells[at[i] : at[i] + s + 1]].tolist())):
-                            best[key] = rank
-        for (d, name), (score, first, s) in sorted(best.items()):
-            out[d].append((name, -score, first, s + 1))
-        return out
+                    if s >= low and score >= t and (best is None or -score < best[0]):
+                        if not self.strict or telling == set(flat[at[i] : at[i] + s + 1][tells[at[i] : at[i] + s + 1]].tolist()):
+                            best = (-score, int(at[i]) - start, s, s + size - 3 * common, name)
+                if best is not None and not self.negated(texts[d], flat[start : int(ends[d])], best[1]):
+                    passages[d].append(best)
+        return [self.licences(text, found) for text, found in zip(texts, passages)]
+
+    def licences(self, text: str, passages: list[tuple]) -> list[tuple]:
+        """The best passage of each licence; of overlapping ones of different licences that which leaves least over stands."""
+        best: dict[str, tuple] = {}
+        if passages and self.strict:
+            owner = np.full(max(first + s + 1 for _, first, s, *_ in passages), -1)
+            number = {n: i for i, n in enumerate(dict.fromkeys(self.names))}
+            kept = []
+            for p in sorted(passages, key=lambda p: (p[3], *p)):
+                span = owner[p[1] : p[1] + p[2] + 1]
+                if ((span < 0) | (span == number[p[4]])).all():
+                    kept.append(p)
+                    # One that runs on from a better passage of its licence claims nothing more.
+                    if (span < 0).all():
+                        span[:] = number[p[4]]
+            passages = kept
+        for score, first, s, _, name in passages:
+            best[name] = min(best.get(name, (1,)), (score, first, s))
+        for tag in TAG.finditer(text) if self.strict and "spdx" in text else ():
+            names = expression(tag[1])
+            first = len(WORD.findall(text[: tag.start()])) if len(names) > 1 else 0
+            for name in names if len(names) > 1 else ():
+                best[name] = min(best.get(name, (1,)), (-1.0, first, len(WORD.findall(tag[0])) - 1))
+        return [(name, -score, first, s + 1) for name, (score, first, s) in sorted(best.items())]
 
 
 def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, telling: tuple[str, ...] | None = TELLING, doc: str = "doc_id", text: str = "text") -> DataFrame:

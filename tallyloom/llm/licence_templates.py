@@ -50,6 +50,11 @@ distribution."""
 BSD_3_CONDITION = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
 promote products derived from this software without specific prior written permission."""
 
+BSD_4_CONDITIONS = """3. All advertising materials mentioning features or use of this software must display the following
+acknowledgement: This product includes software developed by the organization. 4. Neither the name of the copyright holder nor the names
+of its contributors may be used to endorse or promote products derived from this software without specific prior written
+permission."""
+
 BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
 WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
 DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
@@ -87,6 +92,12 @@ software dedicate any and all copyright interest in the software to the public d
 of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
 relinquishment in perpetuity of all present and future rights to this software under copyright law."""
 
+#: The MIT licence without its condition, which one licence leaves out.
+MIT_GRANT, MIT_WARRANTY = MIT_BODY.partition(", subject to")[0], MIT_BODY[MIT_BODY.index("THE SOFTWARE IS") :]
+
+X11_CONDITION = """Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote
+the sale, use or other dealings in this Software without prior written authorization from the X Consortium."""
+
 #: The notice of the GNU licences by name, version word and warranty's name.
 GNU_NOTICE = """This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as
 published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
@@ -110,21 +121,27 @@ NAMED = [
 IDENTIFIERS = (
     "MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0",
     "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later",
-    "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-4-Clause", "X11",
 )
 
 #: Words that tell licences apart: their names and those of a family's members; numbers do behind the words of VERSION_BEFORE or a v of their own.
 TELLING = (
     "mit", "isc", "zlib", "0bsd", "unlicense", "gpl", "lgpl", "agpl", "mpl", "epl", "bsl", "cc0", "apache", "mozilla", "eclipse", "boost", "gnu", "bsd", "creative", "cc", "affero",
     "sharealike", "endorse", "noncommercial", "noderivatives", "noderivs", "sa", "nc", "nd", "lesser", "clause",
+    "advertising", "acknowledgement",
 )
 VERSION_BEFORE = ("version", "v", "license", "public", "attribution", "by", "apache", "bsd", "gpl", "lgpl", "agpl", "mpl", "epl", "bsl", "cc0")
-#: A statement shortly behind one of these grants nothing.
-NEGATIONS = ("not", "never", "no", "isn", "aren", "t")
+#: A statement shortly behind one of these in its sentence grants nothing, unless the next word is one that takes the negation for itself;
+#: "no" negates a statement only as "no longer".
+NEGATIONS = ("not", "never", "longer", "isn", "aren", "t")
+NEGATES_NOTHING = {"not": ("only", "just", "merely")}
 
 TEMPLATES = [
     ("BSD-2-Clause", f"{BSD_2_CONDITIONS} {BSD_DISCLAIMER}"),
     ("BSD-3-Clause", f"{BSD_2_CONDITIONS} {BSD_3_CONDITION} {BSD_DISCLAIMER}"),
+    ("BSD-4-Clause", f"{BSD_2_CONDITIONS} {BSD_4_CONDITIONS} {BSD_DISCLAIMER}"),
+    ("MIT-0", f"{MIT_GRANT}. {MIT_WARRANTY}"),
+    ("X11", f"{MIT_BODY} {X11_CONDITION}"),
     ("0BSD", ZERO_BSD_BODY),
     ("Zlib", ZLIB_BODY),
     ("BSL-1.0", BOOST_BODY),

@@ -72,7 +72,24 @@ def test_versions_families_and_negations():
         ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
         ("Licensed under the Apache License, Version 1.1.", []),
         (T.ZLIB_BODY, ["Zlib"]),
-        (T.ISC_BODY, ["0BSD", "ISC"]),
+        (T.ISC_BODY, ["ISC"]),
+        (T.ZERO_BSD_BODY, ["0BSD"]),
+        (f"{T.BSD_2_CONDITIONS} {T.BSD_4_CONDITIONS} {T.BSD_DISCLAIMER}", ["BSD-4-Clause"]),
+        (f"{T.BSD_2_CONDITIONS} {T.BSD_3_CONDITION} {T.BSD_DISCLAIMER}", ["BSD-3-Clause"]),
+        (f"{T.MIT_GRANT}. {T.MIT_WARRANTY}", ["MIT-0"]),
+        (f"{T.MIT_BODY} {T.X11_CONDITION}", ["X11"]),
+        (f"{T.MIT_BODY} {T.X11_CONDITION}".replace("X Consortium", "A and B").replace("persons", "people"), ["X11"]),
+        (f"{T.MIT_BODY}\n\n{T.ISC_BODY}", ["ISC", "MIT"]),
+        (f"{T.ISC_BODY} And then {T.ZERO_BSD_BODY} and {T.ISC_BODY}", ["0BSD", "ISC"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]),
+        ("// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause\nint x;", ["BSD-3-Clause", "GPL-2.0"]),
+        ("SPDX-License-Identifier: MIT-0", ["MIT-0"]),
+        ("SPDX-License-Identifier: MIT Apache-2.0", ["MIT"]),
+        ("There is no doubt. Licensed under the MIT License.", ["MIT"]),
+        ("There is no doubt this is licensed under the MIT License.", ["MIT"]),
+        ("It is not only licensed under the MIT License.", ["MIT"]),
+        ("This is no longer licensed under the MIT License.", []),
+        ("This is not free.\n\nLicensed under the MIT License.", ["MIT"]),
     ):
         assert names(text) == want, text
     assert "BSD-3-Clause" in names(f"{T.BSD_2_CONDITIONS} {T.BSD_3_CONDITION} {T.BSD_DISCLAIMER}")
