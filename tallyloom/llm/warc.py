@@ -136,13 +136,24 @@ class Window:
         if at - self.base >= READ_BYTES:
             self.data, self.base = self.data[at - self.base :], at
 
+    def back(self, at: int) -> None:
+        """Goes back to a place that was let go of."""
+        if at < self.base:
+            self.file.seek(at)
+            self.base, self.data, self.ended = at, b"", False
+
 
 def inflate(window: Window, at: int, most: int | None = None) -> tuple[bytes, int] | None:
-    """The member at a place: its bytes (at least ``most``, if given) and where it ends; None if there is none."""
+    """The member at a place: its bytes (at least ``most``, if given) and where it ends; None if there is none.
+
+    Of a whole member what is inflated is let go of, so the window stays small however long the member is.
+    """
     z, out, place = zlib.decompressobj(31), [], at
     got = 0
     try:
         while not z.eof:
+            if most is None:
+                window.drop(place)
             if not window.need(place, 1):
                 return None
             chunk = window.data[place - window.base : place - window.base + INFLATE_BYTES]
@@ -160,6 +171,7 @@ def inflate(window: Window, at: int, most: int | None = None) -> tuple[bytes, in
 def first_member(window: Window, start: int, end: int) -> int | None:
     """Where the first member that begins in [start, end) begins: magic, then a header that decodes."""
     at = start
+    window.back(at)
     while at < end and window.need(at, len(MAGIC)):
         found = window.data.find(MAGIC, at - window.base)
         if found < 0:
@@ -181,13 +193,18 @@ def first_member(window: Window, start: int, end: int) -> int | None:
 
 def parse(record: bytes) -> tuple | None:
     """A response or revisit record as a row of RECORD; other types (None) are passed over."""
-    head, _, rest = record.partition(b"\r\n\r\n")
+    cut = record.find(b"\r\n\r\n")
+    head = record if cut < 0 else record[:cut]
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
     kind = fields.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    # Only the payload is copied out of the record.
+    start = len(head) + 4
+    end = min(start + int(fields["content-length"]), len(record))
+    gap = record.find(b"\r\n\r\n", start, end)
+    http = record[start : end if gap < 0 else gap]
+    payload = b"" if gap < 0 else record[gap + 4 : end]
     page, url = page_of(fields.get("warc-record-id")), fields.get("warc-target-uri")
     if kind == "response":
         return page, url, kind, None, len(payload), digest(payload), payload

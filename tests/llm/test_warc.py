@@ -57,3 +57,23 @@ def test_false_magic_inside_a_member_is_passed_over(tmp_path):
 
 def test_empty(spark, put):
     assert W.op3_warc(spark, put(pages=spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_long_members_are_read_in_a_small_window_and_broken_ones_are_gone_over(tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "READ_BYTES", 4096)
+    monkeypatch.setattr(W, "INFLATE_BYTES", 1024)
+    r = random.Random(4)
+    long, short = r.randbytes(300_000), b"short"
+    good = W.member(1, "u", long, False, None)
+    # A member whose end is damaged, with a whole record inside its bytes: the reader goes back for it.
+    broken = W.member(2, "u", r.randbytes(100_000), False, None)
+    broken = broken[:60_000] + W.member(3, "u", short, False, None) + b"\0" * 5000
+    data = good + broken + W.member(4, "u", long, False, None)
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(data)
+    held = []
+    drop = W.Window.drop
+    monkeypatch.setattr(W.Window, "drop", lambda self, at: (drop(self, at), held.append(len(self.data)))[0])
+    got = list(W.read_range(path.as_uri(), 0, len(data)))
+    assert [(x[0], x[4], x[6]) for x in got] == [(1, len(long), long), (3, len(short), short), (4, len(long), long)]
+    assert max(held) < 5 * 4096
