@@ -68,14 +68,14 @@ def apply_rule(name: str, version: str, preconditions: dict[str, Column], inputs
     return bind(F.struct(blocks.alias("b"), value.alias("v")), result)
 
 
-def incident(when: Column, field: str | Column, kind: str | Column, text: str, decision: str | Column, data: Column | None = None, level: str = "REVISION_MANUAL") -> Column:
+def incident(when: Column, field: str | Column, kind: str | Column, text: str | Column, decision: str | Column, data: Column | None = None, level: str = "REVISION_MANUAL") -> Column:
     """One incident or null."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.when(
         F.coalesce(when, F.lit(False)),
         F.struct(
             as_column(field).alias("campo"), as_column(kind).alias("tipo_incidencia"), F.lit(level).alias("nivel"),
-            F.lit(text).alias("descripcion"), (data if data is not None else F.lit(None)).cast("string").alias("datos"), as_column(decision).alias("decision"),
+            as_column(text).alias("descripcion"), (data if data is not None else F.lit(None)).cast("string").alias("datos"), as_column(decision).alias("decision"),
         ),
     )
 

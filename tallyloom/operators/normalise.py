@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, rules, text
 from ..functions.rules import evidenced, incident
+from . import structure
 
 VERSION = "1"
 
@@ -53,7 +54,7 @@ class Provider:
     flags: dict[str, bool | None] = field(default_factory=dict)
     #: How the provider's visible tax id is read, and whether what that took away is noted among the incidents (level AVISO).
     tax_id: Callable[[Column], Column] = text.spanish_tax_id
-    notices: bool = False
+    notices: bool = True
     #: Labels of the extractions that notes come from.
     general: str = "general"
     literal: str = "tablas_literales"
@@ -180,11 +181,6 @@ OUT = (
 )
 
 
-def structural(c: dict[str, Column]) -> Column:
-    """Messages of what the finished invoice lacks."""
-    return F.filter(F.array(*(F.when(bad, F.lit(message)) for message, bad in c.items())), lambda x: x.isNotNull())
-
-
 def finish(df: DataFrame, checks: dict[str, Column], *logs: Column) -> DataFrame:
     """Validations, and all incidents in the order of the steps that made them."""
     names = list(checks)
@@ -196,8 +192,7 @@ def finish(df: DataFrame, checks: dict[str, Column], *logs: Column) -> DataFrame
         incident(F.col("_sin_paginas"), "paginas", "PAGINAS_NO_DEMOSTRADAS", "los metadatos no dan un intervalo", "permanecen en null"),
     )
     failed = one(*(rules.failed_check(n, F.col("validaciones")[i]["resultado"]) for i, n in enumerate(names)))
-    missing = structural({"factura sin numero": F.col("numero_factura").isNull(), "factura sin fecha": F.col("fecha_factura").isNull(), "paginas desordenadas": F.col("pagina_fin") < F.col("pagina_inicio")})
-    shape = F.transform(missing, lambda m: incident(F.lit(True), "factura", "ESTRUCTURA_INVALIDA", "la factura no cumple el modelo", "requiere revision", m))
+    shape = F.transform(structure.invoice_errors(F.col), lambda m: incident(F.lit(True), "factura", "ESTRUCTURA_INCOMPLETA", m, "se conserva null; no se completa el campo"))
     due = each(F.col("vencimientos"), lambda v, i: incident(v["importe"].isNull(), F.concat(F.lit("vencimientos["), i.cast("string"), F.lit("].importe")), "IMPORTE_VENCIMIENTO_NO_VISIBLE", "el vencimiento no muestra importe", "no se asigna el total"))
     return df.withColumn("incidencias", rules.incident_log(head, F.col("_avisos"), *logs, due, failed, shape)).select(*OUT)
 
