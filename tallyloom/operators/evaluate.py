@@ -89,33 +89,35 @@ def key_metrics(gold: DataFrame, got: DataFrame, keys: list[str], number: str, a
     """Counters of numbered rows by key: rows expected and obtained, distinct numbers correct, missing and invented, rows doubled,
     and expected rows whose date, amounts (where there is one) and place are those of the last obtained row of their number.
 
-    Rows without a number count as rows only.
+    Rows without a number count as rows only.  Both sides are tagged and meet in one aggregation by (keys, number) and one by keys, without a join.
     """
     fields = [*amounts, *(c for c in (date, order) if c)]
-    last = F.max_by(F.struct(*fields), F.struct(F.col(order) if order else F.lit(0), *(F.col(a) for a in amounts))).alias("o")
-    sums = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    named = got.filter(F.col(number).isNotNull()).groupBy(*keys, number).agg(F.count("*").alias("n_o"), last)
-    expected = gold.filter(F.col(number).isNotNull()).groupBy(*keys, number).agg(F.collect_list(F.struct(*fields)).alias("g"))
-    both = expected.join(named, [*keys, number], "full")
-    found = F.col("g").isNotNull() & F.col("n_o").isNotNull()
-    agree = lambda test: F.coalesce(F.sum(F.when(found, F.aggregate("g", F.lit(0), lambda n, r: n + test(r)))), F.lit(0)).cast("long")
+    of = [named(k) for k in keys]
+    row, none = F.struct(*map(named, fields)), F.lit(None)
+    by = F.struct(named(order) if order else F.lit(0), *map(named, amounts))
+    both = gold.select(*of, named(number), row.alias("_g"), none.alias("_o"), none.alias("_by")).unionByName(got.select(*of, named(number), none.alias("_g"), row.alias("_o"), by.alias("_by")))
+    ones = both.groupBy(*of, named(number)).agg(F.collect_list("_g").alias("g"), F.max_by("_o", "_by").alias("o"), F.count("_g").alias("n_g"), F.count("_o").alias("n_o"))
+    numbered = named(number).isNotNull()
+    found = numbered & (F.col("n_g") > 0) & (F.col("n_o") > 0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    agree = lambda test: total(F.when(found, F.aggregate("g", F.lit(0), lambda n, r: n + test(r))))
     one = lambda c: F.when(c, 1).otherwise(0)
     right = lambda r: sum((one(r[a].isNotNull() & r[a].eqNullSafe(F.col("o")[a])) for a in amounts), F.lit(0))
     wrong = lambda r: sum((one(r[a].isNotNull() & ~r[a].eqNullSafe(F.col("o")[a])) for a in amounts), F.lit(0))
     signs = lambda r: sum((one(F.coalesce(F.signum(r[a]) != F.signum(F.col("o")[a]), F.lit(False))) for a in amounts), F.lit(0))
     more = [agree(lambda r, c=c: one(r[c].eqNullSafe(F.col("o")[c]))).alias(f"{name}_correctos" if name == "ordenes" else f"{name}_correctas") for c, name in ((date, "fechas"), (order, "ordenes")) if c]
-    counts = both.groupBy(*keys).agg(
+    return ones.groupBy(*of).agg(
+        total("n_g").alias("esperados"),
+        total("n_o").alias("obtenidos"),
         F.count_if(found).alias("correctos"),
-        F.count_if(F.col("n_o").isNull()).alias("omitidos"),
-        F.count_if(F.col("g").isNull()).alias("inventados"),
-        F.coalesce(F.sum(F.col("n_o") - 1), F.lit(0)).cast("long").alias("duplicados"),
+        F.count_if(numbered & (F.col("n_o") == 0)).alias("omitidos"),
+        F.count_if(numbered & (F.col("n_g") == 0)).alias("inventados"),
+        total(F.when(numbered, F.greatest(F.col("n_o") - 1, F.lit(0)))).alias("duplicados"),
         agree(right).alias("importes_correctos"),
         agree(wrong).alias("importes_incorrectos"),
         agree(signs).alias("signos_incorrectos"),
         *more,
     )
-    whole = sums(gold, "esperados").join(sums(got, "obtenidos"), keys, "full").join(counts, keys, "left")
-    return whole.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) for c in whole.columns if c not in keys))
 
 
 def row_verdict(rows: DataFrame, keys: list[str], content: Column, order: Column) -> DataFrame:
