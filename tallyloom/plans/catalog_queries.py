@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from .base import Catalogue, Tables
 
 C = Catalogue()
 
-#: A small ERP-like catalog: schema, table, column, type, place, primary key, unique.
+#: A small ERP-like catalog: schema, table, column, type, place, primary key, unique.  Every supplier has one, its number behind the names.
 ERP = [
     ("dbo", "Proveedor", "IdProveedor", "int", 1, True, False), ("dbo", "Proveedor", "Nombre", "varchar", 2, False, False),
     ("dbo", "Albaran", "IdContador", "int", 1, True, False), ("dbo", "Albaran", "XProv_IdProveedor", "int", 2, False, False),
@@ -30,7 +32,7 @@ def values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join(f"({', '.join(str(x).upper() if isinstance(x, bool) else repr(x) for x in r)})" for r in rows)
 
 
-META = f"SELECT * FROM ({values(ERP)}) v(esquema, tabla, columna, tipo, orden, es_pk, es_unica)"
+META = f"SELECT esquema, tabla || CAST(s_suppkey AS VARCHAR) AS tabla, columna || CAST(s_suppkey AS VARCHAR) AS columna, tipo, orden, es_pk, es_unica FROM supplier, ({values(ERP)}) v(esquema, tabla, columna, tipo, orden, es_pk, es_unica)"
 MEANING = "regexp_replace(CASE WHEN {p} LIKE 'id_%' THEN substr({p}, 3) WHEN {p} LIKE 'oid_%' THEN substr({p}, 4) WHEN {p} LIKE 'codigo_%' THEN substr({p}, 7) WHEN {p} LIKE 'cod_%' THEN substr({p}, 4) WHEN {p} LIKE 'fk_%' THEN substr({p}, 3) ELSE {p} END, '[^a-z0-9]', '', 'g')"
 
 
@@ -38,9 +40,16 @@ def meaning(c: str) -> str:
     return MEANING.format(p=f"regexp_extract(lower(trim({c})), '[^_]*$')")
 
 
+def for_suppliers(t: Tables, rows: list[tuple], ddl: str, numbered: tuple[str, ...]) -> DataFrame:
+    """The rows for every supplier, whose number stands behind some columns."""
+    names = [x.split()[0] for x in ddl.split(", ")]
+    each = t.supplier.select("s_suppkey", F.explode(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{ddl.replace(', ', ',').replace(' ', ':')}>>")).alias("r"))
+    return each.select(*(F.concat(F.col(f"r.{n}"), F.col("s_suppkey").cast("string")).alias(n) if n in numbered else F.col(f"r.{n}").alias(n) for n in names))
+
+
 @C.add("catalog_columns", f"{META}")
 def columns(t: Tables) -> DataFrame:
-    return catalog.metadata(t.spark, ERP)
+    return for_suppliers(t, ERP, catalog.COLUMNS, ("tabla", "columna"))
 
 
 @C.add("catalog_search_name", f"SELECT DISTINCT esquema, tabla FROM ({META}) WHERE lower(esquema) LIKE '%vend%' OR lower(tabla) LIKE '%vend%'")
@@ -124,13 +133,13 @@ def names(t: Tables) -> DataFrame:
 p AS (SELECT o.esquema AS esquema_o, o.tabla AS tabla_o, o.columna AS columna_o, d.esquema AS esquema_d, d.tabla AS tabla_d, d.columna AS columna_d, d.es_pk,
   least(100, CASE WHEN d.es_pk THEN 50 ELSE 40 END + 20 + CASE WHEN o.s = d.st THEN 30 WHEN d.st <> '' AND contains(o.s, d.st) THEN 20 WHEN o.s <> '' AND contains(d.st, o.s) THEN 10 ELSE 0 END) AS puntos
   FROM m o JOIN m d ON o.s = d.s AND o.f = d.f AND (o.esquema <> d.esquema OR o.tabla <> d.tabla) WHERE NOT (o.es_pk OR o.es_unica) AND (d.es_pk OR d.es_unica) AND o.s <> ''
-  AND NOT (lower(o.tabla) = 'cobro' AND lower(o.columna) = 'idproveedor' AND lower(d.tabla) = 'proveedor')),
+  AND NOT (lower(o.tabla) LIKE 'cobro%' AND lower(o.columna) LIKE 'idproveedor%' AND lower(d.tabla) LIKE 'proveedor%')),
 r AS (SELECT *, row_number() OVER (PARTITION BY esquema_o, tabla_o, columna_o ORDER BY puntos DESC, es_pk DESC, length(tabla_d), lower(tabla_d) DESC) AS n FROM p)
 SELECT esquema_o, tabla_o, columna_o, esquema_d, tabla_d, columna_d, puntos, CASE WHEN puntos >= 95 THEN 'MUY ALTA' WHEN puntos >= 85 THEN 'ALTA' ELSE 'MEDIA' END AS confianza
 FROM r WHERE n = 1 AND puntos >= 80""",
 )
 def relations(t: Tables) -> DataFrame:
-    return catalog.probable_relations(columns(t), t.spark.createDataFrame(OFFICIAL, EDGE))
+    return catalog.probable_relations(columns(t), for_suppliers(t, OFFICIAL, EDGE, ("tabla_o", "columna_o", "tabla_d", "columna_d")))
 
 
 @C.add("dict_counts", "SELECT count(*) AS n, count(*) FILTER (p_size > 25) AS grandes, count(DISTINCT p_brand) AS marcas, count(DISTINCT (p_brand, p_type)) AS pares, max(length(p_name)) AS ancho FROM part")
@@ -155,11 +164,15 @@ def sums(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag").agg(F.coalesce(F.sum(F.col("l_quantity").cast("long")), F.lit(0)).alias("filas"))
 
 
-@C.add("dict_rendered_types", """SELECT * FROM (VALUES ('varchar', 'varchar(80)'), ('nvarchar', 'nvarchar(40)'), ('varbinary', 'varbinary(MAX)'), ('decimal', 'decimal(14,2)'), ('int', 'int')) v(tipo, escrito)""")
+@C.add(
+    "dict_rendered_types",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'varchar(' || p_size || ')' WHEN 1 THEN 'nvarchar(' || p_size || ')' WHEN 2 THEN 'varbinary(MAX)' WHEN 3 THEN 'decimal(' || (p_size % 20 + 10) || ',' || p_partkey % 4 || ')' ELSE 'int' END AS escrito FROM part""",
+)
 def rendered(t: Tables) -> DataFrame:
-    rows = [("varchar", 80, 0, 0), ("nvarchar", 80, 0, 0), ("varbinary", -1, 0, 0), ("decimal", 9, 14, 2), ("int", 4, 10, 0)]
-    df = t.spark.createDataFrame(rows, "tipo string, largo int, precision int, escala int")
-    return df.select("tipo", text.rendered_type(F.col("tipo"), F.col("largo"), F.col("precision"), F.col("escala")).alias("escrito"))
+    """Column types as a dictionary writes them, one a part: a wide character takes two bytes, -1 is without limit."""
+    kind = F.element_at(F.array(*map(F.lit, ("varchar", "nvarchar", "varbinary", "decimal", "int"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    length = F.when(kind == "nvarchar", F.col("p_size") * 2).when(kind == "varbinary", -1).otherwise(F.col("p_size")).cast("int")
+    return t.part.select("p_partkey", text.rendered_type(kind, length, (F.col("p_size") % 20 + 10).cast("int"), (F.col("p_partkey") % 4).cast("int")).alias("escrito"))
 
 
 @C.add(

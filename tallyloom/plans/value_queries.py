@@ -11,16 +11,24 @@ from .base import Catalogue, Tables
 C = Catalogue()
 
 
-def inline(t: Tables, name: str, values: list) -> DataFrame:
-    return t.spark.createDataFrame([(v,) for v in values], f"{name} string")
+#: Fixed values of this query: month names in two languages, as people name folders by them.
+FOLDER_MONTHS = ("Gener", "FEBRERO", "març", "Abril", "MAIG", "junio", "Juliol", "AGOSTO", "setembre", "Octubre", "novembre", "DICIEMBRE")
 
 
-FOLDERS = {"JUNY 26": "2026-06-01", "JULIOL 2026": "2026-07-01", "AGOST-26": "2026-08-01", "ENERO 27": "2027-01-01", "DICIEMBRE_2035": "2035-12-01", "Març 26": "2026-03-01", "facturas": None, "JUNY": None, "2026": None, "MAYO 1999": None}
-
-
-@C.add("month_folder_date", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {f'DATE {v!r}' if v else 'CAST(NULL AS DATE)'})" for k, v in FOLDERS.items()) + ") v(carpeta, mes)")
+@C.add(
+    "month_folder_date",
+    f"""WITH f AS (SELECT o_orderkey, o_orderdate, {list(FOLDER_MONTHS)}[month(o_orderdate)] AS mes, year(o_orderdate) AS a FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN mes || '_' || CAST(a + 20 AS VARCHAR) WHEN 1 THEN CAST(a + 20 AS VARCHAR) || ' ' || mes WHEN 2 THEN mes WHEN 3 THEN 'facturas ' || CAST(a AS VARCHAR) ELSE upper(mes) || ' - ' || lpad(CAST((a + 20) % 100 AS VARCHAR), 2, '0') END AS carpeta,
+  CASE WHEN o_orderkey % 5 NOT IN (2, 3) THEN CAST(date_trunc('month', o_orderdate) + INTERVAL 20 YEAR AS DATE) END AS mes FROM f""",
+)
 def month_folder(t: Tables) -> DataFrame:
-    return inline(t, "carpeta", list(FOLDERS)).select("carpeta", numbers.month_folder_date(F.col("carpeta")).alias("mes"))
+    """Folders named after the months of orders, twenty years on; some without a month or a year."""
+    name = F.element_at(F.array(*map(F.lit, FOLDER_MONTHS)), F.month("o_orderdate"))
+    year = F.year("o_orderdate")
+    said = (year + 20).cast("string")
+    kind = F.col("o_orderkey") % 5
+    folder = F.when(kind == 0, F.concat(name, F.lit("_"), said)).when(kind == 1, F.concat(said, F.lit(" "), name)).when(kind == 2, name).when(kind == 3, F.concat(F.lit("facturas "), year.cast("string"))).otherwise(F.concat(F.upper(name), F.lit(" - "), F.lpad(((year + 20) % 100).cast("string"), 2, "0")))
+    return t.orders.select("o_orderkey", folder.alias("carpeta")).select("o_orderkey", "carpeta", numbers.month_folder_date(F.col("carpeta")).alias("mes"))
 
 
 @C.add(
@@ -35,20 +43,20 @@ def amount(t: Tables) -> DataFrame:
     return numbers.with_amounts(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", written.alias("escrito")), importe=F.col("escrito")).select("l_orderkey", "l_linenumber", "l_partkey", "importe.value").withColumnRenamed("value", "importe")
 
 
-AMOUNTS = {
-    "1.234,56": "1234.56", "1.234,56 €": "1234.56", "-1.234,56": "-1234.56", "1.234,56-": "-1234.56", "0,00": "0", "0": "0", "12345": "12345", "+7,5": "7.5",
-    "": None, "  ": None, None: None,
-    "1,234.56": "!", "1.23": "!", "1.234,5,6": "!", "--1,00": "!", "-1,00-": "!", "1e2": "!", "007": "!", "abc": "!", "1,234": "!", "€": "!",
-}
+#: A price written in ways that are and aren't amounts, as both engines say it.
+WRITTEN = """CASE o_orderkey % 12 WHEN 0 THEN replace(x, '.', ',') WHEN 1 THEN '-' || replace(x, '.', ',') WHEN 2 THEN replace(x, '.', ',') || '- €' WHEN 3 THEN x WHEN 4 THEN '-' || replace(x, '.', ',') || '-' WHEN 5 THEN '0' || replace(x, '.', ',')
+  WHEN 6 THEN '' WHEN 7 THEN NULL WHEN 8 THEN '€' WHEN 9 THEN replace(x, '.', ',') || '0' WHEN 10 THEN '+' || split_part(x, '.', 1) ELSE x || 'e2' END"""
 
 
 @C.add(
     "spanish_amount_invalid",
-    "SELECT * FROM (VALUES " + ", ".join(f"({'NULL' if k is None else repr(k)}, CAST({'NULL' if v in (None, '!') else v} AS DECIMAL(14,2)), {'TRUE' if v == '!' else 'FALSE'})" for k, v in AMOUNTS.items()) + ") v(escrito, importe, error)",
+    f"""WITH w AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) AS x FROM orders)
+SELECT o_orderkey, {WRITTEN} AS escrito, CASE o_orderkey % 12 WHEN 0 THEN CAST(x AS DECIMAL(14,2)) WHEN 1 THEN -CAST(x AS DECIMAL(14,2)) WHEN 2 THEN -CAST(x AS DECIMAL(14,2)) WHEN 10 THEN CAST(split_part(x, '.', 1) AS DECIMAL(14,2)) END AS importe,
+  o_orderkey % 12 IN (3, 4, 5, 8, 9, 11) AS error FROM w""",
 )
 def amount_invalid(t: Tables) -> DataFrame:
-    parsed = numbers.spanish_amount(F.col("escrito"))
-    return inline(t, "escrito", list(AMOUNTS)).select("escrito", parsed["value"].alias("importe"), parsed["error"].alias("error"))
+    written = t.orders.select("o_orderkey", F.col("o_totalprice").cast(numbers.MONEY).cast("string").alias("x")).select("o_orderkey", F.expr(WRITTEN).alias("escrito"))
+    return numbers.with_amounts(written, leido=F.col("escrito")).select("o_orderkey", "escrito", F.col("leido.value").alias("importe"), F.col("leido.error").alias("error"))
 
 
 @C.add("visible_date_parse", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS fecha, o_orderkey % 5 = 0 AS error FROM orders")
@@ -91,27 +99,47 @@ def money_text(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", numbers.spanish_text(F.col("o_totalprice")).alias("escrito"))
 
 
-@C.add("page_ranges", """SELECT * FROM (VALUES (1, 2, 5, FALSE), (2, 1, 7, FALSE), (3, 1, 7, FALSE), (4, NULL, NULL, TRUE), (5, 1, 3, FALSE), (6, NULL, NULL, TRUE)) v(n, desde, hasta, error)""")
+@C.add(
+    "page_ranges",
+    """WITH p AS (SELECT o_orderkey, o_orderkey % 4 AS a, o_custkey % 5 AS b, CASE WHEN o_custkey % 7 > 0 THEN o_custkey % 7 - 1 END AS n, o_orderkey % 6 AS k FROM orders), g AS (SELECT *, k > 1 AND a >= 1 AND b >= a AS dado FROM p)
+SELECT o_orderkey, CAST(CASE WHEN dado THEN a WHEN n >= 1 THEN 1 END AS INTEGER) AS desde, CAST(CASE WHEN dado THEN b WHEN n >= 1 THEN n END AS INTEGER) AS hasta, NOT dado AND coalesce(n, 0) < 1 AS error FROM g""",
+)
 def pages(t: Tables) -> DataFrame:
-    df = t.spark.createDataFrame([(1, [2, 5], 9), (2, None, 7), (3, [2, 1], 7), (4, None, 0), (5, [4], 3), (6, [0, 2], None)], "n int, paginas array<int>, total int")
+    """Ranges of pages in and out of order, of one number, or none, with page counts that may be zero or unknown."""
+    a, b = (F.col("o_orderkey") % 4).cast("int"), (F.col("o_custkey") % 5).cast("int")
+    given = F.when(F.col("o_orderkey") % 6 == 0, F.array(a)).when(F.col("o_orderkey") % 6 > 1, F.array(a, b))
+    count = F.when(F.col("o_custkey") % 7 > 0, (F.col("o_custkey") % 7 - 1).cast("int"))
+    df = t.orders.select("o_orderkey", given.alias("paginas"), count.alias("total"))
     got = numbers.page_range(F.col("paginas"), F.col("total"))
-    return df.select("n", got["first"].alias("desde"), got["last"].alias("hasta"), got["error"].alias("error"))
+    return df.select("o_orderkey", got["first"].alias("desde"), got["last"].alias("hasta"), got["error"].alias("error"))
 
 
-IDS = {"ESA12345678": "A12345678", "es a1234 5678": "A12345678", "esB 12": "esB 12", "ESX1234567A": "ESX1234567A", " A12345678 ": "A12345678", "": None}
+#: A customer's tax id with and without the country, with blanks, of a person, and too short.
+CIF = """CASE c_custkey % 6 WHEN 0 THEN 'ESA' || n WHEN 1 THEN 'es a' || substr(n, 1, 4) || ' ' || substr(n, 5) WHEN 2 THEN 'esB ' || substr(n, 7) WHEN 3 THEN 'ESX' || substr(n, 2) || 'A' WHEN 4 THEN ' A' || n || ' ' ELSE '' END"""
 
 
-@C.add("tax_id_prefix", "SELECT * FROM (VALUES " + ", ".join(f"({k!r}, {'NULL' if v is None else repr(v)})" for k, v in IDS.items()) + ") v(cif, limpio)")
+@C.add(
+    "tax_id_prefix",
+    f"""WITH c AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS n FROM customer)
+SELECT c_custkey, {CIF} AS cif, CASE c_custkey % 6 WHEN 0 THEN 'A' || n WHEN 1 THEN 'A' || n WHEN 2 THEN 'esB ' || substr(n, 7) WHEN 3 THEN 'ESX' || substr(n, 2) || 'A' WHEN 4 THEN 'A' || n END AS limpio FROM c""",
+)
 def tax_id(t: Tables) -> DataFrame:
-    return inline(t, "cif", list(IDS)).select("cif", text.spanish_tax_id(F.col("cif")).alias("limpio"))
+    ids = t.customer.select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("n")).select("c_custkey", F.expr(CIF).alias("cif"))
+    return ids.select("c_custkey", "cif", text.spanish_tax_id(F.col("cif")).alias("limpio"))
 
 
-NOTES = {"Albarán: 00123": "00123", "ALBARAN 55/A": "ALBARAN 55/A", "nº albarà: 5 b": "5 b", "No  ALBARÁN :x": "x", "albarán:": "albarán:", "00123": "00123", "pedido: 7 albaran": "pedido: 7 albaran", " ": None}
+#: An order's number behind labels of delivery notes, in forms that are and aren't the label's.
+LABELLED = """CASE o_orderkey % 8 WHEN 0 THEN 'Albarán: ' || k WHEN 1 THEN 'ALBARAN ' || k || '/A' WHEN 2 THEN 'nº albarà: ' || k || ' b' WHEN 3 THEN 'No  ALBARÁN :' || k WHEN 4 THEN 'albarán:' WHEN 5 THEN k WHEN 6 THEN 'pedido: ' || k || ' albaran' ELSE ' ' END"""
 
 
-@C.add("note_number_label", "SELECT * FROM (VALUES " + ", ".join(f"({k!r}, {'NULL' if v is None else repr(v)})" for k, v in NOTES.items()) + ") v(visto, numero)")
+@C.add(
+    "note_number_label",
+    f"""WITH n AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS k FROM orders)
+SELECT o_orderkey, {LABELLED} AS visto, CASE o_orderkey % 8 WHEN 0 THEN k WHEN 1 THEN 'ALBARAN ' || k || '/A' WHEN 2 THEN k || ' b' WHEN 3 THEN k WHEN 4 THEN 'albarán:' WHEN 5 THEN k WHEN 6 THEN 'pedido: ' || k || ' albaran' END AS numero FROM n""",
+)
 def note_label(t: Tables) -> DataFrame:
-    return inline(t, "visto", list(NOTES)).select("visto", text.note_number(F.col("visto")).alias("numero"))
+    said = t.orders.select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 6, "0").alias("k")).select("o_orderkey", F.expr(LABELLED).alias("visto"))
+    return said.select("o_orderkey", "visto", text.note_number(F.col("visto")).alias("numero"))
 
 
 @C.add("provider_alias", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN s_name ELSE 'Alliance Healthcare' END AS proveedor FROM supplier")
@@ -120,9 +148,14 @@ def alias(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", text.canonical_name(said, {"Alliance Healthcare": ["Alliance H."]}).alias("proveedor"))
 
 
-@C.add("retryable_errors", "SELECT * FROM (VALUES ('Read timed out', TRUE), ('HTTP 503', TRUE), ('Broken pipe', TRUE), ('23505 duplicate', FALSE)) v(mensaje, reintentar)")
+#: What a failed event may say.
+SAID = """CASE event_id % 5 WHEN 0 THEN 'Read timed out after ' || CAST(user_id AS VARCHAR) || ' s' WHEN 1 THEN 'HTTP 503 on ' || event_type WHEN 2 THEN 'Broken PIPE' WHEN 3 THEN '23505 duplicate ' || event_type ELSE NULL END"""
+
+
+@C.add("retryable_errors", f"SELECT event_id, {SAID} AS mensaje, CASE event_id % 5 WHEN 3 THEN FALSE WHEN 4 THEN NULL ELSE TRUE END AS reintentar FROM events WHERE event_type = 'error'")
 def retryable(t: Tables) -> DataFrame:
-    return inline(t, "mensaje", ["Read timed out", "HTTP 503", "Broken pipe", "23505 duplicate"]).select("mensaje", text.is_retryable(F.col("mensaje")).alias("reintentar"))
+    said = t.events.filter("event_type = 'error'").select("event_id", F.expr(SAID.replace("VARCHAR", "STRING")).alias("mensaje"))
+    return said.select("event_id", "mensaje", text.is_retryable(F.col("mensaje")).alias("reintentar"))
 
 
 @C.add("array_slice_last", "SELECT vec_id, embedding[-3:] AS ultimos, embedding[-1] AS ultimo, list_concat(embedding[1:3], embedding[-1:]) AS extremos FROM embeddings")
@@ -153,7 +186,7 @@ def props(t: Tables) -> DataFrame:
     return t.spark.sql("SELECT event_id, key AS ruta, try_variant_get(value, '$', 'bigint') AS valor FROM props_variant, LATERAL variant_explode(v)")
 
 
-@C.add("text_simplify_equal")
+@C.add("text_simplify_equal", "SELECT doc_id, TRUE AS iguales FROM documents")
 def simplify(t: Tables) -> DataFrame:
     """Documents whose text equals its shouted, doubly spaced form under a collation that ignores case and marks."""
     shouted = F.replace(F.upper("text"), F.lit(" "), F.lit("  "))

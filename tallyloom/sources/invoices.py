@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.normalise import BASE, EXTRACTED
 
@@ -13,7 +14,21 @@ from ..operators.normalise import BASE, EXTRACTED
 def from_json_rows(spark: SparkSession, documents: list[dict]) -> DataFrame:
     """Documents of BASE's shape; fields that aren't there are null."""
     df = spark.createDataFrame([(json.dumps(d, ensure_ascii=False),) for d in documents], "j string")
-    return df.select(F.from_json("j", f"struct<{BASE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>", {"mode": "FAILFAST"}).alias("d")).select("d.*")
+    return parsed(df)
+
+
+def from_table(keys: DataFrame, key: str, documents: list[dict]) -> DataFrame:
+    """The documents once for each row of a table, named and numbered by its key: ``s1-42``, 000042."""
+    number = F.lpad(F.col(key).cast("string"), 6, "0")
+    texts = F.explode(F.array(*(F.struct(F.lit(d["doc_id"]).alias("id"), F.lit(json.dumps(d, ensure_ascii=False)).alias("j")) for d in documents)))
+    each = keys.select(key, texts.alias("d"))
+    named = F.replace(F.replace(F.col("d.j"), F.concat(F.lit('"doc_id": "'), F.col("d.id"), F.lit('"')), F.concat(F.lit('"doc_id": "'), F.col("d.id"), F.lit("-"), F.col(key).cast("string"), F.lit('"'))), F.lit("000123"), number)
+    return parsed(each.select(named.alias("j")))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """Documents of BASE's shape from their JSON (j)."""
+    return texts.select(F.from_json("j", f"struct<{BASE.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>", {"mode": "FAILFAST"}).alias("d")).select("d.*")
 
 
 def seen(c: Column) -> Column:
@@ -35,15 +50,24 @@ def from_orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         seen(F.date_format("o_orderdate", "dd-MM-yyyy")).alias("fecha_factura"), seen(F.col("base").cast("double")).alias("base_imponible_total"), seen(F.col("iva").cast("double")).alias("iva_total"),
         seen((F.col("base") + F.col("iva") + F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0)).cast("double")).alias("importe_total"), F.transform("filas", lambda r: r["x"]).alias("impuestos"),
     )
-    return f.select(
-        F.col("o_orderkey").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("archivo"), F.array(F.lit(1), F.lit(2)).alias("paginas_originales"), F.lit(2).alias("numero_paginas"),
-        conform(factura).alias("factura"),
+    made = f.select(F.col("o_orderkey").cast("string").alias("doc_id"), factura.alias("factura"))
+    want = T.StructType.fromDDL(f"factura {EXTRACTED}")["factura"].dataType
+    return made.select(
+        "doc_id", F.lit(None).cast("string").alias("archivo"), F.array(F.lit(1), F.lit(2)).alias("paginas_originales"), F.lit(2).alias("numero_paginas"),
+        conform(F.col("factura"), made.schema["factura"].dataType, want).alias("factura"),
     )
 
 
-def conform(factura: Column) -> Column:
-    """A partial invoice in EXTRACTED's shape, through its JSON."""
-    return F.from_json(F.to_json(factura), EXTRACTED)
+def conform(c: Column, have: T.DataType | None, want: T.DataType) -> Column:
+    """A value of one type in the shape of another: fields by name, those that aren't there null."""
+    if have is None:
+        return F.lit(None).cast(want)
+    if isinstance(want, T.StructType):
+        fields = {f.name: f.dataType for f in have.fields}
+        return F.when(c.isNotNull(), F.struct(*(conform(c[f.name], fields.get(f.name), f.dataType).alias(f.name) for f in want.fields)))
+    if isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: conform(x, have.elementType, want.elementType))
+    return c.cast(want)
 
 
 def field(value: object, page: int = 1) -> dict:
