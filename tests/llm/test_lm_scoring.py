@@ -82,3 +82,47 @@ def test_shards_meet_in_two_steps(spark, monkeypatch):
 
 def test_empty(spark, put):
     assert L.op7_lm_scoring(spark, put(documents=spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_scores_by_plain_arithmetic(spark, monkeypatch):
+    """Every token's probability worked out one by one from the model's parts: class, symbol in the class, word in the symbol."""
+    import math
+    import random
+    from zlib import crc32 as crc
+
+    monkeypatch.setattr(L, "HEAD", 60)
+    r = random.Random(17)
+    words = [f"w{i}{e}" for i in range(150) for e in ("ing", "ed", "s")]
+    texts = [" ".join(r.choices(words[: 20 + i], k=r.randrange(0, 120))) for i in range(250)] + ["Never seen words here", "", None, "W1ing W2ED"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = L.fit(docs, head_size=60)
+    v, w = model[1].value, model[2].value
+    seen = {}
+    for i, t in enumerate(texts):
+        if crc(str(i).encode()) % 10:
+            for x in [*(t or "").lower().encode().split(), b""]:
+                seen[x] = seen.get(x, 0) + 1
+    tokens, kinds = {}, {}
+    for x, c in seen.items():
+        tokens[v.symbol(x)] = tokens.get(v.symbol(x), 0) + c
+        kinds[v.symbol(x)] = kinds.get(v.symbol(x), 0) + 1
+
+    def log_share(weights, bias, rows, target):
+        z = [float(b) + sum(float(weights[row][i]) for row in rows) for i, b in enumerate(bias)]
+        top = max(z)
+        return (z[target] - top) - math.log(sum(math.exp(x - top) for x in z))
+
+    got = {x.doc_id: x for x in L.score(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i in (0, 3, 50, 120, 249, 250, 251, 252, 253):
+        before, want = [w.n - 1] * 3, 0.0
+        for x in [*(texts[i] or "").lower().encode().split(), b""]:
+            s = v.symbol(x)
+            p1, p2, p3 = (np.array([p]) for p in before)
+            c, place = int(v.cls[s]), int(v.place[s])
+            want += log_share(w.cls, v.class_bias, [int(row[0]) for row in w.class_rows(p1, p2, p3)], c)
+            want += log_share(w.place, v.in_bias[c], [int(row[0]) for row in w.place_rows(np.array([c]), p1, p2)], place)
+            if 0 < s < v.first_word:
+                want += math.log((seen.get(x, 0) + 0.1) / (tokens.get(s, 0) + 0.1 * (kinds.get(s, 0) + 1)))
+            before = [s, *before[:2]]
+        assert abs(got[i].score - want / math.log(10)) < 1e-4 * max(1, abs(want)), i
