@@ -12,8 +12,8 @@ probabilities of the events sum to one.
 
 Weights start from the unigram model and are trained by gradient updates in one pass over all training documents, which
 are shared out to rounds (each document is learnt from once): shards of a round each take AdaGrad steps over their own documents
-from the same weights, and the changes are averaged by how often each weight moved.  Changes meet in two steps, first those of
-about as many shards as the root of their number, then by block of weights, so no task gets those of all shards.
+from the same weights, and the changes are averaged by how often each weight moved.  Changes meet in two steps, both by block of weights: first those of
+about as many shards as the root of their number, then these sums, so no task gets a block's changes from all shards, nor all blocks.
 
 What is learnt grows with the training tokens N: symbols are the square of a side of about 32 * (N / 2^24)^(1/12), the rows
 for pairs of symbols grow with the cube root of N, those within classes with the side; the counts of words are whole.  Counts of
@@ -324,7 +324,7 @@ def train_round(texts: DataFrame, vocabulary, weights, shards: int) -> Weights:
     changes = texts.coalesce(shards).mapInArrow(shard, f"shard int, {ddl}")
     if shards > 2:
         groups = int(np.ceil(np.sqrt(shards)))
-        changes = changes.repartition(groups, F.pmod(F.col("shard"), F.lit(groups)))
+        changes = changes.repartition(groups * BLOCK_TASKS, "block", F.pmod(F.col("shard"), F.lit(groups)))
     sums = changes.select("block", "change", "moved").mapInArrow(total, ddl).repartition(BLOCK_TASKS, "block").mapInArrow(total, ddl).collect()
     new = Weights(old.side, old.pairs)
     found = {r.block: r for r in sums}
