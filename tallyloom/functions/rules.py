@@ -98,3 +98,8 @@ def money(c: Column) -> Column:
 def unmet(preconditions: Column) -> Column:
     """The entries of a map of flags that are not exactly true."""
     return F.map_filter(preconditions, lambda _, v: ~v.eqNullSafe(F.lit(True)))
+
+
+def first_page(row: Column, *fields: str) -> Column:
+    """The page of the first evidence of the first of some fields that has one."""
+    return F.coalesce(*(F.get(row[f]["evidencias"], F.lit(0))["pagina"] for f in fields))

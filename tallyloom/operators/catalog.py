@@ -83,3 +83,14 @@ def edge_labels(edges: DataFrame, keys: list[str], origin: str, target: str, ord
     pair = F.concat(F.col(origin).cast("string"), F.lit(" -> "), F.col(target).cast("string"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), pair.alias("p"))))
     return edges.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["p"]), " | ").alias("etiqueta"))
+
+
+def ranked_search(columns: DataFrame, said: str) -> DataFrame:
+    """(esquema, tabla, puesto): tables whose name holds a text in any case, that of just this name first, then by schema and name.
+
+    A catalog's names are few, so their order is one sort of the distinct ones found.
+    """
+    low = said.lower()
+    found = columns.filter(F.lower("tabla").contains(low)).select("esquema", "tabla").distinct()
+    rank = F.row_number().over(Window.orderBy(F.when(F.lower("tabla") == low, 0).otherwise(1), "esquema", "tabla"))
+    return found.withColumn("puesto", rank)

@@ -120,6 +120,13 @@ def entities(df: DataFrame, keys: list[str], tree: str, roots: str = "entities",
     return reduce(DataFrame.unionByName, levels).select(*of, "nivel", "ruta", text("type", "type_").alias("tipo"), text(*snake_and_camel("mention_text")).alias("texto"), pages_of(F.col("nodo")).alias("paginas"))
 
 
+def divided(document: Column, expected: list[tuple[int, int]], roots: str = "entities") -> Column:
+    """Whether a document's entities refer to just the pages of the expected divisions (first, last), in their order."""
+    found = F.transform(F.coalesce(F.try_variant_get(member(document, roots), "$", "array<variant>"), F.array().cast("array<variant>")), pages_of)
+    want = F.array(*(F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long")) for a, b in expected)) if expected else F.array().cast("array<array<bigint>>")
+    return found.eqNullSafe(want)
+
+
 #: A field's typed values, in the order they are looked for.
 TYPED = (
     "value", "value_string", "value_date", "value_time", "value_phone_number", "value_number", "value_integer", "value_currency",
