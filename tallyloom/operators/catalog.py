@@ -14,13 +14,18 @@ GENERIC = (
     "usuario", "valor", "clave", "referencia", "descripcion", "nombre", "observaciones",
 )
 
-#: Type families within which keys can refer to each other.
+#: Type families within which keys can refer to each other.
 FAMILIES = {
     "int": ("tinyint", "smallint", "int", "bigint", "integer", "long"),
     "text": ("char", "varchar", "nchar", "nvarchar", "text", "string"),
     "decimal": ("decimal", "numeric", "money", "smallmoney"),
 }
 
+#: Points of a target that is a key, or only unique; of equal meanings; of a table that means the same, is in the meaning, or
+#: holds it; and the least points of each confidence.
+KEY, UNIQUE, SAME, TABLE, IN_MEANING, HOLDS_MEANING, MOST = 50, 40, 20, 30, 20, 10, 100
+BANDS = {"MUY ALTA": 95, "ALTA": 85, "MEDIA": 80}
+
 COLUMNS = "esquema string, tabla string, columna string, tipo string, orden int, es_pk boolean, es_unica boolean"
 
 
@@ -50,13 +55,13 @@ def search_objects(columns: DataFrame, said: str) -> DataFrame:
 
 def score(meaning: Column, table: Column, target: Column, is_key: Column) -> Column:
     """How much sense a table makes as what a column refers to, up to 100."""
-    base = F.when(is_key, 50).otherwise(40) + F.when(meaning == target, 20).otherwise(0)
-    named = F.when(meaning == table, 30).when((F.length(table) > 0) & F.contains(meaning, table), 20).when((F.length(meaning) > 0) & F.contains(table, meaning), 10).otherwise(0)
-    return F.least(base + named, F.lit(100))
+    base = F.when(is_key, KEY).otherwise(UNIQUE) + F.when(meaning == target, SAME).otherwise(0)
+    named = F.when(meaning == table, TABLE).when((F.length(table) > 0) & F.contains(meaning, table), IN_MEANING).when((F.length(meaning) > 0) & F.contains(table, meaning), HOLDS_MEANING).otherwise(0)
+    return F.least(base + named, F.lit(MOST))
 
 
 def confidence(points: Column) -> Column:
-    return F.when(points >= 95, "MUY ALTA").when(points >= 85, "ALTA").when(points >= 80, "MEDIA")
+    return F.coalesce(*(F.when(points >= least, name) for name, least in BANDS.items()))
 
 
 def probable_relations(columns: DataFrame, official: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def probable_relations(columns: DataFrame, official: DataFrame) -> DataFrame:
     pairs = pairs.join(known, [F.lower(c) == F.col(f"k_{c}") for c in names], "left_anti")
     points = score(F.col("significado"), relation_meaning(F.col("tabla_d")), relation_meaning(F.col("columna_d")), F.col("es_pk_d"))
     best = Window.partitionBy("esquema_o", "tabla_o", "columna_o").orderBy(F.desc("puntos"), F.desc("es_pk_d"), F.length("tabla_d"), F.desc(F.lower("tabla_d")))
-    chosen = pairs.withColumn("puntos", points).withColumn("_n", F.row_number().over(best)).filter("_n = 1 AND puntos >= 80")
+    chosen = pairs.withColumn("puntos", points).withColumn("_n", F.row_number().over(best)).filter((F.col("_n") == 1) & (F.col("puntos") >= min(BANDS.values())))
     return chosen.select(*names, "puntos", confidence(F.col("puntos")).alias("confianza"))
 
 

@@ -3,6 +3,9 @@
 ``extracted`` frames have doc_id, archivo, paginas_originales, numero_paginas, factura (EXTRACTED) and, where a provider
 needs them, tablas (TABLES), bloques_vencimiento (BLOCKS) or filas_literales (LITERAL_ROWS).  Results have the
 invoice's fields, the arrays vencimientos, impuestos, albaranes and ajustes, validaciones and incidencias.
+
+Fixed values: the codes of incidents (capitals with underscores), the names of rules and validations, field names and states are those that
+consumers of the results know.
 """
 
 from __future__ import annotations
