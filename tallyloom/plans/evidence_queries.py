@@ -17,7 +17,7 @@ C = Catalogue()
 PART = "upper(substr(text, 3, 40))"
 TREE_SQL = """to_json(named_struct('factura', named_struct('numero', named_struct('valor', doc_id, 'evidencias', array(named_struct('pagina', 1, 'texto_visible', upper(substr(text, 3, 40))), named_struct('pagina', 1, 'texto_visible', concat(upper(substr(text, 3, 40)), '@@')))),
   'lineas', array(named_struct('total', named_struct('valor', n_chars, 'evidencias', array(named_struct('pagina', 2, 'texto_visible', ''))))))))"""
-FOLDED = "trim(regexp_replace(lower(strip_accents({})), '\\s+', ' ', 'g'))"
+FOLDED = "trim(regexp_replace(replace(replace(lower(strip_accents({})), 'ß', 'ss'), 'ς', 'σ'), '\\s+', ' ', 'g'))"
 
 
 @C.add(
