@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -82,6 +84,22 @@ def texts_as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in col.to_pylist()]
 
 
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The same, with memory it freed given back to the machine at its end: Spark keeps a worker for the stages that follow."""
+
+    @wraps(run)
+    def tidied(*args: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's own, where it has one
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Row tuples as record batches of bounded size."""
     held: list[tuple] = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table, unused, written
+from .common import batches, table, tidy, unused, written
 
 MIN_MATCH, COVERAGE = 5, 0.5
 #: Characters of items that go to all tasks at a time.
@@ -244,6 +244,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH,
     for part in blocks:
         sent = spark.sparkContext.broadcast(Items(part, min_match, coverage))
 
+        @tidy
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             its = sent.value
             for batch in it:
@@ -283,6 +284,7 @@ def kept_if(docs: DataFrame, block: Items, at: int, leaks: bool) -> DataFrame:
     """The rows of docs whose text (column number ``at``) covers an item of the block, or those whose does not."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             got = sent.value.leaks(batch.column(at).cast(pa.string()).to_pylist())

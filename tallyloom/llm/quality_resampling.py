@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts_as_bytes, unused, written
+from .common import table, texts_as_bytes, tidy, unused, written
 
 #: N-grams that a counting task holds before it hands their counts on.
 HELD = 1 << 21
@@ -80,18 +80,33 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = LABELLED)
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_label_id")).select("text", "good").distinct()
 
 
+def counted(held: list[np.ndarray], good: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of texts (each once a text), sorted; how many texts hold each, and how many good ones.  Empties both lists.
+
+    Sorted in place and counted by ends, so that little more than the n-grams themselves is held at a time.
+    """
+    every = np.concatenate([np.zeros(0, np.uint64), *held])
+    of_good = np.concatenate([np.zeros(0, np.uint64), *(x for x, ok in zip(held, good) if ok)])
+    held.clear()
+    good.clear()
+    every.sort()
+    of_good.sort()
+    ends = np.flatnonzero(np.r_[every[1:] != every[:-1], np.ones(min(1, len(every)), bool)])
+    h, n = every[ends], np.diff(ends, prepend=-1)
+    return h, n, np.searchsorted(of_good, h, "right") - np.searchsorted(of_good, h)
+
+
 def telling_ngrams(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, np.ndarray, int]:
     """The n-grams by which good and other labelled documents differ (sorted hashes), how many good ones hold each, and their number."""
     sample = written(labelled_documents(docs, labels, most), "labelled")
 
+    @tidy
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         good: list[bool] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            h, at = np.unique(np.concatenate(held), return_inverse=True)
-            n = np.bincount(at, minlength=len(h))
-            ok = np.bincount(at[np.repeat(good, [len(x) for x in held])], minlength=len(h))
+            h, n, ok = counted(held, good)
             for part in np.array_split(np.arange(len(h)), len(h) // 100_000 + 1):
                 yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(n[part].astype(np.int32)), pa.array(ok[part].astype(np.int32))], names=["h", "n", "good"])
 
@@ -103,7 +118,7 @@ def telling_ngrams(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
                 size += len(held[-1])
                 if size >= HELD:
                     yield from out()
-                    held, good, size = [], [], 0
+                    size = 0
         if held:
             yield from out()
 
@@ -127,6 +142,7 @@ def holdings(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
     """(doc_id, text_hash, held) of all documents, written: the numbers of the chosen n-grams that each holds."""
     sent = docs.sparkSession.sparkContext.broadcast(chosen)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             held = [held_by(t, sent.value) for t in texts_as_bytes(batch, "text")]
@@ -181,6 +197,7 @@ def held_weight(held: DataFrame, logs: np.ndarray) -> DataFrame:
     """(doc_id, log_weight) from what documents hold; the same sums as weigh() makes."""
     sent = held.sparkSession.sparkContext.broadcast(logs)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             sums = [float(sent.value[np.array(x, np.int64)].sum()) for x in batch.column(1).to_pylist()]
@@ -194,6 +211,7 @@ def with_log_weight(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], name
     at, sent = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(ratios)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = [x or b"" for x in batch.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()]

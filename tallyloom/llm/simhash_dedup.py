@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_one, table, texts_as_bytes, unused, written
+from .common import join_one, table, texts_as_bytes, tidy, unused, written
 from .components import connected_components
 
 SEED = 42
@@ -96,6 +96,7 @@ def fingerprints(docs: DataFrame, k: int, lanes: int = 1, doc: str = "doc_id", t
     """(doc_id, text_hash, fp): fp is 8 bytes a lane."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.binary())])
 
+    @tidy
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             fps = [fingerprint(t, k, lanes, once) for t in texts_as_bytes(batch, "text")]
@@ -228,6 +229,7 @@ def candidate_bands(nodes: int, bits: int = 256) -> list[list[int]]:
 def spanning_links(nodes: DataFrame, radius: int, bands: list[list[int]]) -> DataFrame:
     """``nodes`` (fp, distinct) to links (u, v) that span, in every shard, the classes of links within the radius."""
 
+    @tidy
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
@@ -244,6 +246,7 @@ def spanning_links(nodes: DataFrame, radius: int, bands: list[list[int]]) -> Dat
         u = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([fps.take(pa.array(u)), fps.take(pa.array(label[u]))], names=["u", "v"])
 
+    @tidy
     def by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole shards together; rows come sorted by shard."""
         held: list[pa.RecordBatch] = []
@@ -312,6 +315,7 @@ def large_shards(nodes: DataFrame, bands: list[list[int]], most: int) -> tuple[n
     Each has more than ``most`` rows, so they are fewer than a ``most``-th of all rows.
     """
 
+    @tidy
     def numbers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
@@ -361,6 +365,7 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], want: str,
     nearest, marks = want == "nearest", want == "marks"
     sent = nodes.sparkSession.sparkContext.broadcast(large)
 
+    @tidy
     def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
@@ -428,6 +433,7 @@ def near_pairs(nodes: DataFrame, radius: int, bands: list[list[int]], want: str,
             names = [pc.binary_slice(fps.take(pa.array(x)), 0, 32) for x in (u, v)]
             yield pa.RecordBatch.from_arrays([*names, *(pa.array(x.astype(np.int32)) for x in d)], names=["u", "v", "d"][: 2 + len(d)])
 
+    @tidy
     def by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole shards together; rows come sorted by shard."""
         held: list[pa.RecordBatch] = []
@@ -466,6 +472,7 @@ def shingle_sets(some: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, doc
     """(fp, wide, s) of some nodes (fp distinct): the longer fingerprint and the shingle set of one text of each, as a written table."""
     ids = some.join(nodes, "fp").select(F.col("least").alias("_id")).distinct()
 
+    @tidy
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for t in texts_as_bytes(batch, "text"):
@@ -487,6 +494,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     cell stay within BLOCK_SETS and BLOCK_BYTES on average.
     """
 
+    @tidy
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell, in each the sets (u, s) before the pairs (u, v)."""
         cell, sets = None, {}
