@@ -18,15 +18,17 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, texts_as_bytes, unused, written
+from .common import table, texts_as_bytes, tidy, unused, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -48,6 +50,10 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class WordIds:
     """Ids of a text as little-endian bytes, equal to those of encoding it whole.
 
@@ -68,24 +74,28 @@ class WordIds:
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         heads = "|".join(re.escape(x[:2]) for x in sorted({*specials, "<|"}))
-        self.delicate = re.compile(heads.encode() + rb"|[A-Z][\xcb-\xff]").search
+        self.delicate_texts = heads + r"|[A-Z][\xcb-\xff]"
+        self.delicate = re.compile(self.delicate_texts.encode()).search
         # Letters that the tokenizer itself keeps in one word with their neighbours and apart from stops and commas.
         cut = lambda t: [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(t))]
         plain = "".join(re.escape(c) for c in map(chr, range(0x41, 0x530)) if c.isalpha() and len(cut(f"a{c}a")) == 1 and cut(f"a{c}.")[1:] == ["."] and cut(f"{c},")[1:] == [","])
-        self.letters = re.compile(f"([{plain}]+)([.,]*)").fullmatch
+        self.letters = f"^[{plain}]+$"
         # Two generations: words not asked for while the young one fills up are forgotten.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def one_by_one(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def one_by_one(self, words: list[bytes]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        cuts = [0, *accumulate(4 * len(x) for x in ids)]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
-    def together(self, words: list[str]) -> list[bytes]:
-        """Words of plain letters only, in one go: each ends with the one token that ends a word."""
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """Words of plain letters only, many in one go: each ends with the one token that ends a word."""
         out: list[bytes] = []
-        for at in range(0, len(words), 2048):
-            part = words[at : at + 2048]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) != len(part):  # a vocabulary without word ends
                 out += self.one_by_one(part)
@@ -94,44 +104,66 @@ class WordIds:
             out += [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that are not kept; stops and commas behind plain letters are words of their own."""
-        texts = [w.decode("utf-8") for w in words]
-        parts = [m.groups() if (m := self.letters(t)) else (t, "") for t in texts]
-        plain = [self.letters(t) is not None for t, _ in parts]
-        stems = list(dict.fromkeys(t for (t, _), a in zip(parts, plain) if a))
-        others = list(dict.fromkeys([t for (t, _), a in zip(parts, plain) if not a] + [stop for _, stop in parts if stop]))
-        get = lambda t: self.young.get(t.encode()) or self.old.get(t.encode())
-        found = {t: got for t in (*stems, *others) if (got := get(t)) is not None}
-        stems, others = [t for t in stems if t not in found], [t for t in others if t not in found]
-        found |= zip(stems, self.together(stems))
-        found |= zip(others, self.one_by_one(others))
-        out = {w: found[t] + found[stop] if stop else found[t] for w, (t, stop) in zip(words, parts)}
-        return out | {t.encode(): ids for t, ids in found.items()}
-
-    def words(self, text: bytes) -> list[bytes]:
-        if self.delicate(text):
-            return [w if self.delicate(w) else w.lower() for w in text.split()]
-        return text.lower().split()
+    def encoded(self, words: pa.Array) -> list[bytes]:
+        """Ids of different words that are not kept; stops and commas behind plain letters are words of their own."""
+        stems = pc.utf8_rtrim(words, ".,")
+        plain = pc.match_substring_regex(stems, self.letters)
+        stems = pc.if_else(plain, stems, words)
+        n = pc.binary_length(stems).to_numpy().tolist()
+        words, stems, plain = as_bytes(words), as_bytes(stems), plain.to_numpy(zero_copy_only=False).tolist()
+        stops = [w[at:] for w, at in zip(words, n)]
+        found = {s: ids for s, stop in zip(stems, stops) if stop and (ids := self.kept(s)) is not None}
+        new = list(dict.fromkeys(s for s, is_plain in zip(stems, plain) if is_plain and s not in found))
+        found.update(zip(new, self.together(new)))
+        new = [s for s, is_plain in zip(stems, plain) if not is_plain]
+        found.update(zip(new, self.one_by_one(new)))
+        behind = list(set(stops))
+        behind = dict(zip(behind, self.one_by_one(behind)))
+        self.keep((s, found[s]) for s, stop in zip(stems, stops) if stop)
+        return [found[s] + behind[stop] if stop else found[s] for s, stop in zip(stems, stops)]
+
+    def kept(self, word: bytes) -> bytes | None:
+        return self.old.get(word) if (got := self.young.get(word)) is None else got
+
+    def keep(self, found: Iterable[tuple[bytes, bytes]]) -> None:
+        if len(self.young) > self.cached:
+            self.young, self.old = {}, self.young
+        self.young.update((w, ids) for w, ids in found if len(w) <= LONGEST)
+
+    def lowered(self, texts: list[bytes]) -> pa.Array:
+        """The texts with the capitals lowered that may be."""
+        whole = pa.array(texts, pa.string())
+        out = pc.ascii_lower(whole)
+        delicate = pc.match_substring_regex(whole.cast(pa.binary()), self.delicate_texts)
+        if not pc.any(delicate, min_count=0).as_py():
+            return out
+        mixed = [b" ".join(w if self.delicate(w) else w.lower() for w in texts[i].split()) for i in pc.indices_nonzero(delicate).to_pylist()]
+        return pc.replace_with_mask(out, delicate, pa.array(mixed, pa.string()))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [self.words(text) for text in texts]
-        found = [list(map(self.young.get, words)) for words in split]
-        new: dict[bytes, bytes | None] = {}
-        for words, got in zip(split, found):
-            if None in got:
-                new |= dict.fromkeys([w for w, x in zip(words, got) if x is None])
+        """Words are numbered, so that each different word is looked up once, and its ids are copied to all its places."""
+        split = pc.ascii_split_whitespace(self.lowered(texts))
+        numbered = split.flatten().dictionary_encode()
+        words = as_bytes(numbered.dictionary)
+        found = list(map(self.young.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
         if new:
-            get = self.old.get
-            new = {w: get(w) for w in new}
-            new |= self.encoded([w for w, x in new.items() if x is None])
-            for words, got in zip(split, found):
-                if None in got:
-                    got[:] = [new[w] if x is None else x for w, x in zip(words, got)]
-            if len(self.young) > self.cached:
-                self.young, self.old = {}, self.young
-            self.young.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
-        return [b"".join(got) for got in found]
+            for i in new:
+                found[i] = self.old.get(words[i])
+            unkept = [i for i in new if found[i] is None]
+            for i, ids in zip(unkept, self.encoded(numbered.dictionary.take(pa.array(unkept, pa.int64())))):
+                found[i] = ids
+            self.keep((words[i], found[i]) for i in new)
+        at = numbered.indices.to_numpy()
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(length) - length
+        n = length[at]
+        ends = np.r_[0, np.cumsum(n)]
+        places = np.repeat(first[at] - ends[:-1], n)
+        places += np.arange(ends[-1])
+        raw = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
+        cuts = (ends[split.offsets.to_numpy()] * 4).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 _LOADED: dict[tuple[str, int], WordIds] = {}
@@ -161,6 +193,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
     end = np.array([END_ID], "<u4").tobytes()
 
+    @tidy
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(vocabulary, cached)
         for batch in it:
@@ -260,6 +293,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     kept = [f for f in pieces.schema.fields]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    @tidy
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = plan.value
         span = int(rows[:, 1].max(initial=0)) + 1

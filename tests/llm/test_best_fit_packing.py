@@ -118,3 +118,20 @@ def test_packing_is_whole_and_close_to_the_least():
 
 def test_empty(spark, put):
     assert P.op6_best_fit_packing(spark, put(documents=spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_each_different_word_is_looked_up_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *x):
+            self.asked += 1
+            return super().get(*x)
+
+    words = P.WordIds(P.VOCABULARY)
+    texts = [b"The river, the\tRiver.  " * 500, b"", b"river, THE river. " * 500, "été <|endoftext|> the É".encode()]
+    want = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    assert words.ids(texts) == want
+    words.young = Counting(words.young)
+    assert words.ids(texts) == want
+    assert words.young.asked < 20
