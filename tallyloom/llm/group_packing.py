@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_fit_packing import CACHED, VOCABULARY, encoded, loaded
-from .common import batches, table, texts_as_bytes, written
+from .common import batches, table, texts_as_bytes, tidy, written
 
 CAPACITY, END_ID, SLACK = 2048, 1, 0
 GROUP_TOKENS, GROUP_ROWS = 1 << 20, 50_000
@@ -133,6 +133,7 @@ def token_rows(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCA
     """(doc_id, start, length, doc_tokens, ids): every document cut into full sequences and a rest; ids are unsigned 32-bit little-endian."""
     end, width = np.array([end_id], "<u4").tobytes(), capacity * 4
 
+    @tidy
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(vocabulary, cached)
         for batch in it:

@@ -132,3 +132,22 @@ def test_full_sequences_stand_alone(spark):
 
 def test_empty(spark, put):
     assert G.op12_group_packing(spark, put(documents=spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_rows_ids_come_from_one_look_up_a_different_word():
+    from tallyloom.llm import best_fit_packing as P
+    from tallyloom.llm import group_packing as G
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *x):
+            self.asked += 1
+            return super().get(*x)
+
+    words = P.WordIds(P.VOCABULARY)
+    texts = [b"one fish, two fish" * 300, b"", b"two Fish two "]
+    want = list(G.encoded(words, texts))
+    words.young = Counting(words.young)
+    assert list(G.encoded(words, texts)) == want
+    assert words.young.asked < 20
