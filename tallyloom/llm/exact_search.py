@@ -3,8 +3,9 @@
 Vectors become vectors of whole numbers.  The distances of all vectors to many pivots (far apart from each other, of a bounded
 sample) are worked out once and written beside them; by the triangle inequality the largest difference of two vectors'
 distances to a pivot is a lower bound of their own distance, and so an upper bound of their inner product:
-(|q|^2 + |x|^2 - bound^2) / 2.  Each query takes the candidates of a block in the order of that bound and stops when no bound
-reaches its k-th score so far.  Queries come in blocks of a fixed size, which all tasks get; each task goes through its own
+(|q|^2 + |x|^2 - bound^2) / 2.  Candidates of a block that lie alike to the pivots form groups, whose ranges of distances bound all their
+members at once.  Each query takes the group of the highest bound first, and then every group whose bound reaches its k-th score so far;
+a group is multiplied with all queries that take it together.  Queries come in blocks of a fixed size, which all tasks get; each task goes through its own
 candidates in record batches and returns its k best of each query, and the best of those are kept.
 
 Scores are exact: candidates are multiplied as doubles where no sum can pass 2^53, else as whole numbers of any size; a score
@@ -82,32 +83,68 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * b for a, b in zip(row, whole)) for row in x.tolist()], object)
 
 
+def group_bounds(q: np.ndarray, q_far: np.ndarray, x: np.ndarray, x_far: np.ndarray) -> np.ndarray:
+    """For each query an upper bound of its inner product with any row of x, by the ranges of the rows' distances to the pivots."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = (q * q).sum(1) + (x * x).sum(1).max()
+        if x_far.shape[1]:
+            least, most = x_far.min(0), x_far.max(0)
+            # A little is taken off for rounding, so the bound stays one; what doubles cannot say bounds nothing.
+            low = (np.maximum(least - q_far, q_far - most) - 1e-6 * (most + q_far)).max(1)
+        else:
+            low = np.zeros(len(q))
+        low = np.maximum(low - 1e-6 * (1 + np.sqrt(total)), 0)
+        return np.nan_to_num((total - low * low) / 2 + 1e-6 * (total + 1), nan=np.inf, posinf=np.inf)
+
+
 def search_block(q: np.ndarray, q_ids: np.ndarray, q_far: np.ndarray, x: np.ndarray, ids: np.ndarray, x_far: np.ndarray, best: list[list[tuple]], k: int) -> int:
     """Brings each query's k best (score, -id), worst first, up to date with a block; returns how many were evaluated."""
+    # Candidates at like distances from their nearest pivot stand together.
+    order = np.lexsort((x_far.min(1), x_far.argmin(1))) if x_far.shape[1] else np.arange(len(x))
+    groups = [order[at : at + EVALUATED] for at in range(0, len(x), EVALUATED)]
+    if not groups or not len(q):
+        return 0
+    bounds = np.array([group_bounds(q, q_far, x[g], x_far[g]) for g in groups])
+    worst = np.array([float(mine[0][0]) if len(mine) == k else -np.inf for mine in best])
+    worst_id = np.array([-mine[0][1] if len(mine) == k else LONG for mine in best], np.int64)
     with np.errstate(over="ignore"):
-        q_norm, x_norm = (q * q).sum(1), (x * x).sum(1)
-    evaluated = 0
-    for i in range(len(q)):
-        # A little is taken off for rounding, so the bound stays one; what doubles cannot say bounds nothing.
-        low = (np.abs(x_far - q_far[i]) - 1e-6 * (x_far + q_far[i])).max(1) if x_far.shape[1] else np.zeros(len(x))
-        with np.errstate(over="ignore", invalid="ignore"):
-            total = q_norm[i] + x_norm
-            low = np.maximum(low - 1e-6 * (1 + np.sqrt(total)), 0)
-            bound = np.nan_to_num((total - low * low) / 2 + 1e-6 * (total + 1), nan=np.inf, posinf=np.inf)
+        q_most = np.abs(q).max(1, initial=0) * max(1, q.shape[1])
+
+    def merge(i: int, scores: list[int], at: np.ndarray) -> None:
         mine = best[i]
-        reach = bound >= float(mine[0][0]) if len(mine) == k else np.ones(len(x), bool)
-        reach &= ids != q_ids[i]
-        order = np.flatnonzero(reach)
-        order = order[np.argsort(-bound[order], kind="stable")]
-        for at in range(0, len(order), EVALUATED):
-            part = order[at : at + EVALUATED]
-            if len(mine) == k and bound[part[0]] < float(mine[0][0]):
-                break
-            scores = products(x[part], q[i])
-            evaluated += len(part)
-            mine += zip((min(max(int(v), -LONG - 1), LONG) for v in scores), (-ids[part]).tolist())
-            mine.sort()
-            del mine[:-k]
+        mine += zip((min(max(int(v), -LONG - 1), LONG) for v in scores), (-ids[at]).tolist())
+        mine.sort()
+        del mine[:-k]
+        if len(mine) == k:
+            worst[i], worst_id[i] = float(mine[0][0]), -mine[0][1]
+
+    def evaluate(g: np.ndarray, mine: np.ndarray) -> int:
+        """Group g for some queries: all products at once where doubles hold them, else query by query."""
+        with np.errstate(over="ignore"):
+            exact = q_most[mine] * np.abs(x[g]).max(initial=0) < WHOLE
+        for i in mine[~exact]:
+            at = g[ids[g] != q_ids[i]]
+            merge(i, products(x[at], q[i]).tolist(), at)
+        held = mine[exact]
+        scores = x[g] @ q[held].T
+        own = ids[g][:, None] == q_ids[held]
+        better = (scores > worst[held]) | ((scores == worst[held]) & (ids[g][:, None] <= worst_id[held]))
+        better &= ~own
+        for c in np.flatnonzero(better.any(0)).tolist():
+            at = np.flatnonzero(better[:, c])
+            if len(at) > k:
+                at = at[np.lexsort((ids[g[at]], -scores[at, c]))[:k]]
+            merge(held[c], scores[at, c].tolist(), g[at])
+        return len(g) * len(mine)
+
+    # First the group that promises each query most, so that its k-th score is high when it comes to the others.
+    first, evaluated = bounds.argmax(0), 0
+    for n, g in enumerate(groups):
+        if len(mine := np.flatnonzero(first == n)):
+            evaluated += evaluate(g, mine)
+    for n, g in enumerate(groups):
+        if len(mine := np.flatnonzero((first != n) & (bounds[n] >= worst))):
+            evaluated += evaluate(g, mine)
     return evaluated
 
 

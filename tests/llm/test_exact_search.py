@@ -81,3 +81,26 @@ def test_sql(spark, sf_dir):
 
 def test_empty(spark, put):
     assert E.op2_exact_search(spark, put(embeddings=spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_queries_share_products_and_stay_exact(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = np.floor(r.normal(0, 40, (3000, 16)))
+    x[100:160] = x[7]
+    ids, q = r.permutation(3000), x[:200]
+    pivots = E.far_apart(x[:500], 8)
+    alone = []
+    monkeypatch.setattr(E, "products", lambda a, b, f=E.products: alone.append(1) or f(a, b))
+    best = [[] for _ in q]
+    far = E.pivot_distances(x, pivots)
+    for at in range(0, 3000, 1100):
+        part = slice(at, at + 1100)
+        E.search_block(q, ids[:200], far[:200], x[part], ids[part], far[part], best, 5)
+    scores = (x @ q.T).astype(int)
+    for i in range(200):
+        want = sorted((scores[j, i], -ids[j]) for j in range(3000) if ids[j] != ids[i])[-5:]
+        assert best[i] == want
+    # Spread evenly, hardly a bound is of use, so queries must not go through the candidates one by one.
+    assert len(alone) < 200
