@@ -10,7 +10,8 @@ Gumbel noise, the k highest.  k is the number of documents whose log weight reac
 
 The target and the choice of n-grams take about ``LABELLED`` labelled documents at most, chosen by hash; all else covers every
 document: the texts are read once for the n-grams they hold, from which raw counts, weights and the k-th highest key come, and
-once more as documents pass.  The k-th highest key comes exactly from repeated counts by range, not from a sort.
+once more as documents pass.  The k-th highest key comes exactly from repeated counts by range, not from a sort.  In a task texts are
+taken apart many at a time, by the kinds of their bytes, and each different word among them is hashed once.
 
 Defined results: a null text counts as empty and weighs 0; a null doc_id has the noise of the null hash;
 repeated rows get the same key and are kept or left together; keys equal to the k-th are all kept; where labels
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,28 +48,68 @@ CUT = -1.0
 TEMPERATURE = 0.5
 SEED = 17
 
-TOKEN = re.compile(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+")
-SHOUT = re.compile(rb"(?<![\w\x80-\xff])[A-Z]{3,}(?![\w\x80-\xff])")
+#: The kind of a byte: a token is a run of one kind.
+OTHER, WORD, SPACE = 0, 1, 2
+KIND = np.array([WORD if b >= 0x80 or re.match(rb"\w", bytes([b])) else SPACE if re.match(rb"\s", bytes([b])) else OTHER for b in range(256)], np.uint8)
 SHOUTING, REPEATING, DOUBLING = 1, 2, 3
 #: A word said once and so many times again is repeated.
 RUN = 7
+#: Bytes of texts that are taken apart at a time; a longer text is taken by itself.
+PORTION = 1 << 20
+#: Chosen n-grams are looked for by their first bits before they are looked up.
+ROUGH = 20
+
+
+def portions(texts: list[bytes], size: int = PORTION) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts that follow each other, of about so many bytes, with the number of the first."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t) > size:
+            yield start, texts[start:i]
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+def ngrams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed n-grams of texts, repeats included, and the number of the text that each is from."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    kind = KIND[raw]
+    cuts = np.r_[0, np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(raw)]
+    is_token = kind[cuts[:-1]] != SPACE
+    offsets = np.r_[0, np.cumsum(np.diff(cuts)[is_token])].astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[kind != SPACE])]).dictionary_encode()
+    words, which = tokens.dictionary.to_numpy(zero_copy_only=False), tokens.indices.to_numpy()
+    h = np.array([xxhash.xxh64_intdigest(w.lower()) for w in words], np.uint64)[which]
+    shouted = np.array([len(w) >= 3 and w.isalpha() and w.isupper() for w in words], bool)[which]
+
+    sizes = np.diff(np.searchsorted(cuts[:-1][is_token], np.cumsum([0, *(len(t) + 1 for t in texts)])))
+    of = np.repeat(np.arange(len(texts)), sizes)
+    inside = of[1:] == of[:-1]
+    pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(0x85EBCA77C2B2AE63)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    same = inside & (h[1:] == h[:-1])
+    ends = np.r_[np.flatnonzero(~same), np.arange(len(h))[-1:]]
+
+    shouts, doubles = np.bincount(of[shouted], minlength=len(texts)), np.bincount(of[1:][same], minlength=len(texts))
+    shouting = np.flatnonzero((shouts >= 3) & (shouts * 10 >= sizes))
+    repeating = np.unique(of[ends[np.diff(ends, prepend=-1) > RUN]])
+    doubling = np.flatnonzero((doubles >= 3) & (doubles >= sizes / 5))
+    marks = np.repeat(np.array([SHOUTING, REPEATING, DOUBLING], np.uint64), [len(shouting), len(repeating), len(doubling)])
+    return np.r_[h, pairs[inside], marks], np.r_[of, of[1:][inside], shouting, repeating, doubling]
 
 
 def ngrams(text: bytes) -> np.ndarray:
     """The hashed n-grams of a text, repeats included."""
-    h = xxhash.xxh64_intdigest
-    found = np.array([h(t) for t in TOKEN.findall(text.lower())], np.uint64)
-    pairs = found[:-1] * np.uint64(0x9E3779B97F4A7C15) + (found[1:] ^ np.uint64(0x85EBCA77C2B2AE63)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    marks = []
-    if (shouts := len(SHOUT.findall(text))) >= 3 and shouts * 10 >= len(found):
-        marks.append(SHOUTING)
-    if len(found) > 1:
-        same = found[1:] == found[:-1]
-        if same.sum() >= max(3, len(found) / 5):
-            marks.append(DOUBLING)
-        if len(same) >= RUN and np.diff(np.flatnonzero(np.r_[True, ~same, True])).max() > RUN:
-            marks.append(REPEATING)
-    return np.r_[found, pairs, np.array(marks, np.uint64)]
+    return ngrams_of([text])[0]
+
+
+def different_ngrams(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The hashed n-grams of each text, sorted, each once."""
+    for _, some in portions(texts):
+        h, of = ngrams_of(some)
+        order = np.argsort(of, kind="stable")
+        yield from map(np.unique, np.split(h[order], np.cumsum(np.bincount(of, minlength=len(some)))[:-1]))
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -112,8 +154,8 @@ def telling_ngrams(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
 
         size = 0
         for batch in it:
-            for text, ok in zip(texts_as_bytes(batch, "text"), batch.column("good").to_pylist()):
-                held.append(np.unique(ngrams(text)))
+            for grams, ok in zip(different_ngrams(texts_as_bytes(batch, "text")), batch.column("good").to_pylist()):
+                held.append(grams)
                 good.append(ok)
                 size += len(held[-1])
                 if size >= HELD:
@@ -145,10 +187,10 @@ def holdings(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
     @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            held = [held_by(t, sent.value) for t in texts_as_bytes(batch, "text")]
-            ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
-            numbers = pa.array(np.concatenate([np.zeros(0, np.int64), *held]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), numbers)], names=["doc_id", "text_hash", "held"])
+            of, numbers = held_by(texts_as_bytes(batch, "text"), sent.value)
+            ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["doc_id", "text_hash", "held"])
 
     text = F.col("text").cast("string")
     src = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
@@ -179,29 +221,46 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[tu
     return (chosen, log_ratios(good, of_good, raw, of_raw)), held
 
 
-def held_by(text: bytes, chosen: np.ndarray) -> np.ndarray:
-    """The numbers of the chosen n-grams (sorted hashes) that a text holds."""
-    if not len(chosen):
-        return np.zeros(0, np.int64)
-    h = ngrams(text)
-    at = np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)
-    return np.unique(at[chosen[at] == h])
+def held_by(texts: list[bytes], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the chosen n-grams (sorted hashes) texts hold: the numbers of text and n-gram, sorted, each once."""
+    n, first_bits = max(len(chosen), 1), np.uint64(64 - ROUGH)
+    found = [np.zeros(0, np.int64)]
+    rough = np.zeros(1 << ROUGH, bool)
+    rough[chosen >> first_bits] = True
+    for start, some in portions(texts) if len(chosen) else ():
+        h, of = ngrams_of(some)
+        near = np.flatnonzero(rough[h >> first_bits])
+        h, of = h[near], of[near]
+        at = np.minimum(np.searchsorted(chosen, h), n - 1)
+        hit = chosen[at] == h
+        found.append(np.unique((of[hit] + start) * n + at[hit]))
+    return np.divmod(np.concatenate(found), n)
+
+
+def summed(of: np.ndarray, numbers: np.ndarray, logs: np.ndarray, texts: int) -> np.ndarray:
+    """For each text the sum of the logs of the n-grams that it holds, added in their order."""
+    return np.bincount(of, weights=logs[numbers], minlength=texts).astype(np.float64)
+
+
+def weights_of(texts: list[bytes], chosen: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """For each text the sum of the logs of the chosen n-grams that it holds."""
+    return summed(*held_by(texts, chosen), logs, len(texts))
 
 
 def weigh(text: bytes, chosen: np.ndarray, logs: np.ndarray) -> float:
     """The sum of the logs of the chosen n-grams that a text holds."""
-    return float(logs[held_by(text, chosen)].sum())
+    return float(weights_of([text], chosen, logs)[0])
 
 
 def held_weight(held: DataFrame, logs: np.ndarray) -> DataFrame:
-    """(doc_id, log_weight) from what documents hold; the same sums as weigh() makes."""
+    """(doc_id, log_weight) from what documents hold; the same sums as weights_of() makes."""
     sent = held.sparkSession.sparkContext.broadcast(logs)
 
     @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sums = [float(sent.value[np.array(x, np.int64)].sum()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["doc_id", "log_weight"])
+            of, numbers = pc.list_parent_indices(batch.column(1)).to_numpy(), pc.list_flatten(batch.column(1)).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(summed(of, numbers, sent.value, batch.num_rows))], names=["doc_id", "log_weight"])
 
     return held.select("doc_id", "held").mapInArrow(run, f"doc_id {held.schema['doc_id'].dataType.simpleString()}, log_weight double")
 
@@ -215,8 +274,7 @@ def with_log_weight(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], name
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = [x or b"" for x in batch.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()]
-            logs = pa.array([weigh(t, *sent.value) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, logs], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights_of(texts, *sent.value))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

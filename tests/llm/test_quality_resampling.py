@@ -1,6 +1,10 @@
 import random
+import re
+from functools import partial
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyloom.llm import quality_resampling as Q
@@ -146,3 +150,49 @@ def test_ratios_of_both_signs_are_weighed_and_noise_matters(spark):
     far = spark.range(2000).select("id", Q.resampling_key(-6.0 * (F.col("id") % 2), F.col("id")).alias("key"))
     odd = [df.filter(F.col("key") >= Q.kth_highest(df, 1000)).filter("id % 2 = 1").count() for df in (close, far)]
     assert odd[0] > 50 and odd[1] < 10
+
+
+def plain_ngrams(text):
+    """As ngrams(), a text and a token at a time."""
+    found = [xxhash.xxh64_intdigest(t) for t in re.findall(rb"[\w\x80-\xff]+|[^\w\s\x80-\xff]+", text.lower())]
+    out = [*found, *((a * 0x9E3779B97F4A7C15 + (b ^ 0x85EBCA77C2B2AE63) * 0xC2B2AE3D27D4EB4F) % (1 << 64) for a, b in zip(found, found[1:]))]
+    shouts = len(re.findall(rb"(?<![\w\x80-\xff])[A-Z]{3,}(?![\w\x80-\xff])", text))
+    runs = "".join("x" if a == b else " " for a, b in zip(found, found[1:]))
+    out += [Q.SHOUTING] * (shouts >= 3 and shouts * 10 >= len(found)) + [Q.REPEATING] * ("x" * Q.RUN in runs)
+    return out + [Q.DOUBLING] * (runs.count("x") >= max(3, len(found) / 5))
+
+
+def odd_texts():
+    r = random.Random(8)
+    bits = ["A", "b", "ABC", "ABC ", "abc", " ", "  ", "\n", "!", "!! ", "é", "ABCé", "_", "A_B", "\0", "\v", "\x1c", "\u3000", "go GO go ", "no " * 7, "no " * 8]
+    texts = ["".join(r.choices(bits, k=r.randrange(30))).encode() for _ in range(2000)]
+    texts += [b" ".join([b"NOW"] * r.randrange(12) + [b"a", b"b"] * r.randrange(20)) for _ in range(300)]
+    return texts + [b"", b" ", b"\n\n", b"", *(bytes(r.randrange(256) for _ in range(r.randrange(60))) for _ in range(500)), b""]
+
+
+@pytest.mark.parametrize("size", [1, 300, 1 << 22])
+def test_texts_taken_apart_together_hold_what_each_holds(size, monkeypatch):
+    monkeypatch.setattr(Q, "portions", partial(Q.portions, size=size))
+    texts = odd_texts()
+    want = [plain_ngrams(t) for t in texts]
+    assert [sorted(Q.ngrams(t).tolist()) for t in texts] == [sorted(w) for w in want]
+    assert [x.tolist() for x in Q.different_ngrams(texts)] == [sorted(set(w)) for w in want]
+    every = sorted(set().union(*want))
+    chosen = sorted({Q.SHOUTING, Q.REPEATING, Q.DOUBLING, *every[::3]} - {max(every)})
+    logs = np.random.default_rng(1).normal(size=len(chosen))
+    at = {g: i for i, g in enumerate(chosen)}
+    of, numbers = Q.held_by(texts, np.array(chosen, np.uint64))
+    held = [sorted(at[g] for g in set(w) if g in at) for w in want]
+    assert list(zip(of.tolist(), numbers.tolist())) == [(i, x) for i, xs in enumerate(held) for x in xs]
+    weights = Q.weights_of(texts, np.array(chosen, np.uint64), logs)
+    assert np.allclose(weights, [sum(logs[x] for x in xs) for xs in held], atol=1e-9)
+    assert weights.tolist() == [Q.weigh(t, np.array(chosen, np.uint64), logs) for t in texts]
+    for some in ([], [b"", b" "]):
+        none = Q.weights_of(some, np.array(chosen, np.uint64), logs)
+        assert none.dtype == np.float64 and none.tolist() == [0.0] * len(some) == Q.weights_of(some, np.zeros(0, np.uint64), np.zeros(0)).tolist()
+
+
+def test_each_different_word_is_hashed_once(monkeypatch):
+    hashed, real = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(Q.xxhash, "xxh64_intdigest", lambda w: hashed.append(w) or real(w))
+    assert len(Q.ngrams(b"the same few words said " * 5000)) == 49_999 and len(hashed) == 5
