@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, rules, text
 from ..functions.rules import evidenced, incident
+from ..functions.text import bind
 from . import structure
 
 VERSION = "1"
@@ -379,9 +380,10 @@ def literal_tables(extracted: DataFrame, provider: Provider) -> DataFrame:
     named = lambda name: F.try_element_at(F.filter(tables, lambda t: title(t) == name), F.lit(1))
     df = df.withColumns({"albaranes": F.filter(made, lambda x: x["numero_albaran"].isNotNull()), "_gastos": named("GASTOS"), "_compras": named("COMPRAS")})
     bought = F.try_element_at(F.filter(F.coalesce(F.col("_compras.filas"), F.array().cast("array<struct<orden_visual:int,celdas:array<string>>>")), lambda r: F.upper(F.trim(F.try_element_at(r["celdas"], F.lit(1)))) == "TOTAL COMPRAS"), F.lit(1))
-    df = df.withColumn("_compra", F.when(F.size(amounts(bought["celdas"])) >= 10, amounts(bought["celdas"])))
+    df = df.withColumn("_compra", bind(bind(bought["celdas"], amounts), lambda a: F.when(F.size(a) >= 10, a)))
     fees = F.filter(F.coalesce(F.col("_gastos.filas"), F.array().cast("array<struct<orden_visual:int,celdas:array<string>>>")), lambda r: F.coalesce(F.upper(F.try_element_at(r["celdas"], F.lit(1))).contains("SERVICIO BASICO"), F.lit(False)))
-    df = df.withColumn("_cuotas", F.transform(fees, lambda r: F.struct(F.trim(r["celdas"][0]).alias("descripcion"), F.slice(amounts(r["celdas"]), F.greatest(F.size(amounts(r["celdas"])) - 2, F.lit(1)), 3).alias("v"))))
+    priced_fees = F.transform(fees, lambda r: F.struct(F.trim(r["celdas"][0]).alias("descripcion"), amounts(r["celdas"]).alias("v")))
+    df = df.withColumn("_cuotas", F.transform(priced_fees, lambda r: r.withField("v", F.slice(r["v"], F.greatest(F.size(r["v"]) - 2, F.lit(1)), 3))))
     exact = lambda parts, whole: F.when(F.col("_compra").isNotNull() & whole.isNotNull(), rules.check_sum(parts, whole, "0")["estado"] == "OK")
     base = lambda a: F.concat(F.slice("_compra", 1, 3), F.array(a["v"][0]))
     total = lambda a: F.array(F.element_at("_compra", -1), a["v"][2])
@@ -404,7 +406,8 @@ def literal_tables(extracted: DataFrame, provider: Provider) -> DataFrame:
     }
     df = df.withColumn("_vence", rules.apply_rule("regla_proveedor_alliance_vencimiento_unico", VERSION, conditions, {"importe_total": F.col("importe_total")}, F.col("importe_total")))
     needs = (dated == 1) & (priced == 0)
-    fill = needs & F.col("_vence.aplicada")
+    df = df.withColumn("_asignar", needs & F.col("_vence.aplicada"))
+    fill = F.col("_asignar")
     df = df.withColumns({
         "vencimientos": F.transform("_due", lambda v: v.withField("nota", F.when(fill & v["fecha_vencimiento"].isNotNull(), F.lit("Importe asignado por regla de vencimiento unico"))).withField("importe", F.when(fill & v["fecha_vencimiento"].isNotNull(), F.col("_vence.valor")).otherwise(v["importe"]))),
         "impuestos": tax_rows(F.col("factura")),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.normalise import BASE, EXTRACTED
+from ..work import spread
 
 
 def from_json_rows(spark: SparkSession, documents: list[dict]) -> DataFrame:
@@ -21,7 +22,7 @@ def from_table(keys: DataFrame, key: str, documents: list[dict]) -> DataFrame:
     """The documents once for each row of a table, named and numbered by its key: ``s1-42``, 000042."""
     number = F.lpad(F.col(key).cast("string"), 6, "0")
     texts = F.explode(F.array(*(F.struct(F.lit(d["doc_id"]).alias("id"), F.lit(json.dumps(d, ensure_ascii=False)).alias("j")) for d in documents)))
-    each = keys.select(key, texts.alias("d"))
+    each = spread(keys.select(key)).select(key, texts.alias("d"))
     named = F.replace(F.replace(F.col("d.j"), F.concat(F.lit('"doc_id": "'), F.col("d.id"), F.lit('"')), F.concat(F.lit('"doc_id": "'), F.col("d.id"), F.lit("-"), F.col(key).cast("string"), F.lit('"'))), F.lit("000123"), number)
     return parsed(each.select(named.alias("j")))
 

@@ -21,3 +21,9 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     at = work_dir(df.sparkSession, what)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table dealt to all cores: a small file is read by one task, however much is made of each of its rows."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

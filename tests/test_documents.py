@@ -129,3 +129,14 @@ def test_an_invoice_without_a_receiver_or_with_blocks_out_of_order(spark):
     row = spark.sql("SELECT CAST(NULL AS INT) AS pagina_inicio, 2 AS pagina_fin, '' AS tipo_documento, 'p' AS proveedor_nombre, 'n' AS numero_factura, named_struct('id_farmacia', '') AS destinatario, array(named_struct('orden', 1), named_struct('orden', 3)) AS vencimientos, array() AS impuestos, CAST(NULL AS array<struct<orden:int>>) AS albaranes, array(named_struct('orden', CAST(NULL AS INT))) AS ajustes")
     row = row.withColumn("impuestos", F.col("impuestos").cast("array<struct<orden:int>>"))
     assert row.select(S.invoice_errors(F.col).alias("e")).first().e == ["Falta tipo_documento.", "Falta destinatario.id_farmacia.", "vencimientos tiene órdenes incorrectos: [1, 3]. Se esperaba [1, 2].", "ajustes tiene órdenes incorrectos: [None]. Se esperaba [1]."]
+
+
+def test_documents_of_a_small_table_are_dealt_to_all_cores(spark, put):
+    """A table of one file is read by one task; the documents made of its rows must not all stay there, none is lost or doubled."""
+    keys = spark.read.parquet(put(customer=spark.range(300).withColumnRenamed("id", "c_custkey").coalesce(1)) + "/customer.parquet")
+    made = I.from_table(keys, "c_custkey", I.examples()["alliance"])
+    by_task = made.select("doc_id", F.spark_partition_id().alias("task"))
+    cores = spark.sparkContext.defaultParallelism
+    assert by_task.select("task").distinct().count() >= cores
+    assert by_task.groupBy("task").count().agg(F.max("count")).first()[0] <= 600 // cores
+    assert sorted(r.doc_id for r in by_task.collect()) == sorted(f"{d}-{i}" for d in ("a1", "a2") for i in range(300))
