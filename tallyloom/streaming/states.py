@@ -1,85 +1,74 @@
-"""The state of every file as a stream of reports, in a keyed state store that survives restarts."""
+"""The state of every file as a stream of reports, kept by file beside the checkpoint, so that it survives restarts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from .increments import run_available
+from .increments import idempotent_writer, stream_name
 
 #: What a report says of a file.
 DONE, FAILED = "IMPORTADA", "ERROR"
 REPORT = ("ruta", "orden", "estado", "error")
 CHANGE = "ruta string, orden long, estado_previo string, estado string, error string, intentos int, recuperada boolean"
-#: The store that transformWithState needs.
-PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-
-
-class FileStates(StatefulProcessor):
-    """Keeps each file's last state and its attempts since the last success; a report not later than the last one is left out."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "orden long, estado string, intentos int")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        reports = pd.concat(list(rows)).sort_values(["orden", "estado"], kind="stable").drop_duplicates("orden")
-        order, state, tries = self.last.get() if self.last.exists() else (None, None, 0)
-        out = []
-        for r in reports.itertuples():
-            if order is not None and r.orden <= order:
-                continue
-            tries += 1
-            out.append((key[0], r.orden, state, r.estado, r.error, tries, r.estado == DONE and state == FAILED))
-            order, state = int(r.orden), r.estado
-            if r.estado == DONE:
-                tries = 0
-        if out:
-            self.last.update((order, state, tries))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
+#: A file's last accepted report; ``intentos`` counts those since the last success.
+STATE = "ruta string, orden long, estado string, intentos int"
 
-    def close(self) -> None:
-        pass
 
+def changes_after(states: DataFrame, reports: DataFrame) -> DataFrame:
+    """REPORT rows as the accepted ones, each with the state before, attempts since the last success, and whether it recovers.
 
-def state_changes(reports: DataFrame) -> DataFrame:
-    """A stream of REPORT rows as the stream of accepted reports, each with the state before, attempts since the last success, and whether it recovers.
-
-    A file's reports within one micro-batch are put in order in memory: bound these by the source's files a trigger.  Rows without a path or
-    an order take no part.
+    ``states``: STATE rows, what is known of files so far.  A report not later than its file's last one is left out; of several with one order the first by
+    state stays.  Rows without a path or an order take no part.  All meets by file, in one shuffle, and is put in order by sorts that may go to disk.
     """
     known = reports.select(*REPORT).filter("ruta IS NOT NULL AND orden IS NOT NULL")
-    return known.groupBy("ruta").transformWithStateInPandas(FileStates(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
-
-
-def changes_of_batch(reports: DataFrame) -> DataFrame:
-    """The same of all reports at once, by windows: what the stream must come to."""
-    known = reports.select(*REPORT).filter("ruta IS NOT NULL AND orden IS NOT NULL")
     file = Window.partitionBy("ruta").orderBy("orden", "estado")
-    one = known.withColumn("_n", F.row_number().over(Window.partitionBy("ruta", "orden").orderBy("estado"))).filter("_n = 1").drop("_n")
-    before = one.withColumn("estado_previo", F.lag("estado").over(file)).withColumn("_done", F.count_if(F.col("estado") == DONE).over(file.rowsBetween(Window.unboundedPreceding, -1)))
-    tries = F.row_number().over(Window.partitionBy("ruta", "_done").orderBy("orden"))
+    last = states.select("ruta", F.col("orden").alias("_orden"), F.col("estado").alias("_estado"), F.col("intentos").alias("_intentos"))
+    later = known.join(last, "ruta", "left").filter("_orden IS NULL OR orden > _orden")
+    one = later.withColumn("_twin", F.lag("orden").over(file).eqNullSafe(F.col("orden"))).filter("NOT _twin")
+    before = one.withColumns({
+        "estado_previo": F.when(F.row_number().over(file) == 1, F.col("_estado")).otherwise(F.lag("estado").over(file)),
+        "_done": F.count_if(F.col("estado") == DONE).over(file.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    tries = F.row_number().over(Window.partitionBy("ruta", "_done").orderBy("orden")) + F.when(F.col("_done") == 0, F.coalesce("_intentos", F.lit(0))).otherwise(0)
     back = F.coalesce((F.col("estado") == DONE) & (F.col("estado_previo") == FAILED), F.lit(False))
     return before.select("ruta", "orden", "estado_previo", "estado", "error", tries.alias("intentos"), back.alias("recuperada"))
 
 
+def changes_of_batch(reports: DataFrame) -> DataFrame:
+    """The same of all reports at once: what the stream must come to."""
+    return changes_after(reports.sparkSession.createDataFrame([], STATE), reports)
+
+
 def current_states(changes: DataFrame) -> DataFrame:
     """The last accepted report of each file."""
     row = F.max_by(F.struct(*(c for c in changes.columns if c != "ruta")), "orden").alias("r")
     return changes.groupBy("ruta").agg(row).select("ruta", "r.*")
 
 
+def states_writer(sink: str, checkpoint: str):
+    """A foreachBatch function: a batch's changes into the idempotent sink, and the states after it beside the checkpoint.
+
+    States lie in two tables by turns, so what a batch starts from is left as it is until the batch has gone through: a batch that runs again comes to the same.
+    """
+    write = idempotent_writer(sink, ["ruta", "orden"], stream_name(checkpoint))
+    at = lambda batch_id: f"{checkpoint.rstrip('/')}/files/{batch_id % 2}"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Only a stream's first batch starts from nothing; states that aren't there later are an error.
+        states = spark.read.schema(STATE).parquet(at(batch_id - 1)) if batch_id else spark.createDataFrame([], STATE)
+        changes = changes_after(states, batch).persist()
+        try:
+            write(changes, batch_id)
+            since = F.when(F.col("estado") == DONE, 0).otherwise(F.col("intentos")).alias("intentos")
+            current_states(states.unionByName(changes.select("ruta", "orden", "estado", since))).write.mode("overwrite").parquet(at(batch_id))
+        finally:
+            changes.unpersist()
+
+    return each
+
+
 def run_states(reports: DataFrame, sink: str, checkpoint: str) -> None:
     """All reports that have arrived, into an idempotent sink; the next run takes the states up from the checkpoint."""
-    conf = reports.sparkSession.conf
-    before = {k: conf.get(k, None) for k in PROVIDER}
-    for k, v in PROVIDER.items():
-        conf.set(k, v)
-    try:
-        run_available(state_changes(reports), sink, ["ruta", "orden"], checkpoint)
-    finally:
-        for k, v in before.items():
-            conf.unset(k) if v is None else conf.set(k, v)
+    reports.writeStream.foreachBatch(states_writer(sink, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

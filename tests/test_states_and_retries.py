@@ -38,6 +38,37 @@ def test_states_over_two_restarts_equal_the_batch(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 9
 
 
+def test_many_files_are_put_in_order_by_the_engine(spark, tmp_path):
+    """No call of Python a file: 30,000 files in two parts equal the batch, in plans without Python."""
+    n = 30_000
+    rows = lambda part: spark.range(2 * n).selectExpr("concat('f', id % 30000) AS ruta", f"2 * {part} + id div 30000 AS orden", f"if((id + {part}) % 3 = 0, 'ERROR', 'IMPORTADA') AS estado", "CAST(NULL AS string) AS error", "1 AS extra")
+    sink, marks, folder = (f"{tmp_path}/{x}" for x in ("sink", "marks", "reports"))
+    for part in (0, 1):
+        rows(part).coalesce(1).write.mode("append").parquet(folder)
+        states.run_states(spark.readStream.schema(REPORT).option("maxFilesPerTrigger", 1).parquet(folder), sink, marks)
+    got = spark.read.parquet(sink).select(*[c.split()[0] for c in states.CHANGE.split(", ")])
+    want = states.changes_of_batch(rows(0).unionByName(rows(1)))
+    assert got.count() == 4 * n and not got.exceptAll(want).count()
+    plan = states.changes_after(spark.createDataFrame([], states.STATE), rows(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_batch_of_states_that_runs_again_replaces_itself(spark, tmp_path):
+    ok, bad = states.DONE, states.FAILED
+    sink, marks = f"{tmp_path}/sink", f"{tmp_path}/marks"
+    write = states.states_writer(sink, marks)
+    batch = lambda *rows: spark.createDataFrame([(*r, 1) for r in rows], REPORT)
+    write(batch(("a", 1, bad, "x"), ("a", 2, bad, "y")), 0)
+    for _ in range(2):
+        write(batch(("a", 2, ok, None), ("a", 3, bad, "z"), ("b", 1, bad, "z")), 1)
+    write(batch(("a", 4, ok, None), ("b", 2, ok, None)), 2)
+    got = sorted((r.ruta, r.orden, r.estado_previo, r.intentos, r.recuperada) for r in spark.read.parquet(sink).collect())
+    assert got == [("a", 1, None, 1, False), ("a", 2, bad, 2, False), ("a", 3, bad, 3, False), ("a", 4, bad, 4, True), ("b", 1, None, 1, False), ("b", 2, bad, 2, True)]
+    # States that a later batch should find and doesn't are an error, never a new start.
+    with pytest.raises(PySparkException):
+        states.states_writer(sink, f"{tmp_path}/other")(batch(("a", 5, ok, None)), 3)
+
+
 class Flaky:
     """Writes half of a batch and fails, as often as told."""
 
